@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import pii
+from tidemark.llm import pii, quality
 from tidemark.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+
+
 QUERIES: dict[str, Query] = {
     "op7_pii": op7_pii,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
