@@ -35,6 +35,15 @@ CUTOFF = 23.513
 HALF_SCALE = 0.4587
 
 
+#: Groups up to which their estimates (some twenty numbers each) are broadcast; more are shuffled.
+SMALL = 20_000
+
+
+def _side(groups: DataFrame) -> DataFrame:
+    """The estimates of all groups, broadcast if they are few."""
+    return F.broadcast(groups) if groups.limit(SMALL + 1).count() <= SMALL else groups
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]
@@ -142,27 +151,41 @@ def _distance(df: DataFrame, name: str = "d2") -> DataFrame:
     return df.withColumn(name, total)
 
 
-def _start(df: DataFrame, keys: list[str]) -> DataFrame:
+def _centres(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 10000).alias(f"m_{i}") for i, x in enumerate(DIMS)])
+
+
+def _start(df: DataFrame, keys: list[str], centres: DataFrame) -> DataFrame:
     """Medians and scaled absolute deviations as the first centre and (diagonal) scatter."""
-    med = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 10000).alias(f"m_{i}") for i, x in enumerate(DIMS)])
-    dev = df.join(med, keys).groupBy(*keys, "n", *[f"m_{i}" for i in range(len(DIMS))]).agg(
-        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 10000).alias(f"a_{i}") for i, x in enumerate(DIMS)]
+    kept = ["n", *[f"m_{i}" for i in range(len(DIMS))]]
+    dev = _with(df, centres, keys).groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in kept],
+        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 10000).alias(f"a_{i}") for i, x in enumerate(DIMS)],
     )
     lower = [
         (F.sqrt(F.pow(F.col(f"a_{i}") * 1.4826, 2) + FLOOR[DIMS[i]] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}")
         for i in range(len(DIMS))
         for j in range(i + 1)
     ]
-    return dev.select(*keys, "n", *[f"m_{i}" for i in range(len(DIMS))], *lower)
+    return dev.select(*keys, *kept, *lower)
+
+
+def _with(df: DataFrame, fit: DataFrame, keys: list[str], how: str = "inner", prefix: str = "") -> DataFrame:
+    """The rows with the estimate of their group; without keys, with the one estimate as literals."""
+    if keys:
+        fit = fit.select(*keys, *[F.col(c).alias(prefix + c) for c in fit.columns if c not in keys])
+        return df.join(_side(fit), keys, how)
+    row = fit.first()
+    return df.withColumns({prefix + c: F.lit(None if row is None else row[c]).cast("double") for c in fit.columns})
 
 
 def _mcd(df: DataFrame, keys: list[str], steps: int) -> DataFrame:
     """Minimum-covariance-determinant estimate per group by concentration steps."""
-    fit = written(_start(df, keys))
+    fit = written(_start(df, keys, written(_centres(df, keys))))
     for _ in range(steps):
-        far = _distance(df.join(fit, keys)).select(*keys, *DIMS, "d2")
-        half = far.groupBy(*keys).agg(F.percentile_approx("d2", 0.5, 10000).alias("half"))
-        near = far.join(half, keys).where(F.col("d2") <= F.col("half"))
+        far = _distance(_with(df, fit, keys)).select(*keys, *DIMS, "d2")
+        half = written(far.groupBy(*keys).agg(F.percentile_approx("d2", 0.5, 10000).alias("half")))
+        near = _with(far, half, keys).where(F.col("d2") <= F.col("half"))
         fit = written(_moments(near, keys, HALF_SCALE))
     return fit
 
@@ -173,15 +196,11 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, steps: int = 3, min_group: in
     sound = stats.where(~F.col("base_failed"))
     keys = ["lang", "source"]
     grouped = sound.where(F.col("lang").isNotNull() & F.col("source").isNotNull())
-    large = grouped.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= min_group).drop("members")
-    own = _mcd(grouped.join(large, keys, "left_semi"), keys, steps)
-    all_of = _mcd(sound.withColumn("all", F.lit(1)), ["all"], steps)
+    large = written(grouped.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= min_group))
+    own = _mcd(_with(grouped, large, keys), keys, steps)
     fitted = [c for c in own.columns if c not in (*keys, "n")]
-    wide = (
-        stats.join(own.select(*keys, *[F.col(c).alias(f"own_{c}") for c in fitted]), keys, "left")
-        .withColumn("all", F.lit(1))
-        .join(all_of.select("all", *[F.col(c).alias(f"all_{c}") for c in fitted]), "all", "left")
-    )
+    wide = _with(stats, own.select(*keys, *fitted), keys, "left", "own_")
+    wide = _with(wide, _mcd(sound, [], steps).select(*fitted), [], prefix="all_")
     wide = wide.withColumns({c: F.coalesce(f"own_{c}", f"all_{c}") for c in fitted})
     return _distance(wide).select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
