@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_model, packing, pii, quality, simhash, substring, toxicity
+from tidemark.llm import decontaminate, language_model, lines, packing, pii, quality, simhash, substring, toxicity
 from tidemark.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "longest_run", "left", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
+    "op8_lines": op8_lines,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
