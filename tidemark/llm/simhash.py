@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.components import components
 from tidemark.llm.exchange import partitions_of
@@ -224,3 +225,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = root.groupBy("root").agg(F.min("first").alias("component_id"))
     labelled = root.join(best, "root").select("fp", "component_id")
     return marked.join(labelled, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with one document of each group of near duplicates: the one with the
+    smallest id (null ids last).  Rows are told apart by a number given before they are written."""
+    names = [f"__c{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    plain = docs.toDF(*names).withColumn(names[at], F.col(names[at]).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                fp = fingerprint(*_shingle_hashes(part.column(at).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp.view(np.int64))], names=[*names, "__fp"])
+
+    schema = StructType([*plain.schema.fields, StructField("__fp", LongType())])
+    marked = written(plain.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
+    i = F.col(names[docs.columns.index("doc_id")]).cast("long")
+    order = F.struct(i.isNull().alias("n"), i.alias("i"), F.col("__row").alias("row"))
+    nodes = marked.select(F.col("__fp").alias("fp"), order.alias("o")).groupBy("fp").agg(F.min("o").alias("o"))
+    nodes = written(nodes)
+    found = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    best = nodes.join(found, "fp", "left").groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("o").alias("o"))
+    kept = marked.join(best.select(F.col("o.row").alias("__row")), "__row", "left_semi")
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
