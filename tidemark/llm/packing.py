@@ -18,6 +18,7 @@ kept; documents longer than a sequence are cut; the empty table gives an empty r
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,10 @@ END_ID = 1
 DIMS, BITS, TIE_BITS = 4, 10, 23
 RANGE_TOKENS = 4_000_000
 MAX_RANGES = 4096
-CACHE = 300_000  # space-separated units whose ids a worker remembers
+CACHE = 600_000  # space-separated units whose ids a worker remembers
+
+
+_GOES_ON = re.compile(r" (?=\s|$)")
 
 
 class Encoder:
@@ -43,34 +47,46 @@ class Encoder:
 
     The tokenizer's pattern never joins characters across a space that precedes a non-space, so a
     text may be encoded unit by unit; where a space is followed by white space or nothing, the unit
-    goes on.
+    goes on.  A full memory keeps the units that were met more than once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
+        self.known: dict[str, int] = {"": 0}  # the unit "" stands for the end of a text
+        self.flat = np.array([END_ID], np.uint16)
+        self.length = np.array([1], np.int32)
+        self.hits = np.zeros(1, np.int64)
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.at, self.length = np.empty(1 << 16, np.uint16), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = 0
+        keep = self.hits > 1
+        keep[0] = True
+        if keep.sum() > CACHE // 2:
+            keep &= self.hits > np.partition(self.hits, -CACHE // 2)[-CACHE // 2]
+            keep[0] = True
+        self.known = {u: n for n, u in enumerate(u for u, k in zip(list(self.known), keep.tolist(), strict=True) if k)}
+        self.flat = self.flat[np.repeat(keep, self.length)]
+        self.length = self.length[keep]
+        self.hits = self.hits[keep]
 
     def _learn(self, units: list[str]) -> None:
-        for unit, e in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False), strict=True):
-            ids, k = e.ids, len(self.known)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            if k == len(self.at):
-                self.at, self.length = np.resize(self.at, 2 * k), np.resize(self.length, 2 * k)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[k], self.length[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[unit] = k
+        ids: list[int] = []
+        length = []
+        for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False):
+            some = e.ids
+            ids += some
+            length.append(len(some))
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
+        self.flat = np.concatenate([self.flat, np.array(ids, np.uint16)])
+        self.length = np.concatenate([self.length, np.array(length, np.int32)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(units), np.int64)])
 
     @staticmethod
     def units(text: str) -> list[str]:
+        if "\0" not in text and not _GOES_ON.search(text):
+            out = text.replace(" ", "\0 ").split("\0")
+            return out if out[0] else out[1:]
         parts = text.split(" ")
         out = [parts[0]] if parts[0] else []
         for p in parts[1:]:
@@ -92,22 +108,30 @@ class Encoder:
             units += self.units(t)
             units.append("")
             first.append(len(units))
-        get = self.known.get
-        if "" not in self.known:
-            self._learn([""])
-            self.flat[self.used], self.length[0] = END_ID, 1
-            self.used += 1
-        index = [get(u) for u in units]
-        if None in index:
-            self._learn(list(dict.fromkeys(u for u, i in zip(units, index, strict=True) if i is None)))
-            index = [get(u) for u in units]
-        which = np.array(index, np.int64)
+        index = list(map(self.known.get, units))
+        missed = [k for k, i in enumerate(index) if i is None]
+        if missed:
+            self._learn(list(dict.fromkeys(units[k] for k in missed)))
+            for k in missed:
+                index[k] = self.known[units[k]]
+        which = np.array(index, np.int32)
+        self.hits += np.bincount(which, minlength=len(self.hits))
         n = self.length[which]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.at[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(n, dtype=np.int64)
+        at = (np.cumsum(self.length, dtype=np.int64) - self.length)[which] - (ends - n)
+        ids = self.flat[np.repeat(at, n) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.concatenate([[0], ends])[np.array(first)]
 
 
+_ENCODERS: dict[str, Encoder] = {}  # a worker process keeps what it has learnt from task to task
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def projection(vocabulary: int = 1 << 16) -> np.ndarray:
     """A fixed random direction in [-1, 1) per token id and dimension."""
     h = mix(np.arange(1, vocabulary * DIMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(vocabulary, DIMS)
@@ -159,11 +183,11 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, table = Encoder(tokenizer), projection()
+        units, table = encoder(tokenizer), projection()
         for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                ids, first = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                ids, first = units.encode([t or "" for t in part.column(1).to_pylist()])
                 ties = part.column(0).fill_null(-1).to_numpy(zero_copy_only=False) + np.int64(1)
                 packed = [pa.compress(pa.py_buffer(ids[a:b].tobytes()), "zstd", asbytes=True) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
