@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_model, lines, packing, pii, quality, simhash, substring, toxicity
+from tidemark.llm import decontaminate, language_model, lines, packing, pii, quality, simhash, substring, toxicity, url_filter
 from tidemark.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,43 @@ def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no fetch time and there is no list, so both are derived from ``pages``: a page is
+    fetched on a day that its id gives; at each month's end every domain, host and first path
+    segment is listed, to be blocked if most of its captures of the month came over plain http."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("cast(pmod(page_id * 37, 360) as int)").alias("fetched"))
+    seen = pages.select("fetched", F.startswith("url", F.lit("http:")).cast("int").alias("plain"), F.explode(url_filter.patterns(F.col("url"))).alias("p"))
+    months = seen.where("p.rank < 200").groupBy("p.pattern", F.expr("fetched div 30").alias("month"))
+    entries = months.agg(F.expr("if(2 * sum(plain) > count(*), 'block', 'allow')").alias("action"))
+    listed = entries.select("pattern", "action", F.expr("cast(30 * (month + 1) as int)").alias("listed"))
+    return url_filter.judge(pages, listed)
+
+
+OP3_SQL = """
+WITH pages0 AS (
+  SELECT page_id, url, CAST(page_id * 37 % 360 AS INTEGER) AS fetched,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS segs
+  FROM pages),
+asked AS (
+  SELECT page_id, fetched, url, array_to_string(list_slice(string_split(host, '.'), k, NULL), '.') AS pattern, len(string_split(host, '.')) - k + 1 AS rank
+  FROM pages0, UNNEST(range(1, greatest(len(string_split(host, '.')), 2))) AS t(k) WHERE host <> ''
+  UNION ALL
+  SELECT page_id, fetched, url, host || '/' || array_to_string(list_slice(segs, 1, k), '/'), 100 * k
+  FROM pages0, UNNEST(range(1, least(len(segs), 2) + 1)) AS t(k) WHERE host <> ''),
+entries AS (
+  SELECT pattern, CASE WHEN 2 * sum(CASE WHEN url LIKE 'http:%' THEN 1 ELSE 0 END) > count(*) THEN 'block' ELSE 'allow' END AS action,
+         CAST(30 * (fetched // 30 + 1) AS INTEGER) AS since
+  FROM asked WHERE rank < 200 GROUP BY pattern, fetched // 30),
+held AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM entries),
+hits AS (
+  SELECT page_id, action, a.pattern, since, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC) AS rn
+  FROM asked a JOIN held h ON a.pattern = h.pattern AND h.since <= a.fetched AND (h.until IS NULL OR h.until > a.fetched))
+SELECT p.page_id, p.fetched, coalesce(h.action, 'allow') <> 'block' AS kept, h.action, h.pattern, h.since
+FROM pages0 p LEFT JOIN hits h ON p.page_id = h.page_id AND h.rn = 1
+"""
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +101,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_substring": op1_substring,
     "op2_language_model": op2_language_model,
+    "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
@@ -73,4 +111,4 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL}
