@@ -41,7 +41,7 @@ WITH pages0 AS (
          list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS segs
   FROM pages),
 asked AS (
-  SELECT page_id, fetched, url, array_to_string(list_slice(string_split(host, '.'), k, NULL), '.') AS pattern, len(string_split(host, '.')) - k + 1 AS rank
+  SELECT page_id, fetched, url, array_to_string(list_slice(string_split(host, '.'), k, len(string_split(host, '.'))), '.') AS pattern, len(string_split(host, '.')) - k + 1 AS rank
   FROM pages0, UNNEST(range(1, greatest(len(string_split(host, '.')), 2))) AS t(k) WHERE host <> ''
   UNION ALL
   SELECT page_id, fetched, url, host || '/' || array_to_string(list_slice(segs, 1, k), '/'), 100 * k
