@@ -1 +1 @@
-"""placeholder"""
+"""Operators on change logs, change sets, manifests, ledgers and schemas: DataFrames in and out."""

@@ -1 +1 @@
-"""placeholder"""
+"""Whole flows composed from the operators, and the registered queries."""
