@@ -33,8 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE, SAMPLE_CHARS = 6000, 40_000
-CRF_DOCS, CRF_WORDS = 2400, 2500  # of the sample, documents and longest sequence for the field
+SAMPLE, SAMPLE_CHARS = 3000, 20_000
+CRF_DOCS, CRF_WORDS = 1000, 1200  # of the sample, documents and longest sequence for the field
 PREFIXES = (3, 4, 5, 6, 7)
 FEATURES = 3000
 _FLAT, _DROP = bytes(range(256)).lower(), string.punctuation.encode()
@@ -200,17 +200,17 @@ def _train_field(field: Field, docs: list[tuple[list[bytes], int]], lexicon: dic
     want = np.concatenate([np.bincount(feat, label[row, col], len(index)), [label.sum(), (label & ~before).sum(), (label & before).sum()]])
     active = [int(np.searchsorted(-length, -t, "left")) for t in range(most)]
     for step in range(1, steps + 1):
-        e = np.zeros((n, most))
+        e = np.zeros((n, most), np.float32)
         np.add.at(e, (row, col), params[feat])
-        toxic = np.exp(np.clip(e + params[-3], -30, 30))
-        enter, stay = np.exp(params[-2]), np.exp(params[-1])
-        f1 = np.zeros((n, most + 1))  # p(toxic) of the forward message, after each token
+        toxic = np.exp(np.clip(e + np.float32(params[-3]), -30, 30))
+        enter, stay = np.float32(np.exp(params[-2])), np.float32(np.exp(params[-1]))
+        f1 = np.zeros((n, most + 1), np.float32)  # p(toxic) of the forward message, after each token
         for t in range(most):
             k = active[t]
             p = f1[:k, t]
             hot = toxic[:k, t] * ((1 - p) * enter + p * stay)
             f1[:k, t + 1] = hot / (1 + hot)
-        b1 = np.full((n, most), 0.5)  # share of the toxic state in the backward message
+        b1 = np.full((n, most), 0.5, np.float32)  # share of the toxic state in the backward message
         for t in range(most - 2, -1, -1):
             k = active[t + 1]
             hot, b = toxic[:k, t + 1], b1[:k, t + 1]
@@ -258,8 +258,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
         field.calibration = np.array([-30.0, 0.0, 0.0])
         return field
     rows.sort(key=lambda r: zlib.crc32(r["text"].encode("utf-8", "surrogatepass")))
-    parsed = [(tokens(r["text"]), r["toxic"]) for r in rows]
-    _train_field(field, parsed[:CRF_DOCS], _lexicon(parsed))
+    share: dict[bytes, bytes] = {}  # equal words are one object
+    parsed = [([share.setdefault(w, w) for w in tokens(r["text"])], r["toxic"]) for r in rows]
+    lexicon = _lexicon(parsed)
+    del parsed[CRF_DOCS:], share
+    _train_field(field, parsed, lexicon)
+    del parsed
     toxic = np.array([r["toxic"] for r in rows])
     share = np.array([count.get(k, 0) / max(1, (toxic == k).sum()) for k in (0, 1)])
     _calibrate(field, [r["text"] for r in rows], toxic, share[toxic])
