@@ -64,14 +64,15 @@ def plan_batch(ledger: DataFrame, versions: DataFrame, sharded: bool = False) ->
 
 def resize_batches(batches: DataFrame, most: int, now: Column, begin: str | None = None, end: str | None = None, current: str = "sync_stop_version") -> DataFrame:
     """Batches of more than ``most`` versions cut to that many, except inside the daily window from
-    ``begin`` (excluded) to ``end`` (included), which may wrap midnight; there they run to ``current``."""
+    ``begin`` (excluded) to ``end`` (included), which may wrap midnight; there such batches run to
+    ``current``.  Smaller batches stay as they are, and so does everything if ``most`` is 0."""
     start, stop, t = F.col("sync_start_version"), F.col("sync_stop_version"), time_of_day(now)
     inside = F.lit(False)
     if begin is not None and end is not None:
         after, upto = t > F.lit(begin), t <= F.lit(end)
         inside = (after & upto) if begin < end else (after | upto)
     large = F.lit(most > 0) & ((stop - start) > most)
-    return batches.withColumn("sync_stop_version", F.when(inside, F.col(current)).when(large, start + most).otherwise(stop))
+    return batches.withColumn("sync_stop_version", F.when(large & inside, F.col(current)).when(large, start + most).otherwise(stop))
 
 
 def table_start_versions(batches: DataFrame, tables: DataFrame, registry: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def is_full_run_time(last: Column, now: Column, hours: Column) -> Column:
     a last run on an earlier date always counts as before it.  Time running backwards is an error."""
     t, before = time_of_day(now), time_of_day(last)
     earlier = F.to_date(last) < F.to_date(now)
-    due = F.exists(hours, lambda h: (h <= t) & (earlier | (before < h)))
+    due = F.exists(hours, lambda h: (h < t) & (earlier | (before < h)))
     return F.when(now < last, F.raise_error(F.lit("the last run lies in the future")).cast("boolean")).otherwise(due)
 
 

@@ -405,7 +405,7 @@ def plan_batch(spark, d):
 
 @query(
     LEDGER
-    + """SELECT * EXCLUDE (sync_stop_version), CASE WHEN hour(t) >= 22 OR strftime(t, '%H:%M:%S') <= '02:00:00' THEN sync_stop_version + 7
+    + """SELECT * EXCLUDE (sync_stop_version), CASE WHEN sync_stop_version - sync_start_version <= 50 THEN sync_stop_version WHEN hour(t) >= 22 OR strftime(t, '%H:%M:%S') <= '02:00:00' THEN sync_stop_version + 7
   WHEN sync_stop_version - sync_start_version > 50 THEN sync_start_version + 50 ELSE sync_stop_version END AS sync_stop_version
 FROM (SELECT *, sync_start_time + to_minutes(CAST(sync_start_version % 1440 AS INTEGER)) + INTERVAL 30 SECOND AS t FROM ledger)"""
 )
@@ -471,7 +471,7 @@ def plan_subscriber(spark, d):
 @query(
     """WITH p AS (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events),
 h AS (SELECT event_id, ts, prev, strftime(ts, '%H:%M:%S') AS t, strftime(prev, '%H:%M:%S') AS b FROM p WHERE prev IS NOT NULL AND prev <= ts)
-SELECT event_id, ('06:00:00' <= t AND (CAST(prev AS DATE) < CAST(ts AS DATE) OR b < '06:00:00')) OR ('18:30:00' <= t AND (CAST(prev AS DATE) < CAST(ts AS DATE) OR b < '18:30:00')) AS due FROM h"""
+SELECT event_id, ('06:00:00' < t AND (CAST(prev AS DATE) < CAST(ts AS DATE) OR b < '06:00:00')) OR ('18:30:00' < t AND (CAST(prev AS DATE) < CAST(ts AS DATE) OR b < '18:30:00')) AS due FROM h"""
 )
 def full_run_time(spark, d):
     rows = table(spark, d, "events").selectExpr("event_id", "ts", "lag(ts) over (partition by user_id order by event_id) prev").where("prev is not null and prev <= ts")
