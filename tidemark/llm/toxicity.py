@@ -50,6 +50,10 @@ def features(word: bytes) -> list[str]:
     return [w, *[f"{w[:k]}-" for k in PREFIXES if len(w) > k]]
 
 
+REMEMBERED = 150_000
+_MEMORY: dict = {}
+
+
 class Field:
     """Two states, clean and toxic; weights are those of the toxic state relative to the clean one."""
 
@@ -57,7 +61,7 @@ class Field:
         self.weight: dict[str, float] = {}
         self.bias, self.enter, self.stay = -4.0, -2.0, 1.0
         self.calibration = np.array([-3.0, 0.0, 0.0])
-        self.known: dict[bytes, float] = {}
+        self.name = ""
 
     def _neutral(self) -> np.ndarray:
         """Transition to a token without evidence: rows from, columns to."""
@@ -81,13 +85,19 @@ class Field:
         inverse = np.linalg.inv(vectors)
         return vectors[:, :1] @ inverse[:1] + ratio[:, None, None] * (vectors[:, 1:] @ inverse[1:])
 
-    def evidence(self, word: bytes) -> float:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > 400_000:
-                self.known.clear()
-            got = self.known[word] = sum(self.weight.get(f, 0.0) for f in features(word)) if self.weight else 0.0
-        return got
+    def evidence(self, words: list[bytes]) -> np.ndarray:
+        """The weight of each word's features; a worker remembers words of the last model only."""
+        if _MEMORY.get("field") != self.name:
+            _MEMORY.update(field=self.name, known={})
+        known: dict[bytes, float] = _MEMORY["known"]
+        if len(known) > REMEMBERED:
+            known.clear()
+        got = list(map(known.get, words))
+        for k, e in enumerate(got):
+            if e is None:
+                w = words[k]
+                got[k] = known[w] = sum(self.weight.get(f, 0.0) for f in features(w)) if self.weight else 0.0
+        return np.array(got, np.float64)
 
     def marginals(self, docs: list[np.ndarray], where: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
         """Of each document's evidence tokens (values ``docs``, positions ``where``): p(toxic)."""
@@ -129,10 +139,9 @@ class Field:
     def tag(self, texts: list[str | None]) -> tuple[list[list[bytes]], list[np.ndarray], list[np.ndarray]]:
         """Tokens, positions of evidence and their marginals, for each text."""
         words = [tokens(t) for t in texts]
-        get = self.evidence
         values, where = [], []
         for w in words:
-            e = np.fromiter(map(get, w), np.float64, len(w))
+            e = self.evidence(w)
             at = np.flatnonzero(e)
             values.append(e[at])
             where.append(at)
@@ -264,10 +273,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     del parsed[CRF_DOCS:], share
     _train_field(field, parsed, lexicon)
     del parsed
+    field.name = f"{zlib.crc32(repr(field.weight).encode()):08x}"
     toxic = np.array([r["toxic"] for r in rows])
     share = np.array([count.get(k, 0) / max(1, (toxic == k).sum()) for k in (0, 1)])
     _calibrate(field, [r["text"] for r in rows], toxic, share[toxic])
-    field.known = {}
     return field
 
 
