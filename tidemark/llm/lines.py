@@ -87,6 +87,10 @@ def doomed(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 RESULT = "struct<text:string,n_lines:int,n_removed:int,longest_run:int,left:double>"
 
 
+def _words(text: str) -> int:
+    return len(text.encode("utf-8", "surrogatepass").split())
+
+
 def _rewrite(min_lines: int) -> Column:
     @F.pandas_udf(RESULT)
     def rewrite(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
@@ -110,8 +114,8 @@ def _rewrite(min_lines: int) -> Column:
                 longest, upto = max(longest, run), s + min_lines
             dead = {sequence[k] for k in gone}
             kept = [x for k, x in enumerate(lines) if k not in dead]
-            words = len(text.split())
-            out.append(("\n".join(kept), len(sequence), len(gone), longest, sum(len(x.split()) for x in kept) / max(1, words)))
+            words = _words(text)
+            out.append(("\n".join(kept), len(sequence), len(gone), longest, sum(map(_words, kept)) / max(1, words)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "longest_run", "left"])
 
     return rewrite(F.col("text"), F.col("__starts"))

@@ -13,6 +13,17 @@ from tidemark.llm.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS k FROM w, UNNEST(range(1, len(ws) - 33)) AS t(i)),
+twice AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM windows JOIN twice USING (k), range(35) AS r(o)),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -84,6 +95,23 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+OP8_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS p FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+runs AS (SELECT doc_id, p, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+later AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) AS n FROM runs WHERE c IS NOT NULL) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, p + o AS p FROM later, range(3) AS r(o)),
+islands AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gone) GROUP BY doc_id, g),
+totals AS (SELECT doc_id, sum(n) AS n_removed, max(n) AS longest_run FROM islands GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM l WHERE (doc_id, k) NOT IN (SELECT (s.doc_id, s.k) FROM s JOIN gone USING (doc_id, p)) GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n_lines FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, CAST(coalesce(longest_run, 0) AS INTEGER) AS longest_run,
+       CASE WHEN n_removed IS NULL THEN 1.0 ELSE len(regexp_extract_all(coalesce(kept.text, ''), '[^\x20\x09-\x0D]+')) / greatest(1, len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+'))) END AS "left",
+       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS kept_sha256
+FROM documents d LEFT JOIN counted USING (doc_id) LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "longest_run", "left", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -111,4 +139,4 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_substring": OP1_SQL, "op3_url_filter": OP3_SQL, "op8_lines": OP8_SQL}
