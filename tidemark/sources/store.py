@@ -18,11 +18,12 @@ from tidemark.spec import TableSpec
 BUCKETS = 64
 
 
-def _replace(df: DataFrame, path: str, *parts: str) -> None:
+def replace_partitions(df: DataFrame, path: str, *parts: str) -> None:
+    """Write the partitions that ``df`` has rows for, replacing those; others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).schema  # noqa: B018
     except AnalysisException as e:
@@ -50,7 +51,7 @@ def write_change_set(df: DataFrame, root: str, table: str, ctid: int) -> None:
 def read_change_set(spark: SparkSession, root: str, table: str, ctid: int) -> DataFrame | None:
     """A change set, or None: a missing one means that nothing changed."""
     path = change_set_path(root, table, ctid)
-    return spark.read.parquet(path) if _exists(spark, path) else None
+    return spark.read.parquet(path) if exists(spark, path) else None
 
 
 def copy_change_sets(spark: SparkSession, source: str, dest: str, tables: list[tuple[str, int]], ctid: int) -> list[str]:
@@ -69,7 +70,7 @@ def copy_change_sets(spark: SparkSession, source: str, dest: str, tables: list[t
 
 def append_history(changes: DataFrame, ctid: int, root: str, table: str) -> None:
     """Applied changes kept under their ctid; applying a batch again replaces its own part."""
-    _replace(changes.withColumn("CTHistID", F.lit(ctid).cast("long")), f"{root}/history/table={table.lower()}", "CTHistID")
+    replace_partitions(changes.withColumn("CTHistID", F.lit(ctid).cast("long")), f"{root}/history/table={table.lower()}", "CTHistID")
 
 
 def read_history(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -91,7 +92,7 @@ def write_with_layout(df: DataFrame, path: str, spec: TableSpec, layout: str = "
         raise ValueError(f"{spec.name}: a table without a key can't be laid out by it")
     else:
         out = df.withColumn("_bucket", bucket_of(df, spec))
-        _replace(out.repartition("_bucket").sortWithinPartitions("_bucket", *spec.pk), path, "_bucket")
+        replace_partitions(out.repartition("_bucket").sortWithinPartitions("_bucket", *spec.pk), path, "_bucket")
 
 
 def generation_path(root: str, table: str, gen: int) -> str:
@@ -116,7 +117,7 @@ def initial_load(base: DataFrame, spec: TableSpec, root: str, mode: str = "creat
 def generations(spark: SparkSession, root: str) -> dict[str, int]:
     """The generation in force of each table; one row a table."""
     path = f"{root}/pointers"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return {}
     rows = spark.read.parquet(path).groupBy("table_name").agg(F.max_by("gen", "at").alias("gen")).collect()
     return {r["table_name"]: r["gen"] for r in rows}
@@ -150,18 +151,14 @@ def apply_to_buckets(spark: SparkSession, changes: DataFrame, spec: TableSpec, r
         # a bucket that loses its last row must be emptied as well: leave it a file without rows
         whole = new.repartition("_bucket").sortWithinPartitions("_bucket", *spec.pk)
         staged = f"{root}/staging/table={spec.name.lower()}"
-        _replace_all(whole, staged)
-        _replace(spark.read.schema(whole.schema).parquet(staged), path, "_bucket")
+        whole.write.mode("overwrite").parquet(staged)
+        replace_partitions(spark.read.schema(whole.schema).parquet(staged), path, "_bucket")
         left = {r[0] for r in spark.read.schema(whole.schema).parquet(staged).select("_bucket").distinct().collect()}
         for b in sorted(set(touched) - left):
             whole.drop("_bucket").limit(0).write.mode("overwrite").parquet(f"{path}/_bucket={b}")
     return touched
 
 
-def _replace_all(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
 def apply_group(spark: SparkSession, root: str, group: list[tuple[TableSpec, DataFrame]]) -> None:
     """Several tables changed together or not at all: new generations, then one pointer write."""
     now = generations(spark, root)

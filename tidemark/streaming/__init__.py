@@ -48,7 +48,7 @@ def stream_apply(changes: DataFrame, root: str, spec: TableSpec, checkpoint: str
         touched = [r[0] for r in marked.select("_bucket").distinct().collect()]  # at most as many as there are buckets
         if not touched:
             return
-        if store._exists(spark, path):
+        if store.exists(spark, path):
             target = spark.read.parquet(path).where(F.col("_bucket").isin(touched)).drop("_bucket")
         else:
             target = batch.select(*cols, VERSION, F.lit(False).alias("_deleted")).limit(0)
@@ -56,7 +56,7 @@ def stream_apply(changes: DataFrame, root: str, spec: TableSpec, checkpoint: str
         new = new.withColumn("_bucket", store.bucket_of(new, spec))
         staged = f"{root}/staging/table={spec.name.lower()}"
         new.write.mode("overwrite").parquet(staged)
-        store._replace(spark.read.schema(new.schema).parquet(staged).repartition("_bucket"), path, "_bucket")
+        store.replace_partitions(spark.read.schema(new.schema).parquet(staged).repartition("_bucket"), path, "_bucket")
         if spec.history:
             store.append_history(marked.drop("_bucket"), batch_id, root, spec.name)
 
