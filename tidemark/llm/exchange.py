@@ -7,7 +7,9 @@ a million times in a chunk travels once, a bucket holds a fixed share of the key
 one key's frequency, and no row of the shuffle is as wide as Spark's rows for single keys would be.
 
 Chunks are cut from the scan of the documents in reading order, so a task that is run again cuts
-the same ones.  A chunk's name is a digest of its texts, ids and place in the scan.
+the same ones.  A chunk's name is a digest of its texts, ids and place in the scan.  Documents that
+come out of a shuffle should be written to a table first; should they arrive in other chunks when
+they are read for the answers, the job fails rather than lose an answer.
 """
 
 from __future__ import annotations
@@ -164,12 +166,14 @@ def answered(docs: DataFrame, replies: DataFrame, run: Callable, schema: str, li
     than what the chunk sent, so what meets here is bounded by the chunk's size.
     """
     grouped = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
-    both = payload(docs, limit).join(grouped.hint("shuffle_hash"), "chunk", "left")
+    both = payload(docs, limit).join(grouped.hint("shuffle_hash"), "chunk", "full_outer")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
+                if row["lens"] is None:
+                    raise RuntimeError("the documents came in other chunks when read again: write them to a table first")
                 got = {r["bucket"]: r["reply"] for r in row["replies"] or []}
                 yield from run(row["ids"], texts_of(row["lens"], row["texts"]), got)
 
