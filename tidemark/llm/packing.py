@@ -38,7 +38,7 @@ END_ID = 1
 DIMS, BITS, TIE_BITS = 4, 10, 23
 RANGE_TOKENS = 4_000_000
 MAX_RANGES = 4096
-CACHE = 400_000  # space-separated units whose ids a worker remembers
+CACHE = 150_000  # space-separated units whose ids a worker remembers
 
 
 # Fixed value: the pattern by which byte-level vocabularies cut text before merging.
@@ -229,8 +229,8 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         units, table = encoder(tokenizer), projection()
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
                 ids, first = units.encode([t or "" for t in part.column(1).to_pylist()])
                 ties = part.column(0).fill_null(-1).to_numpy(zero_copy_only=False) + np.int64(1)
                 packed = [pa.compress(pa.py_buffer(ids[a:b].tobytes()), "zstd", asbytes=True) for a, b in zip(first[:-1], first[1:], strict=True)]

@@ -7,7 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand rows to Python workers ``rows`` at a time: texts are wide, and every task buffers batches
+    on both sides.  A setting other than Spark's default stays."""
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

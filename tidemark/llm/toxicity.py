@@ -50,7 +50,7 @@ def features(word: bytes) -> list[str]:
     return [w, *[f"{w[:k]}-" for k in PREFIXES if len(w) > k]]
 
 
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 _MEMORY: dict = {}
 
 
