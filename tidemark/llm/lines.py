@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.tables import written
 
 MIN_LINES = 3
-MIN_LEFT = 0.4  # of its words; a document that loses more is a copy, what is left are fragments
+MIN_LEFT = 2.0**-64  # of its words, that is any word: only documents without a word of their own go
 KEY = ["__a", "__b"]
 _SPACES = " \t\x0b\f\r"
 
