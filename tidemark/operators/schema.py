@@ -15,7 +15,7 @@ def _listed(specs: list[TableSpec]):
     return [f"{s.schema}.{s.name}".lower() for s in specs]
 
 
-def parse_ddl_events(events: DataFrame, specs: list[TableSpec] | None = None) -> DataFrame:
+def parse_ddl_events(events: DataFrame, specs: list[TableSpec] | DataFrame | None = None) -> DataFrame:
     """Schema changes in DDL events (id, ts, xml).
 
     ALTER_TABLE gives Add, Drop or Modify for the columns of the first kind of action that the event
@@ -43,8 +43,12 @@ def parse_ddl_events(events: DataFrame, specs: list[TableSpec] | None = None) ->
     return out if specs is None else applicable_changes(out, specs)
 
 
-def applicable_changes(changes: DataFrame, specs: list[TableSpec]) -> DataFrame:
-    """Changes of configured tables and subscribed columns."""
+def applicable_changes(changes: DataFrame, specs: list[TableSpec] | DataFrame) -> DataFrame:
+    """Changes of configured tables and subscribed columns; many tables, all of whose columns are
+    subscribed, can be given as a DataFrame (schema_name, table_name)."""
+    if isinstance(specs, DataFrame):
+        names = specs.select(F.lower("schema_name").alias("__s"), F.lower("table_name").alias("__t")).distinct()
+        return changes.join(names, (F.lower("schema_name") == F.col("__s")) & (F.lower("table_name") == F.col("__t")), "left_semi")
     wanted = F.lit(False)
     for s in specs:
         here = F.lower(F.concat_ws(".", "schema_name", "table_name")) == f"{s.schema}.{s.name}".lower()
@@ -76,7 +80,7 @@ def diff_schemas(previous: DataFrame, current: DataFrame) -> DataFrame:
     return out.withColumn("event_type", kind).where("event_type is not null").select(*key, "event_type", "column_type")
 
 
-def publish_schema_changes(events: DataFrame, columns: DataFrame, specs: list[TableSpec], since) -> DataFrame:
+def publish_schema_changes(events: DataFrame, columns: DataFrame, specs: list[TableSpec] | DataFrame, since) -> DataFrame:
     """Typed changes of events newer than the last successful start.  An added column has a type
     there or is no longer there; both are settled by ``attach_types``."""
     return attach_types(parse_ddl_events(events.where(F.col("ts") > F.lit(since)), specs), columns)

@@ -629,12 +629,12 @@ WHERE e.event_type NOT IN ('Add', 'Modify') OR c.length IS NOT NULL"""
 def attach_types(spark, d):
     listing = table(spark, d, "part").where("p_brand <> 'Brand#3'").groupBy(F.lit("dbo").alias("schema_name"), F.col("p_type").alias("table_name"), F.expr("replace(p_brand, '#', '')").alias("column_name"))
     types = listing.agg(F.max("p_size").alias("length")).select("*", F.lit("varchar").alias("data_type"), F.lit(None).cast("int").alias("precision"), F.lit(None).cast("int").alias("scale"))
-    return S.publish_schema_changes(_events_xml(spark, d), types, [TableSpec(n) for n in _part_types(spark, d)], F.lit("2023-12-31").cast("timestamp")).drop("ts", "precision", "scale")
+    return S.publish_schema_changes(_events_xml(spark, d), types, _part_types(spark, d), F.lit("2023-12-31").cast("timestamp")).drop("ts", "precision", "scale")
 
 
 def _part_types(spark, d):
-    """The few type names of ``part``: they are configuration here."""
-    return [r[0] for r in table(spark, d, "part").select("p_type").distinct().limit(1000).collect()]
+    """The tables subscribed here: all type names of ``part``."""
+    return table(spark, d, "part").select(F.lit("dbo").alias("schema_name"), F.col("p_type").alias("table_name")).distinct()
 
 
 @query(
