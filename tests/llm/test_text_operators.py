@@ -164,18 +164,19 @@ def test_hilbert_neighbours_touch():
     assert sorted(key) == list(range(512)) and np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(axis=1).max() == 1
 
 
-def test_units_encode_like_whole_texts():
+def test_pieces_encode_like_whole_texts(monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     whole, own = tokenizers.Tokenizer.from_file(path), packing.Encoder(path)
     rng = random.Random(5)
     texts = ["", "a", " a", "a  b", "a \n b", "x\n\ny z  ", "\t\t a<|endoftext|> b", "it's  we'll   no", "é à b c", " \n", "   ", "nul\0l a"]
     texts += ["".join(rng.choice(["a", "B", "7", " ", "  ", "\n", "'s", "é", "#", "\t", "　"]) for _ in range(rng.randint(1, 40))) for _ in range(400)]
-    for _ in range(2):
+    for limit in (packing.PIECE, 1, 5):
+        monkeypatch.setattr(packing, "PIECE", limit)
         ids, first = own.encode(texts)
         for k, t in enumerate(texts):
             assert list(ids[first[k] : first[k + 1]]) == [*whole.encode(t, add_special_tokens=False).ids, packing.END_ID]
-        own._forget()
+    assert own.quick is not None
 
 
 def test_packing(spark, docs, edge, empty):

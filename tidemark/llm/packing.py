@@ -2,18 +2,20 @@
 
 Every document becomes token ids with an end id.  Its hashed bag of ids is projected to four
 dimensions, whose quantised values give a position on a Hilbert curve: documents with similar
-vocabulary lie close together on it.  Documents are sorted along the curve and laid end to end, and
-the line is cut every ``size`` ids, so neighbours on the curve share sequences and only the very
-last sequence can be padded.
+vocabulary lie close together on it.  Documents are range-partitioned and sorted along the curve,
+and those of a range are laid end to end and cut every ``size`` ids, so neighbours on the curve share
+sequences and only the last sequence of a range can be padded.
 
-The curve is dealt into ranges at approximate quantiles of the curve position; the last bits of the
-position come from a hash of the document's id, so many copies of one text spread over ranges.  One
-small aggregation gives the ids in each range (at most ``MAX_RANGES`` numbers reach the driver), which
-fixes where each range begins on the line; the ranges are then cut independently.  The token ids are
-written once to the shared folder, so nothing is tokenised twice, and shuffled once.
+Ranges hold ``LEAST`` to ``MOST`` ids, as many as there are shuffle partitions where the total allows,
+so a task is no longer than ``MOST`` however large the corpus is, and less than one sequence in
+``LEAST / size`` is padded.  The last bits of the position come from a hash of the document's id and of
+its place in the scan, so many copies of one text spread over ranges.  The token ids are written once
+to the shared folder, so nothing is tokenised twice, and shuffled once; one number reaches the driver.
 
 Null and empty texts are documents of the end id alone; repeated rows are packed each; null ids are
-kept; documents longer than a sequence are cut; the empty table gives an empty result.
+kept; documents longer than a sequence are cut, and texts of over ``PIECE`` characters are tokenised
+piece by piece; ties on the curve are laid in the order of their ids; the empty table gives an empty
+result; other columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +39,13 @@ from tidemark.llm.words import mix
 SIZE = 2048
 END_ID = 1
 DIMS, BITS, TIE_BITS = 4, 10, 23
-RANGE_TOKENS = 4_000_000
-MAX_RANGES = 4096
-CACHE = 150_000  # space-separated units whose ids a worker remembers
+LEAST, MOST = 1_000_000, 64_000_000  # ids of a range
+PIECE = 1_000_000  # characters of a text tokenised at once
 
 
 # Fixed value: the pattern by which byte-level vocabularies cut text before merging.
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Possessive quantifiers, so that long runs cost nothing.
+_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 def _bytes_of() -> dict[str, int]:
@@ -67,15 +70,16 @@ def _quick(spec: dict):
     return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_GOES_ON = re.compile(r" (?=\s|$)")
+_CUT = re.compile(r" (?=\S)")
 
 
 class Encoder:
-    """Token ids of texts by a ``tokenizers`` file, each distinct space-separated unit encoded once.
+    """Token ids of texts by a ``tokenizers`` file.
 
-    The tokenizer's pattern never joins characters across a space that precedes a non-space, so a
-    text may be encoded unit by unit; where a space is followed by white space or nothing, the unit
-    goes on.  A full memory keeps the units that were met more than once.
+    The merges of a byte-level file are run by tiktoken, which is several times faster.  Texts that
+    hold an added token take the tokenizer itself, and so do all if the two disagree on any of the
+    first texts that a worker meets.  The file's pattern never joins characters across a space that
+    precedes a non-space, so a long text is cut there.
     """
 
     def __init__(self, path: str):
@@ -86,85 +90,48 @@ class Encoder:
             spec = json.load(f)
         self.quick = _quick(spec)
         self.added = [a["content"] for a in spec["added_tokens"]]
-        self.known: dict[str, int] = {"": 0}  # the unit "" stands for the end of a text
-        self.flat = np.array([END_ID], np.uint16)
-        self.length = np.array([1], np.int32)
-        self.hits = np.zeros(1, np.int64)
-
-    def _forget(self) -> None:
-        keep = self.hits > 1
-        keep[0] = True
-        if keep.sum() > CACHE // 2:
-            keep &= self.hits > np.partition(self.hits, -CACHE // 2)[-CACHE // 2]
-            keep[0] = True
-        self.known = {u: n for n, u in enumerate(u for u, k in zip(list(self.known), keep.tolist(), strict=True) if k)}
-        self.flat = self.flat[np.repeat(keep, self.length)]
-        self.length = self.length[keep]
-        self.hits = self.hits[keep]
-
-    def _ids(self, units: list[str]) -> list[list[int]]:
-        """Ids of distinct units: the same merges run by tiktoken, which is several times faster on
-        single words.  Units that hold an added token take the tokenizer itself, and so do all if the
-        two disagree on any of the first units that are met."""
-        if self.quick is None:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        merge = self.quick.encode_ordinary
-        out = [merge(u) for u in units]
-        odd = [n for n, u in enumerate(units) if any(a in u for a in self.added)]
-        some = odd + list(range(min(len(units), 200) if len(self.known) == 1 else 0))
-        for n, e in zip(some, self.tokenizer.encode_batch_fast([units[n] for n in some], add_special_tokens=False), strict=True):
-            if n not in odd and out[n] != e.ids:
-                self.quick = None
-                return self._ids(units)
-            out[n] = e.ids
-        return out
-
-    def _learn(self, units: list[str]) -> None:
-        some = self._ids(units)
-        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(some), np.uint16)])
-        self.length = np.concatenate([self.length, np.fromiter(map(len, some), np.int32, len(some))])
-        self.hits = np.concatenate([self.hits, np.zeros(len(units), np.int64)])
+        self.size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.compared = 0
 
     @staticmethod
-    def units(text: str) -> list[str]:
-        if "\0" not in text and not _GOES_ON.search(text):
-            out = text.replace(" ", "\0 ").split("\0")
-            return out if out[0] else out[1:]
-        parts = text.split(" ")
-        out = [parts[0]] if parts[0] else []
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(" " + p)
-            elif out:
-                out[-1] += " " + p
-            else:
-                out.append(" " + p)
-        return out
+    def pieces(text: str) -> Iterator[str]:
+        """A long text cut where the tokenizer's pattern begins a new match in any case."""
+        at = 0
+        while len(text) - at > PIECE:
+            m = _CUT.search(text, at + PIECE)
+            if m is None:
+                break
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
+    def _exact(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _ids(self, text: str) -> list[int]:
+        if self.quick is None or any(a in text for a in self.added):
+            return self._exact(text)
+        got = self.quick.encode_ordinary(text)
+        if self.compared < 50 and got:
+            self.compared += 1
+            exact = self._exact(text)
+            if got != exact:
+                self.quick = None
+            return exact
+        return got
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, each text followed by the end id; and where each text begins."""
-        if len(self.known) > CACHE:
-            self._forget()
-        units: list[str] = []
-        first = [0]
+        parts: list[np.ndarray] = []
+        n = []
         for t in texts:
-            units += self.units(t)
-            units.append("")
-            first.append(len(units))
-        index = list(map(self.known.get, units))
-        missed = [k for k, i in enumerate(index) if i is None]
-        if missed:
-            self._learn(list(dict.fromkeys([units[k] for k in missed])))
-            for k in missed:
-                index[k] = self.known[units[k]]
-        which = np.array(index, np.int32)
-        self.hits += np.bincount(which, minlength=len(self.hits))
-        n = self.length[which]
-        ends = np.cumsum(n, dtype=np.int64)
-        at = ((np.cumsum(self.length, dtype=np.int64) - self.length)[which] - (ends - n)).astype(np.int32)
-        ids = self.flat[np.repeat(at, n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
-        return ids, np.concatenate([[0], ends])[np.array(first)]
+            own = [np.fromiter(self._ids(p), self.kind) for p in self.pieces(t)] if len(t) > PIECE else [self._ids(t)]
+            n.append(sum(map(len, own)) + 1)
+            parts += own
+            parts.append([END_ID])
+        first = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        return np.fromiter(chain.from_iterable(parts), self.kind, first[-1]), first
 
 
 _ENCODERS: dict[str, Encoder] = {}  # a worker process keeps what it has learnt from task to task
@@ -176,7 +143,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def projection(vocabulary: int = 1 << 16) -> np.ndarray:
+def projection(vocabulary: int) -> np.ndarray:
     """A fixed random direction in [-1, 1) per token id and dimension."""
     h = mix(np.arange(1, vocabulary * DIMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(vocabulary, DIMS)
     return ((h >> np.uint64(40)).astype(np.float32) / np.float32(1 << 23)) - np.float32(1)
@@ -221,18 +188,22 @@ TOKENS = "doc_id long, curve long, n long, ids binary"
 
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, curve, n, ids): ids as zstd over little-endian 16-bit numbers."""
+    """(doc_id, curve, n, ids): ids as zstd over little-endian numbers of two or four bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        units, table = encoder(tokenizer), projection()
+        own = encoder(tokenizer)
+        table = projection(own.size)
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids, first = units.encode([t or "" for t in part.column(1).to_pylist()])
-                ties = part.column(0).fill_null(-1).to_numpy(zero_copy_only=False) + np.int64(1)
+                ids, first = own.encode([t or "" for t in part.column(1).to_pylist()])
+                place = mix(np.arange(row, row + part.num_rows, dtype=np.uint64))
+                row += part.num_rows
+                ties = part.column(0).fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64) + place
                 packed = [pa.compress(pa.py_buffer(ids[a:b].tobytes()), "zstd", asbytes=True) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(curve_positions(ids, first, table, ties)), pa.array(np.diff(first)), pa.array(packed, pa.binary())],
@@ -246,39 +217,29 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = True) -> DataFrame:
-    """One row per piece of a document: where it starts there, its ids, and its place in a sequence."""
+    """One row per piece of a document: where it starts there, its ids, and its place in a sequence.
+
+    A sequence's id is its range's number times 2**32 plus its number in the range."""
     tokens = written(tokenised(docs, tokenizer))
     total = tokens.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, min(MAX_RANGES, -(-total // RANGE_TOKENS)))
-    shares = [k / ranges for k in range(1, ranges)]
-    cuts = tokens.agg(F.percentile_approx("curve", shares, max(10000, 20 * ranges)).alias("q")).first()[0] if shares else []
-    edges = np.array(cuts or [], np.int64)
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            r = np.searchsorted(edges, batch.column("curve").to_numpy(zero_copy_only=False), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), *batch.columns], names=["r", *batch.schema.names])
-
-    sums = tokens.select("curve", "n").mapInArrow(dealt, "r int, curve long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()
-    count = np.zeros(ranges, np.int64)
-    for row in sums:
-        count[row["r"]] = row["n"]
-    begin = np.cumsum(count) - count
+    each = min(MOST, max(LEAST, -(-total // partitions_of(docs))))
+    line = tokens.repartitionByRange(max(1, -(-total // each)), "curve").sortWithinPartitions("curve", "doc_id").withColumn("r", F.spark_partition_id())
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = encoder(tokenizer).kind
         now, at = -1, 0
         for batch in batches:
             rows: list[tuple] = []
-            for r, doc, _, n, blob in zip(*(batch.column(c).to_pylist() for c in ("r", "doc_id", "curve", "n", "ids")), strict=True):
+            for r, doc, n, blob in zip(*(batch.column(c).to_pylist() for c in ("r", "doc_id", "n", "ids")), strict=True):
                 if r != now:
-                    now, at = r, int(begin[r])
-                ids = np.frombuffer(pa.decompress(blob, 2 * n, "zstd", asbytes=True), np.uint16).astype("<u4")
+                    now, at = r, 0
+                ids = np.frombuffer(pa.decompress(blob, kind.itemsize * n, "zstd", asbytes=True), kind).astype("<u4")
                 done = 0
                 while done < n:
                     sequence, offset = divmod(at, size)
                     take = min(n - done, size - offset)
                     piece = ids[done : done + take]
-                    rows.append((doc, done, take, zlib.crc32(piece.tobytes()), n, sequence, offset, piece.astype(np.int32) if with_ids else None))
+                    rows.append((doc, done, take, zlib.crc32(piece.tobytes()), n, (r << 32) + sequence, offset, piece.astype(np.int32) if with_ids else None))
                     done, at = done + take, at + take
                 if len(rows) >= 2000:
                     yield _pieces(rows)
@@ -286,8 +247,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = Tru
             if rows:
                 yield _pieces(rows)
 
-    placed = tokens.mapInArrow(dealt, f"r int, {TOKENS}").repartition(partitions_of(docs), "r")
-    return placed.sortWithinPartitions("r", "curve", "doc_id", "n", "ids").mapInArrow(lay, PIECES)
+    return line.mapInArrow(lay, PIECES)
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
