@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -296,6 +297,61 @@ def base_spans(t):
     return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
 
 
+def test_long_texts_take_time_in_proportion():
+    """Runs of one character or word, where a pattern that begins anew at each would take hours."""
+    began = time.perf_counter()
+    for c in [*"a1%.+- @([é\uff11", "a@", "a@a.", "one ", "1 dot ", "a at ", "a dot ", "+1", "1-", "1.", "plus ", "\u0430", "(at) a", "x [dot] "]:
+        text = (c * 500_000)[:500_000] if len(c) == 1 else c * (500_000 // len(c))
+        pii.all_spans(text)
+        pii.all_spans("a [at] b " + text)
+    assert time.perf_counter() - began < 120
+
+
+def test_rewriting_keeps_offsets():
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))
+        r, plain = pii.Rewritten(text), [(c, k, k + 1, False) for k, c in enumerate(text)]
+        for _ in range(2):
+            edits, at = [], 0
+            while at < len(r.text):
+                a = rng.randint(at, len(r.text) - 1)
+                b = rng.randint(a + 1, min(len(r.text), a + 3))
+                edits.append((a, b, rng.choice(["", "X", "YZ"])))
+                at = b
+            new, at = [], 0
+            for a, b, x in edits:
+                new += plain[at:a]
+                if x:
+                    new += [(c, plain[a][1], plain[b - 1][2], True) for c in x]
+                elif new:
+                    new[-1] = (*new[-1][:3], True)
+                at = b
+            plain = new + plain[at:]
+            r.replace(edits)
+            assert list(zip(r.text, r.start.tolist(), r.end.tolist(), r.changed.tolist(), strict=True)) == plain
+
+
+def test_recall_of_disguises():
+    """Addresses and numbers written in random disguises are found where they stand."""
+    rng = random.Random(12)
+    spelled = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    found = 0
+    for _ in range(400):
+        word = lambda: "".join(rng.choice("bdfgklmnortz") for _ in range(rng.randint(3, 7)))
+        at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("@", "[.]"), (" {AT} ", ".")])
+        thing = rng.choice([
+            f"{word()}{at}{word()}{dot}com",
+            f"{word()}@{word()}.com".replace("o", "о"),
+            rng.choice(["plus ", "+"]) + rng.choice([" ", "-"]).join(spelled[rng.randrange(10)] for _ in range(11)),
+            " dot ".join(str(rng.randrange(256)) for _ in range(4)),
+        ])
+        head = " ".join(word() for _ in range(rng.randint(1, 5))) + ": "
+        spans = pii.all_spans(head + thing + " " + word())
+        found += any(a <= len(head) + 1 and b == len(head + thing) for _, a, b in spans)
+    assert found >= 0.9 * 400, found
+
+
 def test_pii(docs, edge, empty):
     rng = random.Random(11)
     parts = ["a", "@", ".", "b.c", "1", "255", "256", "4111111111111111", " ", "-", "+", "(", ")", "00", "%", "x@y.z", "1.2.3.4"]
