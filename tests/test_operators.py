@@ -231,9 +231,10 @@ def test_late_and_repeated_changes_in_a_stream(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         stream_apply(stream, root, spec, str(tmp_path / "cp")).awaitTermination()
-    got = live(spark.read.parquet(store.generation_path(root, "t", 0)).drop("_bucket"))
+    got = live(store.read_target(spark, root, spec))
     assert sorted(tuple(r) for r in got.select("k", "v").collect()) == [(1, "a"), (3, "c2")]
     assert store.read_history(spark, root, "t").select("CTHistID").distinct().count() == 3
+    assert sorted((r.ctid, r.sync_start_version, r.sync_stop_version, r.rows) for r in store.read_ledger(spark, root, "stream").collect()) == [(0, 5, 6, 2), (1, 3, 8, 3), (2, 5, 9, 3)]
 
 
 def test_bits_and_routes(spark):

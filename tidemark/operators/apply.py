@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -27,13 +27,30 @@ def _names(spec: TableSpec) -> list[str]:
     return [f"__k{n}" for n in range(len(spec.pk))]
 
 
+def _alone(df: DataFrame, names: list[str]) -> Column:
+    """0, or for a row with a null in its key a number of its own contents: such rows match nothing,
+    and as a further join key it keeps many of them from meeting in one task."""
+    lone = F.lit(False)
+    for k in names:
+        lone = lone | F.col(k).isNull()
+    return F.when(lone, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).otherwise(F.lit(0).cast("long"))
+
+
 def merged(target: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:
     """Target and changes joined in full, with ``__action`` per row: KEEP, UPDATE, DELETE, INSERT,
-    or null for a delete of a row that isn't there.  Null keys match nothing."""
+    or null for a delete of a row that isn't there.  Null keys match nothing.  Two changes of one key
+    are an error, as they are for a MERGE."""
+    names = _names(spec)
     t = _keyed(target, spec).withColumn("__t", F.lit(True))
+    t = t.withColumn("__alone", _alone(target, names))
     cols = [c for c in changes.columns if c not in META]
-    renamed = _keyed(changes, spec).select(*_names(spec), OP, *[F.col(c).alias(f"__c_{c}") for c in cols])
-    out = t.join(renamed, _names(spec), "full_outer")
+    c = _keyed(changes, spec)
+    c = c.withColumn("__alone", _alone(changes, names))
+    same = F.count(F.lit(1)).over(Window.partitionBy(*names, "__alone"))  # the join's own partitioning
+    twice = F.raise_error(F.concat(F.lit(f"{spec.name}: more than one change of the key "), F.concat_ws(", ", *[F.col(k).cast("string") for k in names])))
+    c = c.withColumn("__same", same).withColumn(OP, F.when((F.col("__same") > 1) & (F.col("__alone") == 0), twice.cast("string")).otherwise(F.col(OP)))
+    renamed = c.select(*names, "__alone", OP, *[F.col(x).alias(f"__c_{x}") for x in cols])
+    out = t.join(renamed, [*names, "__alone"], "full_outer")
     hit, change = F.coalesce("__t", F.lit(False)), F.col(OP)
     action = F.when(hit & (change == "D"), "DELETE").when(hit & change.isNotNull(), "UPDATE").when(hit, "KEEP").when(change != "D", "INSERT")
     out = out.withColumn("__action", action)

@@ -41,26 +41,53 @@ def subscribed_tables(manifest: DataFrame, specs: list[TableSpec]) -> DataFrame:
     return manifest.where(F.lower(F.concat_ws(".", "schema_name", "table_name")).isin(keys))
 
 
+#: Operations as numbers, so that an aggregation over them is hashed and not sorted.
+CODES = {"D": 0, "I": 1, "U": 2}
+
+
+def _code(op: Column) -> Column:
+    out = F.lit(None).cast("int")
+    for name, code in CODES.items():
+        out = F.when(op == name, F.lit(code)).otherwise(out)
+    return out
+
+
+def _decoded(code: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(name) for name in CODES]), code.cast("int") + 1)
+
+
 def net_changes(log: DataFrame, pk: tuple[str, ...], start: int | None = None) -> DataFrame:
     """One row per key: last version, net operation, and the version of the row's creation, if any.
 
     The log has the key columns, ``version`` and ``op`` (I, U, D).  Net: D if the last change is one;
-    else I if the window holds an insert, which also gives the creation version; else U.  One
+    else I if the window holds an insert, which also gives the creation version; else U.  One hash
     aggregation with map-side combining; nothing is sorted.
     """
     window = log if start is None else log.where(F.col("version") > start)
     got = window.groupBy(*pk).agg(
         F.max("version").alias(VERSION),
-        F.max_by("op", "version").alias("__last"),
+        F.max_by(_code(F.col("op")), "version").alias("__last"),
         F.max(F.when(F.col("op") == "I", F.col("version"))).alias("creation_version"),
     )
-    op = F.when(F.col("__last") == "D", "D").when(F.col("creation_version").isNotNull(), "I").otherwise("U")
+    op = F.when(F.col("__last") == CODES["D"], "D").when(F.col("creation_version").isNotNull(), "I").otherwise("U")
     return got.select(*pk, VERSION, op.alias(OP), "creation_version")
 
 
+#: Keys that are sent to every task to pick their rows from the base, instead of shuffling it.
+FEW = 200_000
+
+
 def _joined(net: DataFrame, base: DataFrame, spec: TableSpec) -> DataFrame:
-    """Keys from the change side, other subscribed columns from the base, null where it is gone."""
-    side = project_columns(base, spec).withColumn("__alive", F.lit(True))
+    """Keys from the change side, other subscribed columns from the base, null where it is gone.
+
+    Changes are few beside the base, as a rule: up to ``FEW`` keys (counted first) are broadcast, and
+    only the rows that they pick are shuffled.
+    """
+    side = project_columns(base, spec)
+    keys = net.select(*spec.pk)
+    if keys.limit(FEW + 1).count() <= FEW:
+        side = side.join(F.broadcast(keys), list(spec.pk), "left_semi")
+    side = side.withColumn("__alive", F.lit(True))
     out = net.join(side, list(spec.pk), "left")
     rest = [c for c in side.columns if c not in (*spec.pk, "__alive")]
     gone = F.col(OP) == "D"
@@ -88,8 +115,12 @@ def capture_by_time(log: DataFrame, base: DataFrame, spec: TableSpec, since, unt
     window = log.where(F.col("ts") > F.lit(since))
     if until is not None:
         window = window.where(F.col("ts") <= F.lit(until))
-    last = window.groupBy(*spec.pk).agg(F.max(F.struct("ts", "version", "op")).alias("x"))
-    net = last.select(*spec.pk, F.col("x.version").alias(VERSION), F.col("x.op").alias(OP), F.lit(None).cast("long").alias("creation_version"))
+    # time and version in one number, so that the aggregation is hashed
+    wide = lambda c: c.cast("decimal(38,0)")
+    place = wide(wide(F.unix_micros(F.col("ts").cast("timestamp"))) * wide(F.lit("1" + 19 * "0")) + F.col("version"))
+    last = window.withColumn("__place", place).groupBy(*spec.pk)
+    last = last.agg(F.max_by("version", "__place").alias(VERSION), F.max_by(_code(F.col("op")), "__place").alias("__code"))
+    net = last.select(*spec.pk, VERSION, _decoded(F.col("__code")).alias(OP), F.lit(None).cast("long").alias("creation_version"))
     out = _joined(net, base, spec).where((F.col(OP) == "D") | F.col("__alive")).drop("creation_version", "__alive")
     return shorten(out, spec.shorten) if spec.shorten else out
 
@@ -103,12 +134,16 @@ def next_time_window(registry: DataFrame, now: Column) -> DataFrame:
     return registry.join(opened.select("feed", "ctid"), ["feed", "ctid"], "left_anti").unionByName(opened)
 
 
-def dedupe_changes(df: DataFrame, pk: tuple[str, ...], order: tuple[str, ...] = (VERSION,)) -> DataFrame:
-    """Of each key the row that is last in ``order``; rows with a null in the key all stay."""
-    # a null key gets a number of its own, so that such rows share neither a group nor a task
+def lone(pk: tuple[str, ...]) -> Column:
+    """Null, or for a row with a null in the key a number of its own, so that such rows share neither a
+    group nor a task."""
     whole = F.lit(True)
     for c in pk:
         whole = whole & F.col(c).isNotNull()
+    return F.when(~whole, F.monotonically_increasing_id())
+
+
+def dedupe_changes(df: DataFrame, pk: tuple[str, ...], order: tuple[str, ...] = (VERSION,)) -> DataFrame:
+    """Of each key the row that is last in ``order``; rows with a null in the key all stay."""
     w = Window.partitionBy(*pk, "__lone").orderBy(*[F.desc(c) for c in order])
-    lone = df.withColumn("__lone", F.when(~whole, F.monotonically_increasing_id()))
-    return lone.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__lone")
+    return df.withColumn("__lone", lone(pk)).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__lone")

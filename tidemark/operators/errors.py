@@ -35,8 +35,21 @@ def mark_sent(errors: DataFrame, ids: DataFrame) -> DataFrame:
     return errors.join(hit, "id", "left").withColumn("sent", F.col("sent") | F.coalesce("__hit", F.lit(False))).drop("__hit").select(*errors.columns)
 
 
-def step_metrics(published: DataFrame, applied: DataFrame) -> DataFrame:
-    """Per feed, subscriber and batch: minutes from capture to apply, and versions applied."""
+def step_metrics(published: DataFrame, applied: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Per feed, subscriber and batch: versions applied, minutes from capture to apply and, with
+    ``counts`` (feed, subscriber, ctid, rows), the rows."""
     p = published.select("feed", "ctid", F.col("sync_start_time").alias("captured"), (F.col("sync_stop_version") - F.col("sync_start_version")).alias("versions"))
     a = applied.where("sync_stop_time is not null").select("feed", "subscriber", "ctid", F.col("sync_stop_time").alias("done"))
-    return p.join(a, ["feed", "ctid"]).select("feed", "subscriber", "ctid", "versions", F.timestamp_diff("MINUTE", "captured", "done").alias("lag_minutes"))
+    out = p.join(a, ["feed", "ctid"]).select("feed", "subscriber", "ctid", "versions", F.timestamp_diff("MINUTE", "captured", "done").alias("lag_minutes"))
+    if counts is None:
+        return out
+    key = ["feed", "subscriber", "ctid"]
+    return out.join(counts.groupBy(*key).agg(F.sum("rows").alias("rows")), key, "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
+
+
+def step_durations(steps: DataFrame) -> DataFrame:
+    """Per batch and step (feed, ctid, step, began, ended, rows): how often it ran, milliseconds in all,
+    and the rows of its last run."""
+    at = lambda c: F.col(c).cast("timestamp")
+    took = F.unix_millis(at("ended")) - F.unix_millis(at("began"))
+    return steps.groupBy("feed", "ctid", "step").agg(F.count(F.lit(1)).alias("runs"), F.sum(took).alias("millis"), F.max_by("rows", F.unix_micros(at("began"))).alias("rows"))

@@ -109,15 +109,18 @@ def mark_complete(ledger: DataFrame, hit: Column, now: Column) -> DataFrame:
 
 def plan_subscriber(published: DataFrame, ledger: DataFrame, threshold: int) -> DataFrame:
     """Batches each subscriber should apply, with the mode: incomplete ones first, else what is newly
-    published; below ``threshold`` batches one by one, else merged."""
+    published; below ``threshold`` batches one by one, else merged.  Where the ledger keeps the mode
+    (column ``mode``), batches that are resumed keep theirs, whatever the threshold is by now."""
     cols = ["feed", "subscriber", "ctid", "sync_start_version", "sync_stop_version", "sync_bitwise"]
-    open_ = incomplete_batches(ledger).select(*cols, F.lit("resume").alias("why"))
+    kept = F.col("mode") if "mode" in ledger.columns else F.lit(None).cast("string")
+    open_ = incomplete_batches(ledger).select(*cols, F.lit("resume").alias("why"), kept.alias("__kept"))
     last = ledger.groupBy("feed", "subscriber").agg(F.max("ctid").alias("ctid"))
     idle = last.join(open_.select("feed", "subscriber").distinct(), ["feed", "subscriber"], "left_anti")
     new = pending_batches(published, idle).withColumn("sync_bitwise", F.lit(0)).select(*cols, F.lit("new").alias("why"))
-    todo = open_.unionByName(new)
-    count = todo.groupBy("feed", "subscriber").agg(F.count(F.lit(1)).alias("__n"))
-    return todo.join(count, ["feed", "subscriber"]).withColumn("mode", F.when(F.col("__n") < threshold, "single").otherwise("merged")).drop("__n")
+    todo = open_.unionByName(new, allowMissingColumns=True)
+    count = todo.groupBy("feed", "subscriber").agg(F.count(F.lit(1)).alias("__n"), F.max("__kept").alias("__mode"))
+    mode = F.coalesce("__mode", F.when(F.col("__n") < threshold, "single").otherwise("merged"))
+    return todo.drop("__kept").join(count, ["feed", "subscriber"]).withColumn("mode", mode).drop("__n", "__mode")
 
 
 def is_full_run_time(last: Column, now: Column, hours: Column) -> Column:
@@ -140,7 +143,7 @@ def finish_init(registry: DataFrame, hit: Column, now: Column) -> DataFrame:
 
 
 def cleanup_init(registry: DataFrame, batches: DataFrame) -> DataFrame:
-    """Finished entries dropped once a batch of the feed has started beyond their version."""
-    out = registry.join(batches.select("feed", "sync_start_version"), "feed", "left")
-    old = ~F.col("in_progress") & (F.col("next_version") < F.col("sync_start_version"))
-    return out.where(~F.coalesce(old, F.lit(False))).drop("sync_start_version")
+    """Entries dropped that were finished before the start of their feed's batch (sync_start_time)."""
+    out = registry.join(batches.select("feed", "sync_start_time"), "feed", "left")
+    old = ~F.col("in_progress") & (F.col("finished") < F.col("sync_start_time"))
+    return out.where(~F.coalesce(old, F.lit(False))).drop("sync_start_time")

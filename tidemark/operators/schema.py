@@ -11,8 +11,8 @@ from tidemark.spec import TableSpec
 CHANGE = ["event_id", "schema_name", "table_name", "event_type", "column_name", "new_column_name"]
 
 
-def _listed(specs: list[TableSpec]):
-    return [f"{s.schema}.{s.name}".lower() for s in specs]
+_ACTIONS = ", ".join(f"{k}: struct<Columns: struct<Name: array<string>>>" for k in ("Create", "Alter", "Drop"))
+_EVENT = ", ".join(f"{k} string" for k in ("EventType", "SchemaName", "ObjectName", "ObjectType", "TargetObjectName", "NewObjectName")) + f", AlterTableActionList struct<{_ACTIONS}>"
 
 
 def parse_ddl_events(events: DataFrame, specs: list[TableSpec] | DataFrame | None = None) -> DataFrame:
@@ -22,13 +22,12 @@ def parse_ddl_events(events: DataFrame, specs: list[TableSpec] | DataFrame | Non
     lists; RENAME of a column gives Rename (the table is the target object, the column the object).
     Other events, and tables or columns that aren't subscribed, give nothing.
     """
-    at = lambda path: F.xpath_string("xml", F.lit(f"/EVENT_INSTANCE/{path}"))
-    names = lambda kind: F.xpath("xml", F.lit(f"/EVENT_INSTANCE/AlterTableActionList/{kind}/Columns/Name/text()"))
-    first = F.expr("xpath_string(xml, 'name(/EVENT_INSTANCE/AlterTableActionList/*[1])')")
     kinds = {"Create": "Add", "Alter": "Modify", "Drop": "Drop"}
-    read = events.select(
-        F.col("id").alias("event_id"), "ts", at("EventType").alias("kind"), at("SchemaName").alias("schema_name"), at("ObjectName").alias("object"), at("ObjectType").alias("object_type"),
-        at("TargetObjectName").alias("target"), at("NewObjectName").alias("new_name"), first.alias("action"), *[names(k).alias(k) for k in kinds],
+    x = F.from_xml("xml", F.lit(_EVENT))  # one pass over the text
+    first = F.regexp_extract("xml", r"<AlterTableActionList>\s*<(\w+)", 1)
+    read = events.select(F.col("id").alias("event_id"), "ts", x.alias("x"), first.alias("action")).select(
+        "event_id", "ts", "action", F.col("x.EventType").alias("kind"), F.col("x.SchemaName").alias("schema_name"), F.col("x.ObjectName").alias("object"), F.col("x.ObjectType").alias("object_type"),
+        F.col("x.TargetObjectName").alias("target"), F.col("x.NewObjectName").alias("new_name"), *[F.col(f"x.AlterTableActionList.{k}.Columns.Name").alias(k) for k in kinds],
     )
     columns = F.lit(None).cast("array<string>")
     label = F.lit(None).cast("string")
@@ -81,9 +80,12 @@ def diff_schemas(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def publish_schema_changes(events: DataFrame, columns: DataFrame, specs: list[TableSpec] | DataFrame, since) -> DataFrame:
-    """Typed changes of events newer than the last successful start.  An added column has a type
-    there or is no longer there; both are settled by ``attach_types``."""
-    return attach_types(parse_ddl_events(events.where(F.col("ts") > F.lit(since)), specs), columns)
+    """Typed changes of events newer than the last successful start.  A column that is no longer there
+    gives no change; one that is there but has no type in the listing is an error if it was added."""
+    typed = attach_types(parse_ddl_events(events.where(F.col("ts") > F.lit(since)), specs), columns)
+    missing = F.raise_error(F.concat(F.lit("no type for the added column "), F.concat_ws(".", "schema_name", "table_name", "column_name")))
+    kind = F.when((F.col("event_type") == "Add") & F.col("data_type").isNull(), missing.cast("string")).otherwise(F.col("event_type"))
+    return typed.withColumn("event_type", kind)
 
 
 #: Spark types for base types of a change.

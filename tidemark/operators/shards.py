@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import UPLOAD, has_bit
 from tidemark.operators.apply import union_all
+from tidemark.operators.changes import lone
 from tidemark.spec import OP
 
 
@@ -19,9 +20,10 @@ def ordinal(shard: Column, order: list[str]) -> Column:
 
 
 def merge_shard_rows(rows: DataFrame, pk: tuple[str, ...], order: list[str]) -> DataFrame:
-    """Of each key the first row in shard order, except that an I or U of any shard beats a D."""
-    w = Window.partitionBy(*pk).orderBy((F.col(OP) == "D").cast("int"), ordinal(F.col("shard"), order), "shard")
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """Of each key the first row in shard order, except that an I or U of any shard beats a D.  Rows
+    with a null in the key match no others, so all of them stay."""
+    w = Window.partitionBy(*pk, "__lone").orderBy((F.col(OP) == "D").cast("int"), ordinal(F.col("shard"), order), "shard")
+    return rows.withColumn("__lone", lone(pk)).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__lone")
 
 
 def merge_shards(shards: list[tuple[str, DataFrame]], pk: tuple[str, ...], order: list[str]) -> DataFrame:

@@ -1,25 +1,37 @@
 """Publishing, applying and merging whole batches.
 
-Each flow takes the tables of one batch, runs an independent job per table, and returns what
-happened as rows; a failing table becomes a row of the error log unless its spec says to stop.
+Each flow works step by step on the tables of a batch, with a job per table.  What is done is kept as
+progress bits in a ledger, so a run that failed is resumed where it stopped: steps whose bit is set
+are skipped, and every step can be repeated.  A failing table becomes a row of the error log unless
+its spec says to stop.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.apply import apply_counts, union_all
+from tidemark.functions import APPLY, APPLY_SCHEMA, CAPTURE, COMPLETE, CONSOLIDATE, DOWNLOAD, HISTORY, PUBLISH_SCHEMA, UPLOAD
+from tidemark.operators import schema as S
+from tidemark.operators.apply import pair_archives, union_all
 from tidemark.operators.changes import capture_changes, dedupe_changes
 from tidemark.operators.consolidate import consolidate
+from tidemark.operators.errors import log_errors
+from tidemark.operators.ledger import last_start_time
 from tidemark.operators.manifest import build_manifest, spec_table
+from tidemark.operators.retention import expired_ctids
 from tidemark.operators.shards import merge_shards
 from tidemark.sources import store
 from tidemark.spec import OP, TableSpec
 
 Failure = tuple[str, str]
+LEDGER = "feed string, ctid long, sync_start_version long, sync_stop_version long, sync_start_time timestamp, sync_stop_time timestamp, sync_bitwise int, mode string"
+STEP = "feed string, ctid long, step string, began timestamp, ended timestamp, rows long"
+COUNTS = "table_name string, inserted long, deleted long"
 
 
 def each(specs: list[TableSpec], work: Callable[[TableSpec], None]) -> list[Failure]:
@@ -35,40 +47,167 @@ def each(specs: list[TableSpec], work: Callable[[TableSpec], None]) -> list[Fail
     return failed
 
 
-def publish(spark: SparkSession, sources: dict[str, tuple[DataFrame, DataFrame]], specs: list[TableSpec], root: str, ctid: int, start: int, stop: int) -> tuple[DataFrame, list[Failure]]:
-    """Capture (log, base) of every table into change sets of ``ctid``; returns the manifest."""
-    failed = each(specs, lambda s: store.write_change_set(capture_changes(*sources[s.name], s, start, stop), root, s.name, ctid))
-    parts = []
-    for s in specs:
-        df = store.read_change_set(spark, root, s.name, ctid)
-        if df is not None:
-            parts.append(df.select(F.lit(s.name).alias("table_name"), OP))
-    empty = spark.createDataFrame([], f"table_name string, {OP} string")
-    manifest = build_manifest(union_all([empty, *parts]), spec_table(spark, specs)).withColumn("ctid", F.lit(ctid).cast("long"))
-    manifest.write.mode("overwrite").parquet(f"{root}/manifest/ctid={ctid}")
+class Progress:
+    """The ledger row of a batch while it is worked on."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str, feed: str, ctid: int, start: int | None = None, stop: int | None = None, mode: str | None = None):
+        self.spark, self.root, self.name = spark, root, name
+        rows = store.read_ledger(spark, root, name)
+        have = [] if rows is None else rows.where((F.col("feed") == feed) & (F.col("ctid") == ctid)).collect()
+        fresh = {"feed": feed, "ctid": ctid, "sync_start_version": start, "sync_stop_version": stop, "sync_start_time": dt.datetime.now(), "sync_stop_time": None, "sync_bitwise": 0, "mode": mode}
+        self.row = have[0].asDict() if have else fresh
+        if not have:
+            self._record()
+
+    def _record(self) -> None:
+        line = self.spark.createDataFrame([tuple(self.row[c.split()[0]] for c in LEDGER.split(", "))], LEDGER)
+        store.record(self.spark, self.root, self.name, line)
+
+    def has(self, bit: int) -> bool:
+        return self.row["sync_bitwise"] & bit > 0
+
+    def set(self, *bits: int, done: bool = False) -> None:
+        for b in bits:
+            self.row["sync_bitwise"] |= b
+        if done:
+            self.row["sync_stop_time"] = dt.datetime.now()
+        self._record()
+
+    @contextmanager
+    def step(self, name: str):
+        """Times a step; the caller puts its rows into the list it gets."""
+        began, rows = dt.datetime.now(), [0]
+        yield rows
+        line = self.spark.createDataFrame([(self.row["feed"], self.row["ctid"], name, began, dt.datetime.now(), rows[0])], STEP)
+        line.coalesce(1).write.mode("append").parquet(f"{self.root}/steps")
+
+
+def log_failures(spark: SparkSession, root: str, agent: str, failed: list[Failure]) -> None:
+    """Failed tables as rows of the error log."""
+    if failed:
+        rows = spark.createDataFrame([(None, "Error", text) for _, text in failed], "id long, level string, message string").withColumn("log_date", F.current_timestamp())
+        log_errors(rows, agent, root, "").coalesce(1).write.mode("append").parquet(f"{root}/errors")
+
+
+def publish(
+    spark: SparkSession, sources: dict[str, tuple[DataFrame, DataFrame]], specs: list[TableSpec], root: str, ctid: int, start: int, stop: int,
+    events: DataFrame | None = None, columns: DataFrame | None = None, feed: str = "",
+) -> tuple[DataFrame, list[Failure]]:
+    """Capture (log, base) of every table into change sets of ``ctid``; returns the manifest.
+
+    With DDL ``events`` (id, ts, xml) and the catalog's ``columns``, schema changes since the start of
+    the last uploaded batch are published too."""
+    p = Progress(spark, root, "publisher", feed, ctid, start, stop)
+    failed: list[Failure] = []
+    if not p.has(CAPTURE):
+        with p.step("CaptureChanges"):
+            failed = each(specs, lambda s: store.write_change_set(capture_changes(*sources[s.name], s, start, stop), root, s.name, ctid))
+        log_failures(spark, root, "publisher", failed)
+        p.set(CAPTURE)
+    if not p.has(PUBLISH_SCHEMA):
+        if events is not None:
+            with p.step("PublishSchemaChanges"):
+                ledger = store.read_ledger(spark, root, "publisher").where(F.col("feed") == feed)
+                since = last_start_time(ledger, F.lit(ctid), UPLOAD, F.lit("1970-01-01").cast("timestamp")).first()["last_start_time"]
+                S.publish_schema_changes(events, columns, specs, since).write.mode("overwrite").parquet(f"{root}/schema_changes/ctid={ctid}")
+        p.set(PUBLISH_SCHEMA)
+    with p.step("PublishManifest") as n:
+        parts = []
+        for s in specs:
+            df = store.read_change_set(spark, root, s.name, ctid)
+            if df is not None:
+                parts.append(df.select(F.lit(s.schema).alias("schema_name"), F.lit(s.name).alias("table_name"), OP))
+        empty = spark.createDataFrame([], f"schema_name string, table_name string, {OP} string")
+        build_manifest(union_all([empty, *parts]), spec_table(spark, specs)).withColumn("ctid", F.lit(ctid).cast("long")).write.mode("overwrite").parquet(f"{root}/manifest/ctid={ctid}")
+        manifest = spark.read.parquet(f"{root}/manifest/ctid={ctid}").withColumn("ctid", F.lit(ctid).cast("long"))
+        n[0] = manifest.agg(F.sum("expected_rows")).first()[0] or 0
+    if not p.has(UPLOAD):
+        p.set(UPLOAD, done=True)
     return manifest, failed
 
 
-def apply_batch(spark: SparkSession, specs: list[TableSpec], relay: str, root: str, ctids: list[int]) -> tuple[DataFrame, list[Failure]]:
-    """Download one batch, or several merged into one under the last ctid, apply it to the buckets it
-    touches, and keep history.  Returns applied counts per table."""
-    last = max(ctids)
-    counts = []
-
-    def one(s: TableSpec) -> None:
-        found = [(c, df) for c in ctids if (df := store.read_change_set(spark, relay, s.name, c)) is not None]
-        if not found:
-            return
-        store.write_change_set(consolidate(found, s.pk) if len(found) > 1 else dedupe_changes(found[0][1], s.pk), root, s.name, last)
-        changes = store.read_change_set(spark, root, s.name, last)
-        counted = apply_counts(store.read_target(spark, root, s), changes, s).first()
-        store.apply_to_buckets(spark, changes, s, root)
+def apply_schema_changes(spark: SparkSession, specs: list[TableSpec], relay: str, root: str, ctid: int) -> DataFrame | None:
+    """The schema changes of a published batch applied to targets and histories; returns those that
+    applied.  A batch has a handful of them per table."""
+    path = f"{relay}/schema_changes/ctid={ctid}"
+    if not store.exists(spark, path):
+        return None
+    changes = S.applicable_changes(spark.read.parquet(path), specs)
+    steps = [r.asDict() for r in changes.orderBy("event_id").collect()]
+    for s in specs:
+        own = [x for x in steps if (x["schema_name"] or "dbo").lower() == s.schema.lower() and x["table_name"].lower() == s.name.lower()]
+        if not own:
+            continue
+        before = store.read_target(spark, root, s)
+        after = S.evolve(before, own)
+        if after.schema != before.schema:
+            store.replace_target(spark, root, s, after)
         if s.history:
-            store.append_history(changes, last, root, s.name)
-        counts.append((s.name, counted["inserted"], counted["deleted"]))
-
-    failed = each(specs, one)
-    return spark.createDataFrame(counts, "table_name string, inserted long, deleted long"), failed
+            store.evolve_history(spark, root, s.name, ctid, own)
+    return changes
+
+
+def apply_batch(
+    spark: SparkSession, specs: list[TableSpec], relay: str, root: str, ctids: list[int], feed: str = "", until: int = HISTORY,
+    refresh: Callable[[list[str]], None] | None = None, views: DataFrame | None = None,
+) -> tuple[DataFrame, list[Failure]]:
+    """Apply one published batch, or several merged into one under the last ctid, to the subscriber's
+    store ``root``; a table and its archive change together.  Returns applied counts per table.
+
+    The steps are schema changes, consolidation, download, apply and history.  ``until`` names the bit
+    of the last step to do now: outside its full-run hours a subscriber goes up to ``APPLY_SCHEMA``.
+    ``refresh`` gets the names of the ``views`` over tables whose schema changed."""
+    last, mode = max(ctids), "merged" if len(ctids) > 1 else "single"
+    marks = {c: Progress(spark, root, "subscriber", feed, c, mode=mode) for c in sorted(ctids)}
+    p = marks[last]
+    for c, mark in marks.items():
+        if not mark.has(APPLY_SCHEMA):
+            with mark.step("ApplySchemaChanges"):
+                changed = apply_schema_changes(spark, specs, relay, root, c)
+                if changed is not None and views is not None and refresh is not None:
+                    names = [r["view_name"] for r in S.views_to_refresh(changed, views).collect()]
+                    if names:
+                        refresh(names)
+            mark.set(APPLY_SCHEMA)
+    by_name = {s.name.lower(): s for s in specs}
+    counts: list[tuple] = []
+    failed: list[Failure] = []
+
+    def fetch(s: TableSpec) -> None:
+        found = [(c, df) for c in sorted(ctids) if (df := store.read_change_set(spark, relay, s.name, c)) is not None]
+        if found:
+            store.write_change_set(consolidate(found, s.pk) if len(found) > 1 else dedupe_changes(found[0][1], s.pk), root, s.name, last)
+
+    if until >= DOWNLOAD and not p.has(DOWNLOAD):
+        with p.step("DownloadChanges"):
+            failed += each(specs, fetch)
+        p.set(CONSOLIDATE, DOWNLOAD)
+    if until >= APPLY and not p.has(APPLY):
+        with p.step("ApplyChanges") as n:
+            sets = {k: df for k, s in by_name.items() if (df := store.read_change_set(spark, root, s.name, last)) is not None}
+            units = pair_archives(spark.createDataFrame([(k,) for k in sets], "table_name string")).collect() if sets else []
+            groups = {u["table_name"]: [x for x in (u["table_name"], u["archive_name"]) if x] for u in units}
+
+            def unit(s: TableSpec) -> None:
+                group = [(by_name[x], sets[x]) for x in groups[s.name.lower()]]
+                for (spec, _), did in zip(group, store.apply_group(spark, root, group), strict=True):
+                    counts.append((spec.name, did.inserted, did.deleted))
+
+            failed += each([by_name[k] for k in groups], unit)
+            n[0] = sum(c[1] for c in counts)
+        spark.createDataFrame(counts, COUNTS).write.mode("overwrite").parquet(f"{root}/applied/ctid={last}")
+        p.set(APPLY)
+    if until >= HISTORY and not p.has(HISTORY):
+        with p.step("SyncHistoryTables"):
+            for s in specs:
+                df = store.read_change_set(spark, root, s.name, last) if s.history else None
+                if df is not None:
+                    store.append_history(df, last, root, s.name)
+        for mark in marks.values():
+            mark.set(COMPLETE, done=True)
+    log_failures(spark, root, "subscriber", failed)
+    path = f"{root}/applied/ctid={last}"
+    return spark.read.schema(COUNTS).parquet(path) if store.exists(spark, path) else spark.createDataFrame([], COUNTS), failed
 
 
 def merge_batch(spark: SparkSession, specs: list[TableSpec], shards: list[tuple[str, str]], root: str, ctid: int) -> list[Failure]:
@@ -80,3 +219,13 @@ def merge_batch(spark: SparkSession, specs: list[TableSpec], shards: list[tuple[
             store.write_change_set(merge_shards(found, s.pk, [n for n, _ in shards]), root, s.name, ctid)
 
     return each(specs, one)
+
+
+def retire(spark: SparkSession, root: str, cut, ledger: str = "publisher") -> list[str]:
+    """Delete the change sets of batches older than ``cut`` and target files no longer in force."""
+    rows = store.read_ledger(spark, root, ledger)
+    gone = []
+    if rows is not None:
+        late = expired_ctids(rows, F.lit(cut), "publisher") if ledger == "publisher" else expired_ctids(rows.withColumn("subscriber", F.col("feed")), F.lit(cut), "subscriber")
+        gone = store.delete_change_sets(spark, root, late)
+    return gone + store.vacuum(spark, root)

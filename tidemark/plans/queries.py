@@ -335,7 +335,7 @@ def total_captured(spark, d):
     + """, e AS (SELECT table_name, sum(expected_rows) AS expected FROM m GROUP BY 1),
 a AS (SELECT 'T' || (k % 50) AS table_name, count(*) FILTER (op = 'U') AS inserted FROM events_log GROUP BY 1),
 j AS (SELECT coalesce(e.table_name, a.table_name) AS table_name, coalesce(expected, 0) AS expected, coalesce(inserted, 0) AS inserted FROM e FULL JOIN a ON e.table_name = a.table_name)
-SELECT table_name, CAST(expected AS BIGINT) AS expected, inserted, CASE WHEN expected > 0 THEN CAST(trunc((expected - inserted) * 100 / expected) AS INTEGER) WHEN inserted = 0 THEN 0 END AS percent,
+SELECT 'dbo' AS schema_name, table_name, CAST(expected AS BIGINT) AS expected, inserted, CASE WHEN expected > 0 THEN CAST(trunc((expected - inserted) * 100 / expected) AS BIGINT) WHEN inserted = 0 THEN 0 END AS percent,
        expected = 0 AND inserted > 0 AS error FROM j"""
 )
 def audit_counts(spark, d):
@@ -513,11 +513,16 @@ def register_init(spark, d):
     return B.register_init(_registry(spark, d), new.agg(F.min("event_id").alias("next_version"), F.min("ts").alias("started")))
 
 
-@query(LEDGER + f", r AS ({REGISTRY}), " + LAST + " SELECT r.* FROM r LEFT JOIN last l ON r.feed = l.feed WHERE NOT coalesce(NOT in_progress AND next_version < sync_start_version, false)")
+@query(LEDGER + f", r AS ({REGISTRY}), " + LAST + " SELECT r.* FROM r LEFT JOIN last l ON r.feed = l.feed WHERE NOT coalesce(NOT in_progress AND finished < sync_start_time, false)")
 def cleanup_init(spark, d):
     return B.cleanup_init(_registry(spark, d), B.last_batch(X.ledger(spark, d)))
 
 
+@query(f"SELECT * EXCLUDE (in_progress, finished), in_progress AND feed % 2 = 1 AS in_progress, CASE WHEN feed % 2 = 0 THEN TIMESTAMP '2024-06-01' ELSE finished END AS finished FROM ({REGISTRY})")
+def finish_init(spark, d):
+    return B.finish_init(_registry(spark, d), F.col("feed") % 2 == 0, F.lit("2024-06-01").cast("timestamp"))
+
+
 # retention, errors ---------------------------------------------------------------------------------
 
 CUT = "2024-01-12 00:30:00"
@@ -535,6 +540,20 @@ def expired_ctids(spark, d):
     return A.union_all([parts[1], parts[0], parts[2]])
 
 
+@query(LEDGER + f"SELECT feed, sync_stop_version AS ctid FROM ledger WHERE sync_start_time < TIMESTAMP '{CUT}'")
+def expired_versions(spark, d):
+    return R.expired_ctids(X.ledger(spark, d), F.lit(CUT).cast("timestamp"), "version")
+
+
+@query("SELECT user_id AS feed, 'f' || event_type || '_' || (event_id % 50) || '.txt' AS name, event_id % 50 AS ctid FROM events WHERE event_id % 50 < user_id % 20 AND event_id % 3 = 0")
+def expired_files(spark, d):
+    """Staged files of several feeds; each feed has expired ctids of its own."""
+    e = table(spark, d, "events")
+    names = e.selectExpr("user_id feed", "concat('f', event_type, '_', event_id % 50, if(event_id % 3 = 0, '.txt', '.tmp')) name")
+    expired = e.select("user_id").distinct().selectExpr("user_id feed", "explode(sequence(0, 49)) n").where("n < feed % 20").selectExpr("feed", "cast(n as bigint) ctid")
+    return R.drop_expired(names, expired, ".txt")
+
+
 @query("SELECT 'tblCT' || event_type || '_' || event_id AS name, event_id AS ctid FROM events WHERE event_id IN (SELECT event_id FROM events WHERE value < 3) AND user_id % 2 = 0")
 def drop_expired(spark, d):
     e = table(spark, d, "events")
@@ -569,6 +588,14 @@ def error_digest(spark, d):
     return M.error_digest(_errors(spark, d))
 
 
+@query(
+    f"""WITH {ERRORS}, s AS (SELECT CAST(log_date AS DATE) AS day, log_date, CASE WHEN message LIKE 'Table:%' THEN split_part(message, chr(10), 1) || chr(10) || split_part(message, chr(10), 2) ELSE message END AS message FROM errors WHERE NOT sent)
+SELECT max(log_date) AS newest, day || ' x ' || count(*) || chr(10) || message AS block FROM s GROUP BY day, message"""
+)
+def digest_text(spark, d):
+    return M.digest_text(M.error_digest(_errors(spark, d)))
+
+
 @query(f"WITH {ERRORS} SELECT * EXCLUDE (sent), sent OR id % 3 = 0 AS sent FROM errors")
 def mark_sent(spark, d):
     rows = _errors(spark, d)
@@ -589,6 +616,15 @@ def step_metrics(spark, d):
     return M.step_metrics(X.ledger(spark, d), X.subscribers(spark, d))
 
 
+@query(
+    """SELECT user_id AS feed, event_id % 7 AS ctid, event_type AS step, count(*) AS runs, CAST(sum(1000 * (event_id % 90) + 5) AS BIGINT) AS millis, arg_max(event_id % 11, ts) AS rows
+FROM events GROUP BY 1, 2, 3"""
+)
+def step_durations(spark, d):
+    steps = table(spark, d, "events").selectExpr("user_id feed", "event_id % 7 ctid", "event_type step", "ts began", "ts + make_dt_interval(0, 0, 0, event_id % 90 + 0.005) ended", "event_id % 11 rows")
+    return M.step_durations(steps)
+
+
 # schemas -------------------------------------------------------------------------------------------
 
 
@@ -659,30 +695,63 @@ def evolve(spark, d):
     return S.evolve(table(spark, d, "customer"), steps + steps[:3])
 
 
-NAMES = list(T.NETEZZA_TYPES)
-TYPED = f"(SELECT p_partkey, ({[*NAMES, 'int', 'varchar', 'decimal', 'nchar']!r})[1 + p_partkey % {len(NAMES) + 4}] AS data_type, CASE WHEN p_size % 9 = 0 THEN -1 ELSE p_size * 400 END AS length, p_size % 30 + 1 AS precision, p_size % 5 AS scale FROM part)"
-MAPPED = "CASE data_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.NETEZZA_TYPES.items()) + " ELSE data_type END"
+#: A mapping file as users write it: the databases' names, then a type of each in a line.
+MAPPING_FILE = ["MSSQL\tNetezza", "bit\tbyteint", "datetime\ttimestamp", "float\tdouble precision", "money\tdecimal(20,4)", "text\tvarchar(500)", "varbinary\tvarchar(100)"]
+TYPED = """(SELECT p_partkey, ['bit', 'varchar', 'nchar', 'text', 'money', 'decimal', 'datetime', 'float', 'varbinary', 'int'][1 + p_partkey % 10] AS data_type,
+  CASE WHEN p_size % 9 = 0 THEN -1 WHEN p_size % 7 <> 0 THEN p_size * 400 END AS length, p_size % 30 + 1 AS precision, p_size % 5 AS scale, CASE WHEN p_size % 4 = 1 THEN 7 END AS modifier FROM part)"""
+MAPPED = """(SELECT *, CASE data_type WHEN 'bit' THEN 'byteint' WHEN 'datetime' THEN 'timestamp' WHEN 'float' THEN 'double precision' WHEN 'money' THEN 'decimal(20,4)'
+  WHEN 'text' THEN 'varchar(500)' WHEN 'varbinary' THEN 'varchar(100)' ELSE data_type END AS mapped FROM """ + TYPED + ")"
 
 
 def _typed(spark, d):
-    names = ", ".join(f"'{n}'" for n in [*NAMES, "int", "varchar", "decimal", "nchar"])
+    names = "array('bit', 'varchar', 'nchar', 'text', 'money', 'decimal', 'datetime', 'float', 'varbinary', 'int')"
     rows = table(spark, d, "part").selectExpr(
-        "p_partkey", f"element_at(array({names}), cast(1 + p_partkey % {len(NAMES) + 4} as int)) data_type", "if(p_size % 9 = 0, -1, p_size * 400) length", "p_size % 30 + 1 precision", "p_size % 5 scale"
-    )
-    return T.map_types(rows, T.mapping_table(spark, "mssql", "netezza", T.NETEZZA_TYPES), "MSSQL", "Netezza")
+        "p_partkey", f"element_at({names}, cast(1 + p_partkey % 10 as int)) data_type", "case when p_size % 9 = 0 then -1 when p_size % 7 <> 0 then p_size * 400 end length",
+        "p_size % 30 + 1 precision", "p_size % 5 scale", "case when p_size % 4 = 1 then 7 end modifier",
+    )
+    path = scratch(spark, "mapping")
+    spark.createDataFrame([(x,) for x in MAPPING_FILE], "value string").coalesce(1).write.text(path)
+    return T.map_types(rows, T.read_mapping(spark, path), "mssql", "NETEZZA")
 
 
-@query(f"SELECT *, {MAPPED} AS mapped FROM {TYPED}")
+@query(f"SELECT * FROM {MAPPED}")
 def map_types(spark, d):
     return _typed(spark, d)
 
 
 @query(
-    f"""SELECT p_partkey, CASE WHEN mapped = 'decimal' THEN 'decimal(' || precision || ',' || scale || ')' WHEN mapped LIKE '%(%' OR NOT regexp_matches(mapped, 'char|binary') THEN mapped
-  ELSE mapped || '(' || CASE WHEN length < 1 OR length > 16000 THEN 16000 ELSE length END || ')' END AS target FROM (SELECT *, {MAPPED} AS mapped FROM {TYPED})"""
+    f"""SELECT p_partkey, CASE WHEN data_type = 'text' AND modifier = 7 THEN 'varchar(7)' WHEN data_type = 'varbinary' AND modifier = 7 THEN 'varchar(7)' WHEN mapped <> data_type THEN mapped
+  WHEN data_type IN ('varchar', 'nchar') THEN CASE WHEN modifier = 7 THEN data_type || '(7)' WHEN length IS NULL THEN data_type WHEN length < 1 OR length > 8000 THEN data_type || '(8000)' ELSE data_type || '(' || length || ')' END
+  WHEN data_type = 'decimal' THEN 'decimal(' || precision || ',' || scale || ')' ELSE data_type END AS target FROM {MAPPED}"""
 )
 def target_type(spark, d):
-    return T.target_type(_typed(spark, d), "netezza").select("p_partkey", "target")
+    return T.target_type(_typed(spark, d), "netezza", 8000).select("p_partkey", "target")
+
+
+@query(
+    f"""SELECT p_partkey, CASE WHEN modifier = 7 AND mapped IN ('varchar(500)', 'varchar(100)') THEN 'varchar(7)' WHEN modifier = 7 THEN mapped || '(7)'
+  WHEN data_type IN ('varchar', 'nchar', 'varbinary') AND length IS NOT NULL THEN mapped || '(' || CASE WHEN length = -1 OR length > 8000 THEN 8000 ELSE length END || ')'
+  WHEN data_type IN ('decimal', 'money') THEN mapped || '(' || precision || ', ' || scale || ')' ELSE mapped END AS target FROM {MAPPED}"""
+)
+def target_type_vertica(spark, d):
+    return T.target_type(_typed(spark, d), "vertica", 8000).select("p_partkey", "target")
+
+
+@query(
+    f"""SELECT p_partkey, CASE WHEN modifier = 7 AND data_type IN ('text', 'varbinary') THEN 'varchar(7)' WHEN mapped <> data_type THEN mapped
+  WHEN data_type IN ('varchar', 'nchar') THEN CASE WHEN modifier = 7 THEN data_type || '(7)' WHEN length = -1 THEN 'longtext' WHEN length IS NULL THEN data_type ELSE data_type || '(' || length || ')' END
+  WHEN data_type = 'decimal' THEN 'decimal(' || precision || ',' || scale || ')' ELSE data_type END AS target FROM {MAPPED}"""
+)
+def target_type_mysql(spark, d):
+    return T.target_type(_typed(spark, d), "mysql").select("p_partkey", "target")
+
+
+@query(
+    f"""SELECT p_partkey, CASE WHEN data_type IN ('varchar', 'nchar', 'text') THEN data_type || '(' || CASE WHEN length < 8000 THEN CAST(length AS VARCHAR) ELSE 'MAX' END || ')'
+  WHEN data_type IN ('decimal', 'float') THEN data_type || '(' || precision || ',' || scale || ')' ELSE data_type END AS target FROM {TYPED}"""
+)
+def target_type_mssql(spark, d):
+    return T.target_type(_typed(spark, d).withColumn("mapped", F.col("data_type")), "mssql").select("p_partkey", "target")
 
 
 @query("SELECT doc_id, left(text, 40) AS text, CAST(n_chars AS INTEGER) AS n_chars FROM documents")
@@ -713,6 +782,18 @@ def pk_columns(spark, d):
     return S.pk_columns(rows.drop("p_size"), usage, kinds)
 
 
+@query(orders_sql() + "SELECT count(*) FILTER (_op <> 'D') AS inserted, count(*) FILTER (o_orderkey IN (SELECT o_orderkey FROM orders_before)) AS deleted FROM changes")
+def total_applied(spark, d):
+    """Counts taken while a table and its archive are merged, summed."""
+    root, rows = scratch(spark, "counts"), []
+    changes, old = changes_of_orders(spark, d), F.col("o_orderkey") % 2 == 0
+    for name, part in (("Orders", ~old), ("OrdersArchive", old)):
+        spec = TableSpec(name, ("o_orderkey",))
+        store.initial_load(X.orders_before(spark, d).where(part), spec, root, buckets=4)
+        rows.append((name, *(lambda x: (x.inserted, x.deleted))(store.apply_to_buckets(spark, changes.where(part), spec, root))))
+    return N.total_applied(spark.createDataFrame(rows, "table_name string, inserted long, deleted long"))
+
+
 # stores and files ----------------------------------------------------------------------------------
 
 
@@ -723,6 +804,34 @@ def write_with_layout(spark, d):
     return spark.read.parquet(path).drop("_bucket")
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def read_snapshot(spark, d):
+    path = scratch(spark, "snapshot")
+    store.write_with_layout(table(spark, d, "orders"), path, X.ORDERS, "random", 3)
+    return store.read_snapshot(spark, path, TableSpec("orders", ("o_orderkey",), ("o_totalprice",)))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders WHERE o_orderkey % 100 = 0")
+def reinitialize(spark, d):
+    """A target loaded anew with far fewer rows, and without one of its columns."""
+    root, rows = scratch(spark, "load"), table(spark, d, "orders")
+    store.initial_load(rows, X.ORDERS, root, buckets=16)
+    store.initial_load(rows.where("o_orderkey % 100 = 0").drop("o_orderpriority"), X.ORDERS, root, "reinitialize", buckets=16)
+    return store.read_target(spark, root, X.ORDERS)
+
+
+@query(orders_sql() + "SELECT * FROM orders_now")
+def apply_group_retry(spark, d):
+    """A first attempt writes other rows and fails before its pointer; the second one counts."""
+    root, spec = scratch(spark, "group"), X.ORDERS
+    store.initial_load(X.orders_before(spark, d), spec, root, buckets=16)
+    wrong = X.orders_before(spark, d).withColumns({VERSION: F.lit(1).cast("long"), OP: F.lit("U"), "o_orderstatus": F.lit("?")})
+    store.rewrite(spark, root, spec, wrong, store.target(spark, root, spec.name))
+    store.apply_group(spark, root, [(spec, changes_of_orders(spark, d))])
+    store.vacuum(spark, root)
+    return store.read_target(spark, root, spec)
+
+
 @query(EVENTS + "SELECT ctid AS CTHistID, k, value, version AS _version, op AS _op FROM batches")
 def append_history(spark, d):
     root, rows = scratch(spark, "history"), _batches(spark, d).selectExpr("ctid", "k", "value", "version _version", "op _op")
@@ -764,7 +873,7 @@ def delimited_round_trip(spark, d):
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")
 def delimited_strict(spark, d):
     path, rows = scratch(spark, "strict"), table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    delimited.write_delimited(rows, path, delimited.Dialect())
+    delimited.write_delimited(rows, path, delimited.STRICT)
     return delimited.read_strict(spark, path, rows.schema)
 
 
@@ -790,6 +899,113 @@ def publish_and_apply(spark, d):
     return store.read_target(spark, root, spec)
 
 
+def _published(spark, d, specs, stops=(5_000_000, 10**12)):
+    """A relay with the orders log published in batches 1, 2, ... up to these versions."""
+    from tidemark.plans.pipeline import publish
+
+    relay = scratch(spark, "relay")
+    for n, (low, high) in enumerate(zip((0, *stops), stops, strict=False), 1):
+        publish(spark, {"orders": (X.orders_log(spark, d), X.orders_now(spark, d))}, specs, relay, n, low, high)
+    return relay
+
+
+@query(orders_sql() + "SELECT 'now' AS part, * FROM orders_now UNION ALL SELECT 'history', o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM changes")
+def resume_apply(spark, d):
+    """A run that stops after the download, and is resumed; steps done are not done again."""
+    from tidemark.functions import COMPLETE, DOWNLOAD
+    from tidemark.plans.pipeline import apply_batch
+
+    spec = TableSpec("orders", ("o_orderkey",), history=True)
+    relay, root = _published(spark, d, [spec]), scratch(spark, "slave")
+    store.initial_load(X.orders_before(spark, d), spec, root)
+    apply_batch(spark, [spec], relay, root, [1, 2], until=DOWNLOAD)
+    store.delete_change_sets(spark, relay, spark.createDataFrame([(1,), (2,)], "ctid long"))  # the download isn't repeated
+    apply_batch(spark, [spec], relay, root, [1, 2])
+    bits = store.read_ledger(spark, root, "subscriber").where(F.col("sync_bitwise") == COMPLETE).count()
+    now = store.read_target(spark, root, spec).select(F.lit("now").alias("part"), "*")
+    past = store.read_history(spark, root, "orders").drop(VERSION, OP, "CTHistID").select(F.lit("history").alias("part"), "*")
+    return now.unionByName(past).where(F.lit(bits == 2))
+
+
+@query(
+    orders_sql(0, 5_000_000)
+    + """, half AS (SELECT b.* FROM orders_before b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM changes) UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM changes WHERE _op <> 'D')
+SELECT 'slow' AS subscriber, * FROM half UNION ALL SELECT 'fast', * FROM orders_now"""
+)
+def independent_subscribers(spark, d):
+    """One subscriber has applied both batches, another one only the first."""
+    from tidemark.plans.pipeline import apply_batch
+
+    relay, parts = _published(spark, d, [X.ORDERS]), []
+    for name, ctids in (("fast", [1, 2]), ("slow", [1])):
+        root = scratch(spark, name)
+        store.initial_load(X.orders_before(spark, d), X.ORDERS, root)
+        apply_batch(spark, [X.ORDERS], relay, root, ctids)
+        parts.append(store.read_target(spark, root, X.ORDERS).select(F.lit(name).alias("subscriber"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    orders_sql()
+    + """SELECT 'now' AS part, o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderdate, o_orderpriority AS o_rank, CAST(NULL AS INTEGER) AS o_extra FROM orders_now
+UNION ALL SELECT 'history', l.o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE), o_orderdate, o_orderpriority, NULL
+  FROM (SELECT DISTINCT o_orderkey, version > 5000000 AS later FROM orders_log) l LEFT JOIN orders_now n ON l.o_orderkey = n.o_orderkey"""
+)
+def schema_changes_in_flow(spark, d):
+    """Between two batches a column is renamed and one is added; targets and history follow."""
+    from tidemark.plans.pipeline import apply_batch, publish
+
+    relay, root, spec = scratch(spark, "relay"), scratch(spark, "slave"), TableSpec("orders", ("o_orderkey",), history=True)
+    log, now = X.orders_log(spark, d), X.orders_now(spark, d)
+    store.initial_load(X.orders_before(spark, d), spec, root)
+    publish(spark, {"orders": (log.where("version <= 5000000"), now)}, [spec], relay, 1, 0, 5_000_000)
+    apply_batch(spark, [spec], relay, root, [1])
+    xml = "<EVENT_INSTANCE><EventType>{}</EventType><SchemaName>dbo</SchemaName><ObjectName>{}</ObjectName>{}</EVENT_INSTANCE>"
+    events = [
+        (1, xml.format("RENAME", "o_orderpriority", "<ObjectType>COLUMN</ObjectType><TargetObjectName>orders</TargetObjectName><NewObjectName>o_rank</NewObjectName>")),
+        (2, xml.format("ALTER_TABLE", "orders", "<AlterTableActionList><Create><Columns><Name>o_extra</Name></Columns></Create></AlterTableActionList>")),
+    ]
+    ddl = spark.createDataFrame(events, "id int, xml string").withColumn("ts", F.expr("current_timestamp() + interval 1 hour"))
+    types = spark.createDataFrame([("dbo", "orders", "o_extra", "int")], "schema_name string, table_name string, column_name string, data_type string")
+    types = types.withColumns({c: F.lit(None).cast("int") for c in ("length", "precision", "scale")})
+    later = now.withColumnRenamed("o_orderpriority", "o_rank").withColumn("o_extra", F.lit(None).cast("int"))
+    publish(spark, {"orders": (log, later)}, [spec], relay, 2, 5_000_000, 10**12, ddl, types)
+    apply_batch(spark, [spec], relay, root, [2])
+    a = store.read_target(spark, root, spec).select(F.lit("now").alias("part"), "*")
+    b = store.read_history(spark, root, "orders").drop(VERSION, OP, "CTHistID").select(F.lit("history").alias("part"), "*")
+    return a.unionByName(b).withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
+
+
+@query(orders_sql(5_000_000) + "SELECT * FROM changes")
+def retire(spark, d):
+    """Old batches are deleted from the relay; the one that is left is still there."""
+    from tidemark.plans.pipeline import retire
+
+    relay = _published(spark, d, [X.ORDERS])
+    rows = store.read_ledger(spark, relay, "publisher").withColumn("sync_start_time", F.when(F.col("ctid") == 1, F.lit("2001-01-01").cast("timestamp")).otherwise(F.col("sync_start_time")))
+    store.record(spark, relay, "publisher", spark.createDataFrame(rows.collect(), rows.schema))
+    gone = retire(spark, relay, F.lit("2002-01-01").cast("timestamp"))
+    left = [c for c in (1, 2) if store.read_change_set(spark, relay, "orders", c) is not None]
+    return store.read_change_set(spark, relay, "orders", 2).where(F.lit(left == [2] and len(gone) > 1))
+
+
+@query(
+    orders_sql()
+    + """, c AS (SELECT * FROM changes WHERE o_orderkey % 4 < 3)
+SELECT * REPLACE (CASE WHEN o_orderkey % 4 = 1 AND _op <> 'D' THEN 'first' ELSE o_orderstatus END AS o_orderstatus) FROM c"""
+)
+def merge_batch(spark, d):
+    """Change sets of two shards that overlap in a quarter of the keys: the first shard counts."""
+    from tidemark.plans.pipeline import merge_batch
+
+    shards = [("one", scratch(spark, "one")), ("two", scratch(spark, "two"))]
+    root, changes = scratch(spark, "merged"), changes_of_orders(spark, d)
+    store.write_change_set(changes.where("o_orderkey % 4 in (0, 1)").withColumn("o_orderstatus", F.expr("if(o_orderkey % 4 = 1 and _op <> 'D', 'first', o_orderstatus)")), shards[0][1], "orders", 3)
+    store.write_change_set(changes.where("o_orderkey % 4 in (1, 2)"), shards[1][1], "orders", 3)
+    merge_batch(spark, [X.ORDERS], shards, root, 3)
+    return store.read_change_set(spark, root, "orders", 3)
+
+
 @query(EVENTS + "SELECT k, value FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY version DESC) AS n FROM events_log) WHERE n = 1 AND op <> 'D'")
 def stream_apply(spark, d):
     """The events log as a stream of files, late rows included, merged batch by batch."""
@@ -799,8 +1015,9 @@ def stream_apply(spark, d):
     rows = X.change_rows(spark, d)
     rows.repartitionByRange(4, F.pmod(F.col(VERSION), F.lit(4))).write.parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    stream_apply(stream, root, TableSpec("events", ("k",)), f"{root}/checkpoint").awaitTermination()
-    return live(spark.read.parquet(store.generation_path(root, "events", 0)).drop("_bucket"))
+    spec = TableSpec("events", ("k",))
+    stream_apply(stream, root, spec, f"{root}/checkpoint").awaitTermination()
+    return live(store.read_target(spark, root, spec))
 
 
 @query(EVENTS + "SELECT op AS _op, count(*) AS n FROM events_log GROUP BY 1")

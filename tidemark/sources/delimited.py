@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -25,6 +25,7 @@ class Dialect:
 # The delimiters and the mark of an empty string that loaders expect.
 NETEZZA = Dialect(escape="netezza")
 VERTICA = Dialect(escape="vertica")
+STRICT = Dialect(record="\r\n")
 MYSQL = Dialect(record="&_+-!/=/=", blank=" " * 10)
 
 
@@ -44,7 +45,7 @@ def write_delimited(df: DataFrame, path: str, dialect: Dialect = NETEZZA) -> Non
 def read_delimited(spark: SparkSession, path: str, schema: StructType, dialect: Dialect = MYSQL) -> DataFrame:
     """Fields split and cast by the schema: an empty one is null, the blank mark an empty string."""
     raw = spark.read.option("lineSep", dialect.record).text(path)
-    parts = raw.select(F.split("value", F.regexp_replace(F.lit(dialect.field), r"([\W])", r"\\$1"), -1).alias("x"))
+    parts = raw.select(F.split("value", _literal(dialect.field), -1).alias("x"))
     cols = []
     for n, f in enumerate(schema):
         value = F.nullif(F.get("x", F.lit(n)), F.lit(""))
@@ -54,9 +55,24 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType, dialect:
     return parts.select(*cols)
 
 
-def read_strict(spark: SparkSession, path: str, schema: StructType, sep: str = "|") -> DataFrame:
-    """Any bad record fails the load; an empty field is null."""
-    return spark.read.csv(path, schema=schema, sep=sep, nullValue="", emptyValue="", quote="", lineSep="\n", mode="FAILFAST", ignoreTrailingWhiteSpace=False)
+def read_strict(spark: SparkSession, path: str, schema: StructType, sep: str = "|", record: str = "\r\n") -> DataFrame:
+    """Any bad record (a wrong number of fields, a value that isn't of its type) fails the load; an
+    empty field is null.  Records end in ``record``, nothing is quoted."""
+    raw = spark.read.option("lineSep", record).text(path)
+    parts = raw.select("value", F.split("value", _literal(sep), -1).alias("x"))
+    bad = F.raise_error(F.concat(F.lit("malformed record: "), F.left("value", F.lit(200))))
+    whole = F.when(F.size("x") == len(schema), F.col("x")).otherwise(bad.cast("array<string>"))
+    cols = []
+    for n, f in enumerate(schema):
+        value = F.nullif(F.get("x", F.lit(n)), F.lit(""))
+        cast = value.try_cast(f.dataType)
+        cols.append(F.when(value.isNull() | cast.isNotNull(), cast).otherwise(bad.cast(f.dataType)).alias(f.name))
+    return parts.select("value", whole.alias("x")).select(*cols)
+
+
+def _literal(text: str) -> Column:
+    """A pattern that matches just ``text``."""
+    return F.regexp_replace(F.lit(text), r"([\W])", r"\\$1")
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: StructType, lengths: dict[str, int] | None = None, sep: str = "|") -> DataFrame:

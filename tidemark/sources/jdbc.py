@@ -20,8 +20,9 @@ def check_route(source: str, dest: str) -> None:
 
 
 def jdbc_read(spark: SparkSession, flavor: str, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16, **options: str) -> DataFrame:
-    """A table, read in parallel over a numeric key if its bounds are given."""
-    r = spark.read.format("jdbc").options(url=url, dbtable=table, driver=DRIVERS[flavor.lower()], **options)
+    """A table, read in parallel over a numeric key if its bounds are given.  The driver's class is that
+    of the flavor unless ``driver`` is among the options."""
+    r = spark.read.format("jdbc").options(**{"driver": DRIVERS.get(flavor.lower(), "")} | options, url=url, dbtable=table)
     if key and bounds:
         r = r.options(partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
     return r.load()
@@ -29,5 +30,5 @@ def jdbc_read(spark: SparkSession, flavor: str, url: str, table: str, key: str |
 
 def jdbc_writer(df: DataFrame, flavor: str, url: str, table: str, types: dict[str, str] | None = None, **options: str) -> DataFrameWriter:
     """A configured writer; ``types`` are the target's column types."""
-    w = df.write.format("jdbc").options(url=url, dbtable=table, driver=DRIVERS[flavor.lower()], **options)
+    w = df.write.format("jdbc").options(**{"driver": DRIVERS.get(flavor.lower(), "")} | options, url=url, dbtable=table)
     return w.option("createTableColumnTypes", ", ".join(f"{c} {t}" for c, t in types.items())) if types else w

@@ -11,8 +11,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, or under the warehouse where that is unset."""
+def shared(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``.  In local mode, where one machine is all there is, the warehouse where
+    that is unset; on a cluster an unset folder is an error."""
     conf = spark.sparkContext.getConf()
-    top = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top}/tidemark-{name}-{uuid.uuid4().hex}"
+    top = conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir")
+    return top
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one."""
+    return f"{shared(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none where there is no such folder."""
+    p, fs = _path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)

@@ -1,21 +1,37 @@
-"""Change sets, history and target tables as Parquet.
+"""Where change sets, history, ledgers and target tables are kept, as Parquet.
 
-Every write replaces its own partition (table and ctid, or bucket), so a step that is run again
-leaves the same files.  A target has generations ``gen=<n>``; the one in force is named by a row in
-a small pointer table, so several targets change together by one write of that table.
+Change sets and history replace their own partition (table and ctid), so a step that is run again
+leaves the same files.  Ledgers and pointers are only appended to, under a running number, and the
+highest number counts.
+
+A target is laid out in buckets of its key, as many as its size asks for.  Every write goes to a
+folder of its own, ``write=<id>``, and comes into force by one pointer file that says, for each
+bucket, which folder holds it.  So an attempt that fails leaves nothing that is read, several tables
+change together by one file, and a change set costs what the buckets it touches cost.  What is no
+longer in force is deleted by ``vacuum``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import re
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from tidemark.operators.apply import apply_merge, key_columns
+from tidemark.operators.apply import key_columns, merged
 from tidemark.operators.changes import project_columns, shorten
+from tidemark.operators.schema import evolve
+from tidemark.sources.paths import children, delete
 from tidemark.spec import TableSpec
 
-BUCKETS = 64
+#: Rows that a bucket of a new target is laid out for.
+ROWS = 1_000_000
 
 
 def replace_partitions(df: DataFrame, path: str, *parts: str) -> None:
@@ -39,6 +55,9 @@ def read_snapshot(spark: SparkSession, path: str, spec: TableSpec | None = None)
     return df if spec is None else project_columns(df, spec)
 
 
+# change sets and history ---------------------------------------------------------------------------
+
+
 def change_set_path(root: str, table: str, ctid: int) -> str:
     return f"{root}/change_sets/table={table.lower()}/ctid={ctid}"
 
@@ -73,17 +92,100 @@ def append_history(changes: DataFrame, ctid: int, root: str, table: str) -> None
     replace_partitions(changes.withColumn("CTHistID", F.lit(ctid).cast("long")), f"{root}/history/table={table.lower()}", "CTHistID")
 
 
+def evolve_history(spark: SparkSession, root: str, table: str, ctid: int, steps: list[dict]) -> None:
+    """Schema changes of a batch noted for the history; ``read_history`` applies them to what older
+    batches left, so nothing is rewritten."""
+    keys = ("event_type", "column_name", "new_column_name", "data_type", "precision", "scale")
+    rows = [(n, *(s.get(k) for k in keys)) for n, s in enumerate(steps)]
+    df = spark.createDataFrame(rows, "n int, event_type string, column_name string, new_column_name string, data_type string, precision int, scale int")
+    df.coalesce(1).write.mode("overwrite").parquet(f"{root}/history_steps/table={table.lower()}/ctid={ctid}")
+
+
 def read_history(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(f"{root}/history/table={table.lower()}")
+    """All applied changes, those of older batches in today's schema."""
+    whole = spark.read.option("mergeSchema", "true").parquet(f"{root}/history/table={table.lower()}")
+    noted = f"{root}/history_steps/table={table.lower()}"
+    if not exists(spark, noted):
+        return whole
+    steps = [r.asDict() for r in spark.read.parquet(noted).orderBy("ctid", "n").collect()]
+    bounds = sorted({s["ctid"] for s in steps})
+    hist, parts = F.col("CTHistID"), []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        own = spark.read.option("mergeSchema", "true").option("basePath", f"{root}/history/table={table.lower()}")
+        names = [n for n in children(spark, f"{root}/history/table={table.lower()}") if n.startswith("CTHistID=")]
+        at = [int(n.split("=")[1]) for n in names]
+        paths = [f"{root}/history/table={table.lower()}/{n}" for n, c in zip(names, at, strict=True) if (low is None or c >= low) and (high is None or c < high)]
+        if paths:
+            parts.append(evolve(own.parquet(*paths).withColumn("CTHistID", hist.cast("long")), [s for s in steps if high is not None and s["ctid"] >= high]))
+    out = parts[-1]
+    for p in reversed(parts[:-1]):
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+# ledgers -------------------------------------------------------------------------------------------
+
+
+def next_number(spark: SparkSession, path: str) -> int:
+    """One more than the highest ``seq=<n>`` in a folder, failed attempts included."""
+    return 1 + max([0, *(int(m[1]) for n in children(spark, path) if (m := re.fullmatch(r"seq=(\d+)", n)))])
+
+
+def record(spark: SparkSession, root: str, name: str, rows: DataFrame) -> None:
+    """Rows of a ledger, in force from now on: of each (ctid, subscriber) the row recorded last."""
+    path = f"{root}/ledgers/{name}"
+    rows.coalesce(1).write.parquet(f"{path}/seq={next_number(spark, path)}")
+
+
+def read_ledger(spark: SparkSession, root: str, name: str, keys: tuple[str, ...] = ("feed", "ctid")) -> DataFrame | None:
+    path = f"{root}/ledgers/{name}"
+    if not exists(spark, path):
+        return None
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "seq")]
+    last = rows.groupBy(*keys).agg(F.max(F.struct("seq", *rest)).alias("x"))
+    return last.select(*keys, *[F.col(f"x.{c}").alias(c) for c in rest])
+
+
+# targets -------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Target:
+    """A target in force: its columns, the number of buckets, and the folders of each bucket."""
+
+    schema: StructType
+    buckets: int
+    places: dict[int, tuple[str, ...]]
 
 
-def bucket_of(df: DataFrame, spec: TableSpec, buckets: int = BUCKETS) -> Column:
-    """The bucket of a row, from its key as it is matched."""
-    return F.pmod(F.xxhash64(*key_columns(df, spec)), F.lit(buckets)).cast("int")
+@dataclass(frozen=True)
+class Applied:
+    """What an apply did: buckets rewritten, rows inserted or updated, rows deleted or updated."""
+
+    buckets: list[int]
+    inserted: int = 0
+    deleted: int = 0
+
+
+def buckets_for(rows: int) -> int:
+    return 1 << max(0, -(-rows // ROWS) - 1).bit_length()
+
+
+def bucket_of(df: DataFrame, spec: TableSpec, buckets: int) -> Column:
+    """The bucket of a row, from its key as it is matched; rows with a null in the key, which match
+    nothing, are spread by all their columns."""
+    keys = key_columns(df, spec)
+    lone = F.lit(False)
+    for k in keys:
+        lone = lone | k.isNull()
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return F.pmod(F.when(lone, whole).otherwise(F.xxhash64(*keys)), F.lit(buckets)).cast("int")
 
 
 def write_with_layout(df: DataFrame, path: str, spec: TableSpec, layout: str = "hash", partitions: int | None = None) -> None:
-    """A table laid out by key (``hash``: bucketed by the key, sorted by it) or spread (``random``)."""
+    """A table laid out by key (``hash``: bucketed by the key, sorted by it) or spread (``random``),
+    replacing whatever is at ``path``.  ``partitions``: buckets, or files."""
     if layout == "random":
         (df.repartition(partitions) if partitions else df).write.mode("overwrite").parquet(path)
     elif layout != "hash":
@@ -91,88 +193,172 @@ def write_with_layout(df: DataFrame, path: str, spec: TableSpec, layout: str = "
     elif not spec.pk:
         raise ValueError(f"{spec.name}: a table without a key can't be laid out by it")
     else:
-        out = df.withColumn("_bucket", bucket_of(df, spec))
-        replace_partitions(out.repartition("_bucket").sortWithinPartitions("_bucket", *spec.pk), path, "_bucket")
+        out = df.withColumn("_bucket", bucket_of(df, spec, partitions or buckets_for(df.count())))
+        out = out.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *spec.pk)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_bucket").parquet(path)
 
 
-def generation_path(root: str, table: str, gen: int) -> str:
-    return f"{root}/target/table={table.lower()}/gen={gen}"
+def _base(root: str, table: str) -> str:
+    return f"{root}/target/table={table.lower()}"
 
 
-def initial_load(base: DataFrame, spec: TableSpec, root: str, mode: str = "create") -> None:
-    """First full load: ``create`` and ``reinitialize`` replace the target, ``append`` (later shards)
-    adds to it; columns are projected and shortened."""
-    df = shorten(project_columns(base, spec), spec.shorten)
-    path = generation_path(root, spec.name, 0)
-    if mode == "append":
-        out = df.withColumn("_bucket", bucket_of(df, spec))
-        out.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(path)
-    elif mode in ("create", "reinitialize"):
-        write_with_layout(df, path, spec)
-        commit(base.sparkSession, root, {spec.name: 0})
-    else:
-        raise ValueError(f"unknown mode {mode}")
+def _write(df: DataFrame, spec: TableSpec, root: str, buckets: int) -> dict[int, tuple[str, ...]]:
+    """Rows, with ``_bucket`` where they have been dealt already, to a fresh folder; its places."""
+    spark, place = df.sparkSession, f"write={uuid.uuid4().hex}"
+    if not spec.pk:
+        raise ValueError(f"{spec.name}: a target needs a key")
+    if "_bucket" not in df.columns:
+        df = df.withColumn("_bucket", bucket_of(df, spec, buckets)).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *spec.pk)
+    df.write.partitionBy("_bucket").parquet(f"{_base(root, spec.name)}/{place}")
+    found = [m for n in children(spark, f"{_base(root, spec.name)}/{place}") if (m := re.fullmatch(r"_bucket=(\d+)", n))]
+    return {int(m[1]): (f"{place}/{m[0]}",) for m in found}
+
+
+POINTER = "table_name string, schema string, buckets int, bucket int, places array<string>"
 
 
-def generations(spark: SparkSession, root: str) -> dict[str, int]:
-    """The generation in force of each table; one row a table."""
+def commit(spark: SparkSession, root: str, targets: dict[str, Target]) -> None:
+    """Put targets in force, all by one file."""
+    rows = []
+    for name, t in targets.items():
+        rows.append((name.lower(), t.schema.json(), t.buckets, None, None))
+        rows += [(name.lower(), None, None, b, list(p)) for b, p in t.places.items()]
+    path = f"{root}/pointers"
+    spark.createDataFrame(rows, POINTER).coalesce(1).write.parquet(f"{path}/seq={next_number(spark, path)}")
+
+
+def _in_force(spark: SparkSession, root: str) -> DataFrame | None:
     path = f"{root}/pointers"
     if not exists(spark, path):
-        return {}
-    rows = spark.read.parquet(path).groupBy("table_name").agg(F.max_by("gen", "at").alias("gen")).collect()
-    return {r["table_name"]: r["gen"] for r in rows}
+        return None
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("table_name").agg(F.max("seq").alias("seq"))
+    return rows.join(last, ["table_name", "seq"], "left_semi")
 
 
-def commit(spark: SparkSession, root: str, gens: dict[str, int]) -> None:
-    """Put generations in force, all by one file."""
-    rows = [(t.lower(), g) for t, g in gens.items()]
-    df = spark.createDataFrame(rows, "table_name string, gen int").withColumn("at", F.current_timestamp())
-    df.coalesce(1).write.mode("append").parquet(f"{root}/pointers")
+def target(spark: SparkSession, root: str, table: str) -> Target | None:
+    """The target in force, if any; a row a bucket is read."""
+    rows = _in_force(spark, root)
+    own = [] if rows is None else rows.where(F.col("table_name") == table.lower()).collect()
+    head = [r for r in own if r["bucket"] is None]
+    if not head:
+        return None
+    return Target(StructType.fromJson(json.loads(head[0]["schema"])), head[0]["buckets"], {r["bucket"]: tuple(r["places"]) for r in own if r["bucket"] is not None})
+
+
+def _rows(spark: SparkSession, root: str, table: str, t: Target, buckets: list[int] | None = None) -> DataFrame:
+    base = _base(root, table)
+    paths = [f"{base}/{p}" for b in (sorted(t.places) if buckets is None else buckets) for p in t.places.get(b, ())]
+    if not paths:
+        return spark.createDataFrame([], t.schema)
+    return spark.read.schema(t.schema).option("basePath", base).parquet(*paths).select(*[F.col(f"`{c}`") for c in t.schema.names])
 
 
 def read_target(spark: SparkSession, root: str, spec: TableSpec) -> DataFrame:
-    gen = generations(spark, root).get(spec.name.lower(), 0)
-    return spark.read.parquet(generation_path(root, spec.name, gen)).drop("_bucket")
+    t = target(spark, root, spec.name)
+    if t is None:
+        raise ValueError(f"{spec.name} has not been loaded")
+    return _rows(spark, root, spec.name, t)
+
+
+def initial_load(base: DataFrame, spec: TableSpec, root: str, mode: str = "create", buckets: int | None = None) -> None:
+    """First full load: ``create`` drops a target and makes it anew, ``reinitialize`` empties it and
+    keeps its columns, ``append`` (later shards) adds to it; columns are projected and shortened."""
+    spark = base.sparkSession
+    df = shorten(project_columns(base, spec), spec.shorten)
+    have = None if mode == "create" else target(spark, root, spec.name)
+    if mode not in ("create", "reinitialize", "append"):
+        raise ValueError(f"unknown mode {mode}")
+    if have is None:
+        if mode == "append":
+            raise ValueError(f"{spec.name} has not been loaded")
+        n = buckets or buckets_for(df.count())
+        commit(spark, root, {spec.name: Target(df.schema, n, _write(df, spec, root, n))})
+        return
+    names = {c.lower(): c for c in df.columns}
+    like = df.select(*[(F.col(names[f.name.lower()]) if f.name.lower() in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in have.schema])
+    n = have.buckets if mode == "append" else buckets or buckets_for(like.count())
+    new = _write(like, spec, root, n)
+    if mode == "append":
+        new = {b: have.places.get(b, ()) + new.get(b, ()) for b in have.places.keys() | new.keys()}
+    commit(spark, root, {spec.name: replace(have, buckets=n, places=new)})
+
 
+def replace_target(spark: SparkSession, root: str, spec: TableSpec, df: DataFrame) -> None:
+    """A table rewritten whole, as after a schema change."""
+    n = buckets_for(df.count())
+    commit(spark, root, {spec.name: Target(df.schema, n, _write(df, spec, root, n))})
 
-def apply_to_buckets(spark: SparkSession, changes: DataFrame, spec: TableSpec, root: str) -> list[int]:
-    """Merge a change set into the buckets it touches; the cost follows the changes.
 
-    The list of touched buckets has at most ``BUCKETS`` numbers and prunes the scan of the target.
+Merge = Callable[[DataFrame, DataFrame, TableSpec], DataFrame]
+
+
+def rewrite(spark: SparkSession, root: str, spec: TableSpec, changes: DataFrame, t: Target, merge: Merge = merged) -> tuple[Target, Applied]:
+    """The target with a change set merged into the buckets it touches, not yet in force.
+
+    ``merge`` gives the rows with ``__action``; what it inserts, updates and deletes is counted while
+    the rows are written.  The list of touched buckets prunes the files read.
     """
-    gen = generations(spark, root).get(spec.name.lower(), 0)
-    path = generation_path(root, spec.name, gen)
-    marked = changes.withColumn("_bucket", bucket_of(changes, spec))
-    touched = sorted(r[0] for r in marked.select("_bucket").distinct().collect())
-    if touched:
-        target = spark.read.parquet(path).where(F.col("_bucket").isin(touched))
-        new = apply_merge(target.drop("_bucket"), changes, spec)
-        new = new.withColumn("_bucket", bucket_of(new, spec))
-        # a bucket that loses its last row must be emptied as well: leave it a file without rows
-        whole = new.repartition("_bucket").sortWithinPartitions("_bucket", *spec.pk)
-        staged = f"{root}/staging/table={spec.name.lower()}"
-        whole.write.mode("overwrite").parquet(staged)
-        replace_partitions(spark.read.schema(whole.schema).parquet(staged), path, "_bucket")
-        left = {r[0] for r in spark.read.schema(whole.schema).parquet(staged).select("_bucket").distinct().collect()}
-        for b in sorted(set(touched) - left):
-            whole.drop("_bucket").limit(0).write.mode("overwrite").parquet(f"{path}/_bucket={b}")
-    return touched
-
-
-def apply_group(spark: SparkSession, root: str, group: list[tuple[TableSpec, DataFrame]]) -> None:
-    """Several tables changed together or not at all: new generations, then one pointer write."""
-    now = generations(spark, root)
-    gens = {}
+    marked = changes.withColumn("__b", bucket_of(changes, spec, t.buckets))
+    touched = sorted(r[0] for r in marked.select("__b").distinct().collect())
+    if not touched:
+        return t, Applied([])
+    out = merge(_rows(spark, root, spec.name, t, touched), changes, spec).where("__action is not null")
+    out = out.withColumn("_bucket", bucket_of(out.drop("__action"), spec, t.buckets)).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *spec.pk)
+    seen = Observation()
+    did = lambda *kinds: F.count_if(F.col("__action").isin(*kinds))
+    out = out.observe(seen, did("INSERT", "UPDATE").alias("inserted"), did("DELETE", "UPDATE").alias("deleted"))
+    new = _write(out.where("__action <> 'DELETE'").drop("__action"), spec, root, t.buckets)
+    places = {b: p for b, p in t.places.items() if b not in set(touched)} | new
+    return replace(t, places=places), Applied(touched, seen.get["inserted"], seen.get["deleted"])
+
+
+def apply_group(spark: SparkSession, root: str, group: list[tuple[TableSpec, DataFrame]]) -> list[Applied]:
+    """Several tables changed together or not at all: each writes the buckets it touches, then one
+    pointer file puts all in force."""
+    new, done = {}, []
     for spec, changes in group:
-        gen = now.get(spec.name.lower(), 0)
-        new = apply_merge(read_target(spark, root, spec), changes, spec)
-        write_with_layout(new, generation_path(root, spec.name, gen + 1), spec)
-        gens[spec.name] = gen + 1
-    commit(spark, root, gens)
-
-
-def replace_generation(spark: SparkSession, root: str, spec: TableSpec, df: DataFrame) -> None:
-    """A table rewritten (after a schema change) as its next generation."""
-    gen = generations(spark, root).get(spec.name.lower(), 0) + 1
-    write_with_layout(df, generation_path(root, spec.name, gen), spec)
-    commit(spark, root, {spec.name: gen})
+        t = target(spark, root, spec.name)
+        if t is None:
+            raise ValueError(f"{spec.name} has not been loaded")
+        new[spec.name], did = rewrite(spark, root, spec, changes, t)
+        done.append(did)
+    if any(d.buckets for d in done):
+        commit(spark, root, new)
+    return done
+
+
+def apply_to_buckets(spark: SparkSession, changes: DataFrame, spec: TableSpec, root: str) -> Applied:
+    """Merge a change set into the buckets it touches."""
+    return apply_group(spark, root, [(spec, changes)])[0]
+
+
+# retention -----------------------------------------------------------------------------------------
+
+
+def vacuum(spark: SparkSession, root: str) -> list[str]:
+    """Delete writes and pointers that are no longer in force; not while something is being applied.
+    Returns the folders deleted."""
+    rows = _in_force(spark, root)
+    if rows is None:
+        return []
+    held = rows.select("table_name", F.explode("places").alias("p")).select("table_name", F.substring_index("p", "/", 1).alias("w")).distinct().collect()
+    used = {(r["table_name"], r["w"]) for r in held}
+    seqs = {f"seq={r[0]}" for r in rows.select("seq").distinct().collect()}
+    gone = [f"{root}/pointers/{n}" for n in children(spark, f"{root}/pointers") if n.startswith("seq=") and n not in seqs]
+    for t in children(spark, f"{root}/target"):
+        gone += [f"{root}/target/{t}/{w}" for w in children(spark, f"{root}/target/{t}") if w.startswith("write=") and (t.removeprefix("table="), w) not in used]
+    for path in gone:
+        delete(spark, path)
+    return gone
+
+
+def delete_change_sets(spark: SparkSession, root: str, expired: DataFrame) -> list[str]:
+    """Delete the change sets, manifests and schema changes of expired ctids; returns the folders.
+    One store is one feed; an operator's ``expired`` has a bounded number of batches."""
+    ctids = {f"ctid={r[0]}" for r in expired.select("ctid").distinct().collect()}
+    places = [f"change_sets/{t}" for t in children(spark, f"{root}/change_sets")] + ["manifest", "schema_changes"]
+    gone = [f"{root}/{p}/{n}" for p in places for n in children(spark, f"{root}/{p}") if n in ctids]
+    for path in gone:
+        delete(spark, path)
+    return gone

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions import COMPLETE
 from tidemark.operators.apply import merged, newer_only
 from tidemark.operators.changes import dedupe_changes
 from tidemark.sources import store
 from tidemark.spec import META, OP, VERSION, TableSpec
 
 
-def apply_versioned(target: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:
+def merge_versioned(target: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:
     """Merge into a target that keeps, in ``_version`` and ``_deleted``, the last version of each key
     and whether it is gone: late and repeated changes are ignored, deleted keys remembered."""
     fresh = newer_only(target, dedupe_changes(changes, spec.pk), spec)
@@ -22,7 +23,11 @@ def apply_versioned(target: DataFrame, changes: DataFrame, spec: TableSpec) -> D
     sent = sent.withColumn(OP, F.when((F.col(OP) == "D"), "U").otherwise(F.col(OP)))
     sent = sent.withColumnRenamed(VERSION, "__seen").withColumnRenamed("_v", "_version_new")
     out = merged(target.withColumnRenamed(VERSION, "_version_new"), sent.drop("__seen"), spec)
-    return out.drop("__action").withColumnRenamed("_version_new", VERSION)
+    return out.withColumnRenamed("_version_new", VERSION)
+
+
+def apply_versioned(target: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:
+    return merge_versioned(target, changes, spec).drop("__action")
 
 
 def live(target: DataFrame) -> DataFrame:
@@ -30,35 +35,37 @@ def live(target: DataFrame) -> DataFrame:
     return target.where(~F.col("_deleted")).drop("_deleted", *META)
 
 
-def stream_apply(changes: DataFrame, root: str, spec: TableSpec, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def stream_apply(changes: DataFrame, root: str, spec: TableSpec, checkpoint: str, trigger: dict | None = None, buckets: int = 16) -> StreamingQuery:
     """Apply a stream of change rows to the versioned target under ``root``.
 
-    Each micro-batch is reduced to one row per key and merged into the buckets it touches; then it
-    goes to the history under its batch id.  A batch that is run again finds its versions applied
-    already and replaces its own history, so the outcome is the same.  Subscribers are independent:
-    each has its own root and checkpoint.
+    Each micro-batch is reduced to one row per key and merged into the buckets it touches (a new target
+    gets ``buckets`` of them); then it goes to the history under its batch id, and a ledger row says
+    what was done.  A batch that is run again finds its versions applied already, replaces its own
+    history and records the same row, so the outcome is the same.  Subscribers are independent: each
+    has its own root and checkpoint.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cols = [c for c in batch.columns if c not in META]
-        path = store.generation_path(root, spec.name, 0)
-        marked = dedupe_changes(batch, spec.pk)
-        marked = marked.withColumn("_bucket", store.bucket_of(marked, spec))
-        touched = [r[0] for r in marked.select("_bucket").distinct().collect()]  # at most as many as there are buckets
-        if not touched:
+        began = F.lit(spark.sql("select current_timestamp()").first()[0])
+        if store.target(spark, root, spec.name) is None:
+            cols = [c for c in batch.columns if c not in META]
+            empty = spark.createDataFrame([], batch.select(*cols, VERSION, F.lit(False).alias("_deleted")).schema)
+            store.commit(spark, root, {spec.name: store.Target(empty.schema, buckets, {})})
+        staged = f"{root}/staging/table={spec.name.lower()}"  # a micro-batch is read once
+        dedupe_changes(batch, spec.pk).write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(batch.schema).parquet(staged)
+        span = rows.agg(F.count(F.lit(1)).alias("n"), F.min(VERSION).alias("low"), F.max(VERSION).alias("high")).first()
+        if not span["n"]:
             return
-        if store.exists(spark, path):
-            target = spark.read.parquet(path).where(F.col("_bucket").isin(touched)).drop("_bucket")
-        else:
-            target = batch.select(*cols, VERSION, F.lit(False).alias("_deleted")).limit(0)
-        new = apply_versioned(target, marked.drop("_bucket"), spec)
-        new = new.withColumn("_bucket", store.bucket_of(new, spec))
-        staged = f"{root}/staging/table={spec.name.lower()}"
-        new.write.mode("overwrite").parquet(staged)
-        store.replace_partitions(spark.read.schema(new.schema).parquet(staged).repartition("_bucket"), path, "_bucket")
+        new, did = store.rewrite(spark, root, spec, rows, store.target(spark, root, spec.name), merge_versioned)
+        store.commit(spark, root, {spec.name: new})
         if spec.history:
-            store.append_history(marked.drop("_bucket"), batch_id, root, spec.name)
+            store.append_history(rows, batch_id, root, spec.name)
+        done = (spec.name.lower(), batch_id, span["low"], span["high"], COMPLETE, span["n"], did.inserted, did.deleted)
+        kinds = "feed string, ctid long, sync_start_version long, sync_stop_version long, sync_bitwise int, rows long, inserted long, deleted long"
+        line = spark.createDataFrame([done], kinds).withColumns({"sync_start_time": began, "sync_stop_time": F.current_timestamp()})
+        store.record(spark, root, "stream", line)
 
     w = changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
