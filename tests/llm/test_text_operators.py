@@ -11,11 +11,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from tests.llm.conftest import ROWS
-from tidemark.llm import components, decontaminate, language_model, lines, packing, pii, quality, simhash, substring, toxicity, words
+from tidemark.llm import components, decontaminate, exchange, language_model, lines, packing, pii, quality, simhash, substring, toxicity, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,6 +62,34 @@ def test_substrings(spark, docs, edge, empty):
     assert substring.dedup_substrings(empty).count() == 0
 
 
+def test_counts_beyond_32_bits():
+    x = np.array([0, 1, 2**32 - 1, 2**32, 5_000_000_000, 2**62])
+    assert (exchange.unpack_ints(exchange.pack_ints(x), len(x)) == x).all()
+    with pytest.raises(OverflowError):
+        exchange.pack_ints(np.array([2**63 + 5], np.uint64).view(np.int64))
+    rows = [{"bucket": 0, "chunk": c, "n": 1, "keys": exchange.pack_sorted(np.array([7], np.uint64)), "counts": exchange.pack_ints(np.array([3 * 10**9])), "endings": b"\1"} for c in (1, 2)]
+    out = next(language_model._count(pa.Table.from_pylist(rows)))
+    assert exchange.unpack_ints(out.column("reply")[0].as_py(), 1)[0] == 6 * 10**9 == out.column("top")[2].as_py()[0]["c"]
+
+
+def test_windows_match_by_a_second_hash_too():
+    keys = np.array([5, 5, 5, 9], np.uint64)
+    rows = [{"bucket": 0, "chunk": c, "n": 1, "keys": exchange.pack_sorted(keys[c : c + 1]), "more": np.array([m], "<u2").tobytes(), "twice": b""} for c, m in enumerate([1, 2, 1, 1])]
+    assert sorted(next(substring._reply(pa.Table.from_pylist(rows))).column("chunk").to_pylist()) == [0, 2]
+    w = words.word_hashes([b"%d" % (k % 50) for k in range(120)])
+    s = substring._second(w, np.arange(120 - 34), 35)
+    assert (s[:36] == s[50:86]).all() and len(set(s[:36].tolist())) > 30
+
+
+def test_chunks_are_cut_once(docs):
+    """What is sent and what is answered are the same chunks, in whatever order the texts come."""
+    cut = exchange.chunks(docs.orderBy("text"), 50_000)
+    got = [(i, t) for r in cut.collect() for i, t in zip(r.ids, exchange.texts_of(r.lens, r.texts), strict=True)]
+    assert sorted(got) == sorted(tuple(r) for r in docs.select("doc_id", "text").collect())
+    assert cut.select("chunk").distinct().count() == cut.count() > 3
+    assert exchange.buckets_for(cut) == 16 and exchange.buckets_for(cut.selectExpr("size * 100000000 size")) > 10_000
+
+
 # 2 language model
 
 

@@ -1,15 +1,12 @@
 """Counting keys of every text position with compact shuffles.
 
-A chunk is a few thousand texts that one task has read.  Each chunk sends its *distinct* 64-bit
-keys, sorted and packed, to buckets dealt by the keys' top bits; a bucket adds up what all chunks
-sent and answers each chunk; the answers are joined with the chunk's texts.  So a key that stands
-a million times in a chunk travels once, a bucket holds a fixed share of the key space whatever
-one key's frequency, and no row of the shuffle is as wide as Spark's rows for single keys would be.
-
-Chunks are cut from the scan of the documents in reading order, so a task that is run again cuts
-the same ones.  A chunk's name is a digest of its texts, ids and place in the scan.  Documents that
-come out of a shuffle should be written to a table first; should they arrive in other chunks when
-they are read for the answers, the job fails rather than lose an answer.
+A chunk is a few thousand texts.  Chunks are cut once and written to the shared folder, so whatever
+reads them later, however often and on whichever executors, reads the same ones.  Each chunk sends
+its *distinct* 64-bit keys, sorted and packed, to buckets dealt by the keys' top bits; a bucket adds
+up what all chunks sent and answers each chunk; the answers are joined with the chunk's texts.  So a
+key that stands a million times in a chunk travels once, and no row of the shuffle is as wide as
+Spark's rows for single keys would be.  There are as many buckets as the size of all texts asks for,
+so what a bucket holds doesn't grow with the corpus.
 """
 
 from __future__ import annotations
@@ -18,41 +15,67 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tables import written
+
 #: Characters of text in a chunk at which it is closed; one longer text is a chunk by itself.
 CHUNK_CHARS = 3_000_000
-BUCKETS = 1024
+#: Bytes of text whose keys a bucket gets.
+BUCKET_BYTES = 2_000_000
 
 
-def cut(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list, list[str | None]]]:
-    """(chunk id, doc ids, texts) of consecutive rows; columns are (doc_id, text)."""
-    part, n = TaskContext.get().partitionId(), 0
+def cut(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str | None]]]:
+    """(doc ids, texts) of consecutive rows; columns are (doc_id, text)."""
     ids: list = []
     texts: list[str | None] = []
     size = 0
-
-    def name() -> int:
-        h = xxhash.xxh64(f"{part}/{n}/{len(ids)}/{ids[0]}/{ids[-1]}", seed=7)
-        for t in (texts[0], texts[-1]):
-            h.update((t or "")[:4096])
-        return h.intdigest() - (1 << 63)
-
     for batch in batches:
         some = batch.column(0).to_pylist()
         for k in range(0, len(some), 256):
             for i, t in zip(some[k : k + 256], batch.column(1).slice(k, 256).to_pylist(), strict=True):
                 if size and size + len(t or "") > limit:
-                    yield name(), ids, texts
-                    ids, texts, size, n = [], [], 0, n + 1
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
                 ids.append(i)
                 texts.append(t)
                 size += len(t or "") + 16
     if ids:
-        yield name(), ids, texts
+        yield ids, texts
+
+
+PAYLOAD = "chunk long, size long, ids array<long>, lens array<int>, texts binary"
+
+
+def chunks(docs: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
+    """The chunks of ``docs``, written: (chunk, bytes, ids, UTF-8 lengths or -1 for null, texts)."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for ids, texts in cut(batches, limit):
+            raw = [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+            lens = [-1 if r is None else len(r) for r in raw]
+            whole = b"".join(r for r in raw if r)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk], pa.int64()),
+                    pa.array([len(whole)], pa.int64()),
+                    pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([lens], pa.list_(pa.int32())),
+                    pa.array([pa.compress(pa.py_buffer(whole), "zstd", asbytes=True)], pa.binary()),
+                ],
+                names=["chunk", "size", "ids", "lens", "texts"],
+            )
+            chunk += 1
+
+    return written(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(go, PAYLOAD))
+
+
+def buckets_for(cut: DataFrame) -> int:
+    total = cut.agg(F.sum("size")).first()[0] or 0
+    return 1 << max(4, (total // BUCKET_BYTES).bit_length())
 
 
 def pack_sorted(h: np.ndarray) -> bytes:
@@ -68,22 +91,24 @@ def unpack_sorted(blob: bytes, n: int) -> np.ndarray:
 
 
 def pack_ints(x: np.ndarray) -> bytes:
-    """Non-negative integers in as many byte planes as the largest needs, zstd over all."""
-    x = x.astype("<u4")
+    """Non-negative integers below 2**63 in as many byte planes as the largest needs, zstd over all."""
+    if len(x) and int(x.min()) < 0:
+        raise OverflowError("a count is negative or doesn't fit 63 bits")
+    x = x.astype("<u8")
     width = 1 if not len(x) else max(1, (int(x.max()).bit_length() + 7) // 8)
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4)[:, :width].T)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
     return bytes([width]) + pa.compress(pa.py_buffer(planes.tobytes()), "zstd", asbytes=True)
 
 
 def unpack_ints(blob: bytes, n: int) -> np.ndarray:
     width = blob[0]
-    out = np.zeros((n, 4), np.uint8)
+    out = np.zeros((n, 8), np.uint8)
     if n:
         out[:, :width] = np.frombuffer(pa.decompress(blob[1:], width * n, "zstd", asbytes=True), np.uint8).reshape(width, n).T
-    return out.view("<u4").ravel().astype(np.int64)
+    return out.view("<u8").ravel().astype(np.int64)
 
 
-def bounds(keys: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins and ends in sorted keys."""
     edges = np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
@@ -119,25 +144,6 @@ def partitions_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-PAYLOAD = "chunk long, ids array<long>, lens array<int>, texts binary"
-
-
-def payload(docs: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
-    """The chunks themselves, texts compressed: (chunk, ids, UTF-8 lengths or -1 for null, texts)."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, texts in cut(batches, limit):
-            raw = [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-            lens = [-1 if r is None else len(r) for r in raw]
-            blob = pa.compress(pa.py_buffer(b"".join(r for r in raw if r)), "zstd", asbytes=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([blob], pa.binary())],
-                names=["chunk", "ids", "lens", "texts"],
-            )
-
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(go, PAYLOAD)
-
-
 def texts_of(lens: list[int], blob: bytes) -> list[str | None]:
     total = sum(n for n in lens if n > 0)
     raw = pa.decompress(blob, total, "zstd", asbytes=True) if total else b""
@@ -149,31 +155,31 @@ def texts_of(lens: list[int], blob: bytes) -> list[str | None]:
     return out
 
 
-def send(docs: DataFrame, keys: Callable, schema: str, limit: int = CHUNK_CHARS) -> DataFrame:
+def send(cut: DataFrame, keys: Callable, schema: str) -> DataFrame:
     """``keys(chunk, texts, ids) -> record batch`` of what each chunk sends to its buckets."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, texts in cut(batches, limit):
-            yield keys(chunk, texts, ids)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                yield keys(row["chunk"], texts_of(row["lens"], row["texts"]), row["ids"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(go, schema)
+    return cut.select("chunk", "ids", "lens", "texts").mapInArrow(go, schema)
 
 
-def answered(docs: DataFrame, replies: DataFrame, run: Callable, schema: str, limit: int = CHUNK_CHARS) -> DataFrame:
+def answered(cut: DataFrame, replies: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``run(ids, texts, {bucket: reply}) -> record batches`` for every chunk.
 
     ``replies`` has (chunk, bucket, reply); a chunk gets one reply a bucket at most, each no larger
     than what the chunk sent, so what meets here is bounded by the chunk's size.
     """
     grouped = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
-    both = payload(docs, limit).join(grouped.hint("shuffle_hash"), "chunk", "full_outer")
+    both = cut.join(grouped, "chunk", "left")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                if row["lens"] is None:
-                    raise RuntimeError("the documents came in other chunks when read again: write them to a table first")
                 got = {r["bucket"]: r["reply"] for r in row["replies"] or []}
                 yield from run(row["ids"], texts_of(row["lens"], row["texts"]), got)
 

@@ -5,14 +5,16 @@ whole corpus, windows of the same document included.  The repeated windows of a
 into maximal removal intervals.  Windows are judged on the input: all copies of a repeated window
 go, none is kept as the first.
 
-Each chunk of documents sends its distinct window hashes to buckets of the hash space (see
-``exchange``), with a mark where the chunk itself has a window twice; a bucket replies which of the
-others stand elsewhere as well.  A passage in a third of all documents therefore reaches its
-bucket once a chunk.  Hashes have 64 bits: among N windows about N*N / 2**65 pairs are expected to
-meet by chance (a billion windows: 0.03).
-
-Null, empty and short texts have no windows and lose nothing; repeated rows remove each other;
-null ids pass through; an empty table gives an empty result; other columns are dropped.
+Each chunk of documents
+sends its distinct window hashes to buckets of the hash space (see ``exchange``), with a mark where
+the chunk itself has a window twice; a bucket replies which of the others stand elsewhere as well.
+A passage in a third of all documents therefore reaches its bucket once a chunk.  Windows match by 80
+bits: 64 of the rolling hash and 16 of a second one; among N windows about N*N / 2**81 pairs are
+expected to meet by chance (10**12 windows: 0.4).
+
+Null, empty and short texts have no windows and lose nothing; very long texts are a chunk each;
+repeated rows remove each other; null ids pass through; where several copies tie all go; an empty
+table gives an empty result; other columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -25,42 +27,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm import exchange as X
-from tidemark.llm.words import Chunk, window_hashes, word_hashes
+from tidemark.llm.words import Chunk, mix, window_hashes, word_hashes
 
 WINDOW = 35
 
 
 def _windows(texts: list[str | None], size: int) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The chunk; where its windows start, in the order of their hashes; the distinct hashes,
-    where each begins in that order, and how often it stands in the chunk."""
+    """The chunk; where its windows start, in the order of their hashes; the distinct hashes, a second
+    hash of each, and how often it stands in the chunk."""
     chunk = Chunk(texts)
-    h = window_hashes(word_hashes(chunk.words), size)
+    words = word_hashes(chunk.words)
+    h = window_hashes(words, size)
     owner = chunk.owner()
     at = np.flatnonzero(owner[: len(h)] == owner[size - 1 :]) if len(h) else np.empty(0, np.int64)
     order = np.argsort(h[at], kind="stable")
     at = at[order]
     keys, first, counts = np.unique(h[at], return_index=True, return_counts=True)
-    return chunk, at, keys, first, counts
+    return chunk, at, keys, _second(words, at[first], size), counts
 
 
-SENT = "bucket int, chunk long, n int, keys binary, twice binary"
+def _second(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Sixteen bits of the windows that start at ``at``, of their words at a few fixed places and of the
+    sum over all, each word hashed anew."""
+    with np.errstate(over="ignore"):
+        own = mix(words ^ np.uint64(0xA0761D6478BD642F))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(own)])
+        total = sums[at + size] - sums[at]
+        for k in (0, size // 3, size // 2, size - 1):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + own[at + k]
+    return (mix(total) >> np.uint64(48)).astype("<u2")
+
+
+SENT = "bucket int, chunk long, n int, keys binary, more binary, twice binary"
 
 
 def _send(size: int, buckets: int):
     def keys(chunk: int, texts: list[str | None], ids: list) -> pa.RecordBatch:
-        _, _, uniq, _, counts = _windows(texts, size)
+        _, _, uniq, more, counts = _windows(texts, size)
         edge = X.bounds(uniq, buckets)
         full = np.flatnonzero(np.diff(edge))
-        parts = [(uniq[edge[b] : edge[b + 1]], counts[edge[b] : edge[b + 1]] > 1) for b in full]
+        parts = [slice(edge[b], edge[b + 1]) for b in full]
+        twice = counts > 1
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(full, pa.int32()),
                 pa.array(np.full(len(full), chunk), pa.int64()),
-                pa.array([len(k) for k, _ in parts], pa.int32()),
-                pa.array([X.pack_sorted(k) for k, _ in parts], pa.binary()),
-                pa.array([np.packbits(t).tobytes() if t.any() else b"" for _, t in parts], pa.binary()),
+                pa.array([p.stop - p.start for p in parts], pa.int32()),
+                pa.array([X.pack_sorted(uniq[p]) for p in parts], pa.binary()),
+                pa.array([more[p].tobytes() for p in parts], pa.binary()),
+                pa.array([np.packbits(twice[p]).tobytes() if twice[p].any() else b"" for p in parts], pa.binary()),
             ],
-            names=["bucket", "chunk", "n", "keys", "twice"],
+            names=["bucket", "chunk", "n", "keys", "more", "twice"],
         )
 
     return keys
@@ -79,8 +96,12 @@ def _reply(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             for t, n in zip(rows.column("twice"), counts, strict=True)
         ]
     )
+    more = np.concatenate([np.frombuffer(m.as_py(), "<u2") for m in rows.column("more")])
     order = np.argsort(keys, kind="stable")
     same = np.diff(keys[order]) == 0
+    if (same & (np.diff(more[order].astype(np.int32)) != 0)).any():
+        order = np.lexsort((more, keys))
+        same = (np.diff(keys[order]) == 0) & (np.diff(more[order].astype(np.int32)) == 0)
     met = np.zeros(len(keys), bool)
     met[order[1:]] |= same
     met[order[:-1]] |= same
@@ -102,7 +123,7 @@ RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<first:
 
 def _remove(size: int, buckets: int):
     def run(ids: list, texts: list[str | None], replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        chunk, at, uniq, first, counts = _windows(texts, size)
+        chunk, at, uniq, _, counts = _windows(texts, size)
         edge = X.bounds(uniq, buckets)
         bad = counts > 1
         for b, reply in replies.items():
@@ -136,9 +157,10 @@ def _hits(reply: bytes) -> np.ndarray:
     return np.cumsum(X.unpack_ints(reply[4:], n))
 
 
-def dedup_substrings(docs: DataFrame, size: int = WINDOW, buckets: int = X.BUCKETS, limit: int = X.CHUNK_CHARS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, size: int = WINDOW, buckets: int | None = None, limit: int = X.CHUNK_CHARS) -> DataFrame:
     """One row per document: its words, removed words, removal intervals (word numbers from 0,
     both ends included) and the kept words joined by single spaces."""
-    sent = X.send(docs, _send(size, buckets), SENT, limit)
-    replies = X.by_bucket(sent, X.partitions_of(docs), _reply, REPLY)
-    return X.answered(docs, replies, _remove(size, buckets), RESULT, limit)
+    cut = X.chunks(docs, limit)
+    n = buckets or X.buckets_for(cut)
+    replies = X.by_bucket(X.send(cut, _send(size, n), SENT), X.partitions_of(docs), _reply, REPLY)
+    return X.answered(cut, replies, _remove(size, n), RESULT)
