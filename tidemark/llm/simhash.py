@@ -18,11 +18,13 @@ counting bits, and copies cost nothing: distinct fingerprints only take part.
 
 Variants are shuffled by sixteen of their bits (every fourth): a fingerprint travels once to each
 prefix that its ball touches, about sixty rows instead of seven hundred, and the task that owns the
-prefix spells out the ball's variants inside it.  A crowd of near copies still spreads over many
-prefixes.
+prefix spells out the ball's variants inside it, a bounded number at once: a crowded prefix is cut by
+further bits of the variant.
 
-Null and empty texts have fingerprint zero and are linked like any other.  Repeated rows share a
-component; rows with a null id get a fingerprint, and the smallest id of their component, if any.
+Null and empty texts have fingerprint zero and are linked like any other; very long texts are hashed
+a block at a time.  Repeated rows share a component; rows with a null id get a fingerprint, and the
+smallest id of their component, if any.  The empty table gives an empty result; other columns,
+whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -131,23 +133,46 @@ def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
-def _spell(fp: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(variant, fingerprint) of the balls' variants behind the flipped route bits."""
-    var, src = [], []
+#: Rows (fingerprint ^ route flips, fingerprint) with the flips of free bits that spell their variants.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _blocks(fp: np.ndarray, flips: np.ndarray) -> list[Block]:
+    """The balls behind the flipped route bits, as rows and flips not yet multiplied out."""
+    out = []
     odd = parity(fp) == 1
     for flip in np.unique(flips):
         here = flips == flip
         n = int(np.bitwise_count(flip))
         for part, free in ((fp[here & odd], ODD_FREE[int(flip)] if n < 2 else ODD_FREE[0][:1]), (fp[here & ~odd], EVEN_FREE if n == 0 else ODD_FREE[0][:1])):
             if len(part):
-                var.append(((part ^ flip)[:, None] ^ free[None, :]).ravel())
-                src.append(np.repeat(part, len(free)))
-    return np.concatenate(var), np.concatenate(src)
+                out.append((part ^ flip, part, free))
+    return out
 
 
-def stars(fp: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _leaves(blocks: list[Block], bits: list[int]) -> Iterator[list[Block]]:
+    """The blocks cut by free bits of the variant, one after the other, until no more than ``SPELLED``
+    variants are spelled out at once.  Cut by all bits, a leaf is one variant, which at most 2081
+    fingerprints have in their balls, so this ends however crowded a prefix is."""
+    if not bits or sum(len(base) * len(free) for base, _, free in blocks) <= SPELLED:
+        yield blocks
+        return
+    bit = _bits(bits[0])
+    for value in (False, True):
+        part = []
+        for base, src, free in blocks:
+            flipped, right = (free & bit) != 0, ((base & bit) != 0) == value
+            for rows, some in ((right, free[~flipped]), (~right, free[flipped])):
+                if len(some) and rows.any():
+                    part.append((base[rows], src[rows], some))
+        if part:
+            yield from _leaves(part, bits[1:])
+
+
+def stars(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     """Verified edges (fingerprint, hub) of all variants spelled out from these rows."""
-    var, src = _spell(fp, flips)
+    var = np.concatenate([(base[:, None] ^ free[None, :]).ravel() for base, _, free in blocks])
+    src = np.concatenate([np.repeat(own, len(free)) for _, own, free in blocks])
     # in each variant the best hub comes first: the variant itself, then those one bit away
     order = np.argsort(var, kind="stable")
     var, src = var[order], src[order]
@@ -158,7 +183,7 @@ def stars(fp: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(var):
         return var, src
     far = np.bitwise_count(var ^ src)
-    order = np.lexsort((far, var))
+    order = np.lexsort((src, far, var))  # ties by value, so that a task run again gives the same edges
     var, src = var[order], src[order]
     start = np.flatnonzero(np.diff(var, prepend=~var[:1]))
     hub = np.repeat(src[start], np.diff(np.append(start, len(var))))
@@ -168,35 +193,42 @@ def stars(fp: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 SLAB = 1500  # rows of distinct prefixes spelled out together
+SPELLED = 2_000_000  # variants spelled out at once
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Edges of the rows of each prefix; rows are sorted by prefix, and those of one, sixteen bytes
+    each, are held together."""
+    ready: list[tuple[np.ndarray, np.ndarray]] = []
+    tail: list[tuple[np.ndarray, np.ndarray]] = []
     count = 0
 
-    def flush(route: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # a crowded prefix is spelled out by some of its free bits at a time
-        for a, b in _pieces(route, fp):
+    def flush() -> Iterator[pa.RecordBatch]:
+        for a, b in _pieces(*(np.concatenate(x) for x in zip(*ready, strict=True))):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         route = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         fp = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        held.append((route, fp))
-        count += len(fp)
+        other = np.flatnonzero(route != route[-1])
+        last = int(other[-1]) + 1 if len(other) else 0
+        if last or (tail and tail[0][0][0] != route[0]):
+            ready += [*tail, (route[:last], fp[:last])]
+            count += sum(len(x) for x, _ in tail) + last
+            tail = []
+        tail.append((route[last:], fp[last:]))
         if count >= SLAB:
-            route, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = int(np.flatnonzero(route == route[-1])[0])  # rows are sorted by prefix
-            if last:
-                yield from flush(route[:last], fp[:last])
-            held, count = [(route[last:], fp[last:])], len(fp) - last
-            if count >= 8 * SLAB:
-                count = 0  # look again when as many have come
-    if held:
-        yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from flush()
+            ready, count = [], 0
+    ready += tail
+    if ready:
+        yield from flush()
 
 
 def _pieces(route: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges of whole prefixes, a slab of them at a time; a crowded one is cut further."""
     edge = np.append(np.flatnonzero(np.diff(route, prepend=~route[:1])), len(route))
     a = 0
     while a < len(edge) - 1:
@@ -204,7 +236,8 @@ def _pieces(route: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         while b < len(edge) - 1 and edge[b + 1] - edge[a] <= SLAB:
             b += 1
         rows = slice(edge[a], edge[b])
-        yield stars(fp[rows], (fp[rows] & ROUTE_MASK) ^ route[rows])
+        for blocks in _leaves(_blocks(fp[rows], (fp[rows] & ROUTE_MASK) ^ route[rows]), FREE):
+            yield stars(blocks)
         a = b
 
 
