@@ -248,6 +248,22 @@ def groups(fps):
     return [find(k) for k in range(len(fps))]
 
 
+def test_crowded_prefixes_are_cut():
+    """A crowd within few bits of each other, spelled out whole and in bounded parts."""
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 2**63, dtype=np.uint64)
+    fps = np.unique(np.array([one ^ np.uint64(sum(1 << int(b) for b in rng.choice(simhash.FREE, rng.integers(0, 6), replace=False))) for _ in range(600)], np.uint64))
+    blocks = simhash._blocks(fps, np.zeros(len(fps), np.uint64))
+    want = {tuple(e) for e in zip(*simhash.stars(blocks), strict=True)}
+    whole, simhash.SPELLED = simhash.SPELLED, 3000
+    try:
+        parts = list(simhash._leaves(blocks, simhash.FREE))
+        got = {tuple(e) for p in parts for e in zip(*simhash.stars(p), strict=True)}
+    finally:
+        simhash.SPELLED = whole
+    assert got == want and len(parts) > 50 and all(sum(len(b) * len(f) for b, _, f in p) <= 3000 for p in parts)
+
+
 def test_balls_meet(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
@@ -397,26 +413,55 @@ def test_pii(docs, edge, empty):
 # 8 lines
 
 
-def later_copies(rows, size):
+def later_copies(rows, size, min_words=lines.MIN_WORDS):
+    """Texts without what an earlier place has too: every run of ``size`` lines, and every shorter one
+    of ``min_words`` words."""
     seen, out = set(), {}
     for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
         ls = (t or "").split("\n")
         sequence = [k for k, x in enumerate(ls) if x.strip(" \t\x0b\f\r")]
         dead = set()
-        for a in range(len(sequence) - size + 1):
-            w = tuple(ls[k] for k in sequence[a : a + size])
-            dead |= set(sequence[a : a + size]) if w in seen else set()
-            seen.add(w)
+        for a in range(len(sequence)):
+            for n in range(1, size + 1):
+                w = tuple(ls[k] for k in sequence[a : a + n])
+                if len(w) == n and (n == size or sum(len(WORD.findall(x)) for x in w) >= min_words):
+                    dead |= set(sequence[a : a + n]) if w in seen else set()
+                    seen.add(w)
         out[(i, t)] = None if t is None else "\n".join(x for k, x in enumerate(ls) if k not in dead)
     return out
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 5])
-def test_lines(spark, size):
+@pytest.mark.parametrize(("size", "words"), [(1, 50), (2, 50), (3, 4), (5, 7)])
+def test_lines(spark, size, words):
     rng = random.Random(size)
     rows = [(i, "\n".join(rng.choice(["a b", "c", "d", "", " ", "e f g"]) for _ in range(rng.randint(0, 14)))) for i in range(50)] + [(100, None), (101, ""), (None, "a b\nc\nd")]
-    got = {r.doc_id: r.kept_text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size).collect()}
-    assert got == {i: t for (i, _), t in later_copies(rows, size).items()}
+    got = {r.doc_id: r.kept_text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size, min(words, 50)).collect()}
+    # the operator passes over runs of fewer characters than that many words need
+    assert got == {i: t for (i, _), t in later_copies(rows, size, words).items()}
+
+
+def test_suffix_array_is_whole(spark):
+    """At every depth: the suffixes whose prefix repeats, in order, with the first copy of each."""
+    rng = random.Random(3)
+    rows = [(i, "\n".join(rng.choice("abc") for _ in range(rng.randint(1, 30)))) for i in range(12)]
+    rows += [(50, rows[3][1]), (51, "\n".join("a" * 40))]
+    text = {i: t.split("\n") for i, t in rows}
+    levels = lines.suffix_array(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert [d for d, _ in levels][:4] == [1, 2, 3, 6]
+    for depth, level in levels:
+        every = {}
+        for i, ls in sorted(text.items()):
+            for p in range(len(ls) - depth + 1):
+                every.setdefault(tuple(ls[p : p + depth]), []).append((i, p))
+        want = {(i, p): places[0] for places in every.values() if len(places) > 1 for i, p in places}
+        got = level.collect()
+        assert {(r["__id"], r["__pos"]): (r["__first"].i, r["__first"].p) for r in got} == want
+        rank = {}
+        for r in got:
+            rank.setdefault(r["__r"], set()).add(tuple(text[r["__id"]][r["__pos"] : r["__pos"] + depth]))
+        assert all(len(v) == 1 for v in rank.values())
+    longest = max(d for d in range(1, 41) if len({tuple(ls[p : p + d]) for ls in text.values() for p in range(len(ls) - d + 1)}) < sum(max(0, len(ls) - d + 1) for ls in text.values()))
+    assert levels[-1][0] <= longest < 2 * levels[-1][0]
 
 
 def test_lines_of_documents(docs, edge, empty):
@@ -429,6 +474,20 @@ def test_lines_of_documents(docs, edge, empty):
     assert kept.count() == len(ROWS) and lines.clean(empty).count() == 0
 
 
+def test_lines_oracle(spark):
+    import duckdb
+
+    from tests.conftest import SF
+    from tidemark.llm.queries import OP8_SQL, op8_lines
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(OP8_SQL)
+    plain = lambda r: [round(x, 9) if isinstance(x, float) else x for x in r]
+    got = op8_lines(spark, SF).select(*want.columns).collect()
+    assert sorted(repr(plain(r)) for r in got) == sorted(repr(plain([float(x) if k == 4 else x for k, x in enumerate(r)])) for r in want.fetchall())
+
+
 # 9 toxicity
 
 

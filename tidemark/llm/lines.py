@@ -1,12 +1,13 @@
 """Line deduplication: later copies of repeated runs of lines are deleted.
 
-A document is a sequence of lines; lines without a word are no part of it.  The suffixes of all
-sequences are ranked by distributed prefix doubling: the rank of a suffix by its first 2h lines
-follows from the ranks of two suffixes by their first h lines, sorted as pairs.  Doubling stops when
-``min_lines`` lines decide the order, which gives the suffix array to that depth; suffixes of equal
-rank are its intervals of longest common prefix ``min_lines`` or more.  In each interval the copy
-that comes first (by id, then place) stays, and the others' lines go; neighbouring windows merge to
-maximal runs.
+A document is a sequence of lines; lines without a word are no part of it.  The suffix array of all
+sequences is built by distributed prefix doubling: the rank of a suffix by its first 2h lines follows
+from the ranks of two suffixes by their first h lines, sorted as pairs.  Suffixes of equal rank at
+depth h are the intervals whose longest common prefix is h lines or more; doubling goes on until no
+two suffixes share a prefix.  In each interval the copy that comes first (by id, then place) stays.
+Each suffix is taken at the greatest depth at which it is a later copy; what it shares there is deleted
+if it has ``min_lines`` lines or ``min_words`` words, and neighbouring pieces merge to maximal runs.
+(The depths double, and a run between two of them is covered by two overlapping pieces.)
 
 Only repeated suffixes stay active: a suffix whose first h lines stand once is dropped, since no
 longer prefix of it can repeat.  Ranks are given to the distinct pairs, which are counted with
@@ -15,8 +16,10 @@ one row there; joins that bring ranks back to the suffixes are sort-merge joins,
 execution where one rank is hot.  Every round is written to the shared folder.
 
 Null and empty texts have no lines and stay as they are.  Rows with the same id and text count as
-one document.  Null ids come last in the order.  Clashing column names do no harm: all names used
-here begin with two underscores.
+one document; of copies with equal ids the order of a hash decides.  Null ids come last in the order.
+Very long texts take more rounds, as the logarithm of their longest repeated run.  The empty table
+gives an empty result.  Clashing column names do no harm: all names used here begin with two
+underscores.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.tables import written
 
 MIN_LINES = 3
+MIN_WORDS = 50  # of a repeated run of fewer lines
 MIN_LEFT = 2.0**-64  # of its words, that is any word: only documents without a word of their own go
 KEY = ["__a", "__b"]
 _SPACES = " \t\x0b\f\r"
@@ -40,48 +44,58 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _suffixes(docs: DataFrame) -> DataFrame:
-    """(key, __id, __pos, __line, __r): place in the sequence, line number, hash of the line."""
+    """(key, __id, __pos, __len, __r): place in the sequence, characters and hash of the line."""
     lines = F.filter(
-        F.transform(F.split("text", "\n"), lambda x, k: F.struct(k.alias("line"), F.when(F.length(F.translate(x, _SPACES, "")) > 0, F.xxhash64(x)).alias("id"))),
+        F.transform(F.split("text", "\n"), lambda x: F.struct(F.length(x).cast("long").alias("len"), F.when(F.length(F.translate(x, _SPACES, "")) > 0, F.xxhash64(x)).alias("id"))),
         lambda s: s["id"].isNotNull(),
     )
     rows = _keyed(docs).where("text is not null").select(*KEY, F.col("doc_id").cast("long").alias("__id"), lines.alias("__lines"))
     rows = rows.where(F.size("__lines") > 0).dropDuplicates(KEY)
-    return rows.select(*KEY, "__id", F.posexplode("__lines").alias("__pos", "__x")).select(*KEY, "__id", "__pos", F.col("__x.line").alias("__line"), F.col("__x.id").alias("__r"))
+    return rows.select(*KEY, "__id", F.posexplode("__lines").alias("__pos", "__x")).select(*KEY, "__id", "__pos", F.col("__x.len").alias("__len"), F.col("__x.id").alias("__r"))
 
 
 def _ranked(active: DataFrame, pair: list[str]) -> DataFrame:
     """Active suffixes whose ``pair`` repeats, with its rank among all pairs and the first copy."""
     place = F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), *[F.col(k).alias(k) for k in KEY], F.col("__pos").alias("p"))
     pairs = active.groupBy(*pair).agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias("__first")).where("__n > 1")
-    ranks = written(pairs.orderBy(*pair).select(*pair, F.monotonically_increasing_id().alias("__rank"), "__first"))
+    ranks = pairs.orderBy(*pair).select(*pair, F.monotonically_increasing_id().alias("__rank"), "__first")
     return written(active.join(ranks, pair).drop(*pair).withColumnRenamed("__rank", "__r"))
 
 
 def _doubled(active: DataFrame, ahead: int) -> DataFrame:
-    """Ranks by two windows, one beginning ``ahead`` lines after the other."""
-    later = active.select(*KEY, (F.col("__pos") - ahead).alias("__pos"), F.col("__r").alias("__r2"))
-    return _ranked(active.drop("__first").join(later, [*KEY, "__pos"]), ["__r", "__r2"])
-
-
-def suffix_ranks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """The repeated suffixes in the suffix array to depth ``min_lines``: their rank ``__r`` and, of
-    each rank, the first copy."""
-    active = _ranked(written(_suffixes(docs)), ["__r"])
-    known = 1
-    while known < min_lines:
-        ahead = min(known, min_lines - known)
-        active = _doubled(active, ahead)
-        known += ahead
-    return active
-
-
-def doomed(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(key, __starts): sequence positions where a later copy of a repeated window begins."""
-    ranks = suffix_ranks(docs, min_lines)
+    """Ranks by two windows, one beginning ``ahead`` lines after the other.  The windows overlap, if at
+    all, so the characters of the second count from where the first ends."""
+    later = active.select(*KEY, (F.col("__pos") - ahead).alias("__pos"), F.col("__r").alias("__r2"), F.col("__len").alias("__len2"))
+    both = active.drop("__first").join(later, [*KEY, "__pos"]).withColumn("__len", F.col("__len") + F.col("__len2")).drop("__len2")
+    return _ranked(both, ["__r", "__r2"])
+
+
+def suffix_array(docs: DataFrame, min_lines: int = MIN_LINES) -> list[tuple[int, DataFrame]]:
+    """(depth, repeated suffixes) for every depth up to ``min_lines`` and from there doubling, until
+    nothing is repeated: the rank ``__r`` among all prefixes of that depth and the interval's first
+    copy.  ``__len`` is no less than the characters of the prefix."""
+    levels = [(1, _ranked(written(_suffixes(docs)), ["__r"]))]
+    while True:
+        depth, active = levels[-1]
+        ahead = 1 if depth < min_lines else depth
+        deeper = _doubled(active, ahead)
+        if deeper.isEmpty():
+            return levels
+        levels.append((depth + ahead, deeper))
+
+
+def doomed(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, __starts): sequence positions where a later copy begins, with its depth."""
     first = F.struct(*[F.col(f"__first.{k}") for k in KEY], F.col("__first.p"))
-    later = ranks.where(first != F.struct(*KEY, "__pos"))
-    return later.groupBy(*KEY).agg(F.collect_list("__pos").alias("__starts"))
+    found = None
+    for depth, level in suffix_array(docs, min_lines):
+        later = level.where(first != F.struct(*KEY, "__pos"))
+        if depth < min_lines:  # of few lines, only those long enough to hold that many words
+            later = later.where(F.col("__len") >= 2 * min_words - depth)
+        one = later.select(*KEY, "__pos", F.lit(depth).alias("__depth"))
+        found = one if found is None else found.unionAll(one)
+    deepest = found.groupBy(*KEY, "__pos").agg(F.max("__depth").alias("__depth"))
+    return deepest.groupBy(*KEY).agg(F.collect_list(F.struct(F.col("__pos").alias("p"), F.col("__depth").alias("d"))).alias("__starts"))
 
 
 RESULT = "struct<text:string,n_lines:int,n_removed:int,longest_run:int,left:double>"
@@ -91,7 +105,7 @@ def _words(text: str) -> int:
     return len(text.encode("utf-8", "surrogatepass").split())
 
 
-def _rewrite(min_lines: int) -> Column:
+def _rewrite(min_lines: int, min_words: int) -> Column:
     @F.pandas_udf(RESULT)
     def rewrite(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
         out = []
@@ -101,17 +115,19 @@ def _rewrite(min_lines: int) -> Column:
                 continue
             lines = text.split("\n")
             sequence = [k for k, x in enumerate(lines) if x.strip(_SPACES)]
-            if at is None or not len(at):
-                out.append((text, len(sequence), 0, 0, 1.0))
-                continue
             gone: list[int] = []
             run = longest = upto = 0
-            for s in sorted(at):
-                run = run if s <= upto else 0
-                new = range(max(s, upto), s + min_lines)
+            for p, d in sorted((s["p"], s["d"]) for s in at) if at is not None else ():
+                if d < min_lines and sum(_words(lines[k]) for k in sequence[p : p + d]) < min_words:
+                    continue
+                run = run if p <= upto else 0
+                new = range(max(p, upto), p + d)
                 gone += new
                 run += len(new)
-                longest, upto = max(longest, run), s + min_lines
+                longest, upto = max(longest, run), max(upto, p + d)
+            if not gone:
+                out.append((text, len(sequence), 0, 0, 1.0))
+                continue
             dead = {sequence[k] for k in gone}
             kept = [x for k, x in enumerate(lines) if k not in dead]
             words = _words(text)
@@ -121,21 +137,21 @@ def _rewrite(min_lines: int) -> Column:
     return rewrite(F.col("text"), F.col("__starts"))
 
 
-def _with_result(docs: DataFrame, min_lines: int) -> DataFrame:
+def _with_result(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     typed = docs.withColumn("text", F.col("text").cast("string"))
-    return _keyed(typed).join(doomed(typed, min_lines), KEY, "left").withColumn("__new", _rewrite(min_lines))
+    return _keyed(typed).join(doomed(typed, min_lines, min_words), KEY, "left").withColumn("__new", _rewrite(min_lines, min_words))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, longest_run, left, kept_text) per document."""
-    got = _with_result(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_lines)
+    got = _with_result(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_lines, min_words)
     return got.select("doc_id", "__new.n_lines", "__new.n_removed", "__new.longest_run", "__new.left", F.col("__new.text").alias("kept_text"))
 
 
-def clean(docs: DataFrame, min_lines: int = MIN_LINES, min_left: float = MIN_LEFT) -> DataFrame:
+def clean(docs: DataFrame, min_lines: int = MIN_LINES, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs``, all columns, with later copies deleted from the texts; documents of whose words
     less than ``min_left`` are left go altogether, and ``n_chars`` follows the text."""
-    got = _with_result(docs, min_lines).where(F.col("__new.left") >= min_left)
+    got = _with_result(docs, min_lines, min_words).where(F.col("__new.left") >= min_left)
     cols = [F.col("__new.text").alias(c) if c == "text" else F.col(c) for c in docs.columns]
     out = got.select(*cols)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

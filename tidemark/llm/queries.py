@@ -97,10 +97,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS p FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-runs AS (SELECT doc_id, p, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
-later AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) AS n FROM runs WHERE c IS NOT NULL) WHERE n > 1),
-gone AS (SELECT DISTINCT doc_id, p + o AS p FROM later, range(3) AS r(o)),
+s AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS p FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+runs AS (SELECT doc_id, p, w, line AS a, lead(line) OVER x AS b, w + lead(w) OVER x AS w2, lead(line, 2) OVER x AS c FROM s WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
+later AS (
+  SELECT doc_id, p, 3 AS d FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) AS n FROM runs WHERE c IS NOT NULL) WHERE n > 1
+  UNION ALL SELECT doc_id, p, 2 FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, p) AS n FROM runs WHERE b IS NOT NULL AND w2 >= 50) WHERE n > 1
+  UNION ALL SELECT doc_id, p, 1 FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY doc_id, p) AS n FROM runs WHERE w >= 50) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, p + o AS p FROM later, range(3) AS r(o) WHERE o < d),
 islands AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gone) GROUP BY doc_id, g),
 totals AS (SELECT doc_id, sum(n) AS n_removed, max(n) AS longest_run FROM islands GROUP BY doc_id),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM l WHERE (doc_id, k) NOT IN (SELECT (s.doc_id, s.k) FROM s JOIN gone USING (doc_id, p)) GROUP BY doc_id),

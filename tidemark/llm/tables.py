@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.paths import delete, scratch
+
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -22,17 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or the warehouse where unset."""
-    conf = spark.sparkContext.getConf()
-    return conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-
-
 def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage is cut there, so the
-    loss of executors repeats no work before it.  The table stays until the folder is cleaned."""
+    loss of executors repeats no work before it.  ``discard`` deletes a table that nothing reads any
+    more; those that a result is still read from stay until the folder is cleaned."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     w = df.write.mode("overwrite").option("compression", "zstd")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for these tables."""
+    for df in tables:
+        for path in {m[1] for f in df.inputFiles()[:1] if (m := re.match(r"(.*/tidemark-table-[0-9a-f]{32})/", f))}:
+            delete(df.sparkSession, path)
