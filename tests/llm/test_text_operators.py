@@ -566,6 +566,78 @@ def test_outliers_are_rejected(spark):
     assert all(r.kept == (r.doc_id % 10 != 0) for r in got)
 
 
+def robust_distances(vectors, groups, min_group=40):
+    """The minimum-covariance-determinant search in numpy: squared distances of all vectors."""
+    floor = np.array(list(quality.FLOOR.values())) ** 2
+
+    def moments(x, scale):
+        return x.mean(axis=0), np.cov(x.T, bias=True) / scale + np.diag(floor)
+
+    def distance(x, fit):
+        y = np.linalg.solve(np.linalg.cholesky(fit[1]), (x - fit[0]).T)
+        return (y * y).sum(axis=0)
+
+    def median(v):
+        return np.sort(v, axis=0)[math.ceil(len(v) / 2) - 1]
+
+    def drawn(x, start):
+        h = 42
+        for raw in [np.array(start, "<i4").tobytes(), *[np.array(v, "<f8").tobytes() for v in x]]:
+            h = xxhash.xxh64_intdigest(raw, h)
+        return (h if h < 1 << 63 else h - (1 << 64)) % max(1, n // quality.SUBSET) == 0
+
+    def search(x):
+        middle = median(x)
+        starts = [(middle, np.diag((median(np.abs(x - middle)) * 1.4826) ** 2 + floor))]
+        for k in range(1, quality.SUBSETS + 1):
+            some = x[[drawn(v, k) for v in x]]
+            if len(some):
+                starts.append(moments(some, 1.0))
+        best = []
+        for fit in starts:
+            det = np.inf
+            while True:
+                d = distance(x, fit)
+                new = moments(x[d <= median(d)], quality.HALF_SCALE)
+                now = np.linalg.slogdet(new[1])[1]
+                if now >= det - 1e-9:
+                    break
+                fit, det = new, now
+            best.append((det, fit))
+        return min(best, key=lambda b: b[0])[1]
+
+    n = len(vectors)
+    whole = search(vectors)
+    out = distance(vectors, whole)
+    for g in set(groups) - {None}:
+        at = np.array([x == g for x in groups])
+        if at.sum() >= min_group:
+            n = int(at.sum())
+            out[at] = distance(vectors[at], search(vectors[at]))
+    return out
+
+
+def test_verdicts_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(360):
+        lang, source = rng.choice([("en", "a"), ("en", "b"), ("de", None), ("fr", "c")]) if k % 9 else ("it", "few")
+        size = {"a": 6, "b": 3}.get(source, 9)
+        words = ["".join(rng.choice("abcdefgh") for _ in range(max(1, int(rng.gauss(size, 2))))) for _ in range(rng.randint(50, 200))]
+        for _ in range(rng.choice([0, 0, 1, 5, 60 if k % 20 == 0 else 2])):
+            words[rng.randrange(len(words))] += "#"
+        if k % 15 == 0:
+            words += words[:20]
+        rows.append((k, " ".join(words), lang, source))
+    got = sorted(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect())
+    n = np.array([r.n_words for r in got], float)
+    x = np.stack([np.log(n), [r.word_chars for r in got] / n, np.sqrt([r.n_symbols for r in got] / n), np.sqrt([r.n_repeat_words for r in got] / n)], axis=1)
+    want = robust_distances(x, [None if r.source is None else (r.lang, r.source) for r in got])
+    assert not any(r.base_failed for r in got)
+    assert np.allclose([r.distance2 for r in got], want, rtol=1e-6)
+    assert [r.kept for r in got] == (want <= quality.CUTOFF).tolist() and 5 < sum(not r.kept for r in got) < 120
+
+
 def test_main_paths_of_native_operators_have_no_python(spark, docs):
     from tidemark.llm import url_filter
 

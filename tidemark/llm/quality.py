@@ -1,18 +1,23 @@
 """Quality rules: per-document statistics and robust multivariate outliers.
 
 Every document gets a vector of transformed statistics.  For each (language, source) group a
-minimum-covariance-determinant estimate of centre and scatter is made by concentration steps:
-start from medians and absolute deviations, keep the half of the group with the smallest
-Mahalanobis distances, re-estimate from that half, repeat.  Documents farther out than the cutoff
-are rejected.  Groups with fewer than ``min_group`` members, null languages and null sources use
-the estimate over all documents.
+minimum-covariance-determinant estimate of centre and scatter is made by concentration steps from
+several starts: medians and absolute deviations, and the moments of small subsets drawn by a hash of
+the vectors.  A step keeps the half of the group with the smallest Mahalanobis distances and
+re-estimates from that half.  Steps go on until no start of any group lowers its determinant any
+more; of each group the start with the least determinant counts.  Documents farther out than the
+cutoff are rejected.  Groups with fewer than ``min_group`` members, null languages and null sources use
+the estimate over all documents.  Scatter matrices get a least variance on their diagonal, so
+determinants are never zero.
 
 Only DataFrame functions are used.  The texts are read once: the statistics are written to the
 shared folder, and the concentration steps aggregate those few numbers with map-side combining,
-so a group that holds a third of all rows is summed in every task.
+so a group that holds a third of all rows is summed in every task.  All groups and starts take a step
+together.
 
-Defined results: null text counts as empty; empty texts fail the base rule; repeated rows are
-judged one by one; the empty table gives an empty result; other columns are dropped.
+Defined results: null text counts as empty; empty texts fail the base rule; very long texts are
+taken whole; repeated rows are judged one by one, and ties at the median distance all stay in the
+half; the empty table gives an empty result; other columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import written
+from tidemark.llm.tables import discard, written
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -35,6 +40,9 @@ CUTOFF = 23.513
 HALF_SCALE = 0.4587
 
 
+#: Starts of the search besides medians, the vectors that each begins with on average, and the most
+#: steps (a handful is what they take; a search that is still going on then is used as it stands).
+SUBSETS, SUBSET, STEPS = 3, 12, 40
 #: Groups up to which their estimates (some twenty numbers each) are broadcast; more are shuffled.
 SMALL = 20_000
 
@@ -110,17 +118,20 @@ def _vector(stats: DataFrame) -> DataFrame:
     })
 
 
-def _moments(df: DataFrame, keys: list[str], scale: float) -> DataFrame:
-    """Per group: count, means m_i and floored covariances c_i_j."""
+KEYS = ["group", "start"]
+
+
+def _moments(df: DataFrame, scale: float) -> DataFrame:
+    """Per group and start: count, means m_i and floored covariances, factored."""
     sums = [F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(DIMS)]]
     sums += [F.covar_pop(DIMS[i], DIMS[j]).alias(f"r_{i}_{j}") for i in range(len(DIMS)) for j in range(i + 1)]
-    got = df.groupBy(*keys).agg(*sums)
+    got = df.groupBy(*KEYS).agg(*sums)
     cov = [
         (F.col(f"r_{i}_{j}") / scale + (F.lit(FLOOR[DIMS[i]] ** 2) if i == j else F.lit(0.0))).alias(f"c_{i}_{j}")
         for i in range(len(DIMS))
         for j in range(i + 1)
     ]
-    return _factor(got.select(*keys, "n", *[f"m_{i}" for i in range(len(DIMS))], *cov), keys)
+    return _factor(got.select(*KEYS, "n", *[f"m_{i}" for i in range(len(DIMS))], *cov), KEYS)
 
 
 def _factor(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -151,15 +162,21 @@ def _distance(df: DataFrame, name: str = "d2") -> DataFrame:
     return df.withColumn(name, total)
 
 
-def _centres(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 10000).alias(f"m_{i}") for i, x in enumerate(DIMS)])
+ESTIMATE = [*[f"m_{i}" for i in range(len(DIMS))], *[f"l_{i}_{j}" for i in range(len(DIMS)) for j in range(i + 1)]]
+
+
+def _log_det() -> Column:
+    """Log of the determinant of the scatter, from its factor."""
+    return sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(1, len(DIMS))), 2 * F.log(F.col("l_0_0")))
 
 
-def _start(df: DataFrame, keys: list[str], centres: DataFrame) -> DataFrame:
-    """Medians and scaled absolute deviations as the first centre and (diagonal) scatter."""
-    kept = ["n", *[f"m_{i}" for i in range(len(DIMS))]]
-    dev = _with(df, centres, keys).groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in kept],
+def _starts(members: DataFrame) -> DataFrame:
+    """First estimates of every group: medians and scaled absolute deviations (start 0), and moments of
+    hashed subsets of about ``SUBSET`` vectors."""
+    centres = written(members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 10000).alias(f"m_{i}") for i, x in enumerate(DIMS)]))
+    wide = members.join(_side(centres), "group")
+    dev = wide.groupBy("group").agg(
+        *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(DIMS))],
         *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 10000).alias(f"a_{i}") for i, x in enumerate(DIMS)],
     )
     lower = [
@@ -167,41 +184,51 @@ def _start(df: DataFrame, keys: list[str], centres: DataFrame) -> DataFrame:
         for i in range(len(DIMS))
         for j in range(i + 1)
     ]
-    return dev.select(*keys, *kept, *lower)
+    median = dev.select("group", F.lit(0).alias("start"), *[f"m_{i}" for i in range(len(DIMS))], *lower)
+    drawn = wide.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(SUBSETS))))
+    drawn = drawn.where(F.pmod(F.xxhash64("start", *DIMS), F.greatest(F.lit(1), F.expr(f"n div {SUBSET}"))) == 0)
+    return median.unionByName(_moments(drawn.select(*KEYS, *DIMS), 1.0).select(*KEYS, *ESTIMATE))
 
 
-def _with(df: DataFrame, fit: DataFrame, keys: list[str], how: str = "inner", prefix: str = "") -> DataFrame:
-    """The rows with the estimate of their group; without keys, with the one estimate as literals."""
-    if keys:
-        fit = fit.select(*keys, *[F.col(c).alias(prefix + c) for c in fit.columns if c not in keys])
-        return df.join(_side(fit), keys, how)
-    row = fit.first()
-    return df.withColumns({prefix + c: F.lit(None if row is None else row[c]).cast("double") for c in fit.columns})
-
-
-def _mcd(df: DataFrame, keys: list[str], steps: int) -> DataFrame:
-    """Minimum-covariance-determinant estimate per group by concentration steps."""
-    fit = written(_start(df, keys, written(_centres(df, keys))))
+def _mcd(members: DataFrame, steps: int) -> DataFrame:
+    """(group, estimate): of each group the estimate with the least determinant that concentration
+    steps reach from any start.  ``members``: (group, vector)."""
+    fit = written(_starts(members).withColumn("det", F.lit(float("inf"))))
     for _ in range(steps):
-        far = _distance(_with(df, fit, keys)).select(*keys, *DIMS, "d2")
-        half = written(far.groupBy(*keys).agg(F.percentile_approx("d2", 0.5, 10000).alias("half")))
-        near = _with(far, half, keys).where(F.col("d2") <= F.col("half"))
-        fit = written(_moments(near, keys, HALF_SCALE))
-    return fit
-
-
-def judge(docs: DataFrame, cutoff: float = CUTOFF, steps: int = 3, min_group: int = 40) -> DataFrame:
+        far = _distance(members.join(_side(fit.drop("det")), "group")).select(*KEYS, *DIMS, "d2")
+        half = written(far.groupBy(*KEYS).agg(F.percentile_approx("d2", 0.5, 10000).alias("half")))
+        near = far.join(_side(half), KEYS).where(F.col("d2") <= F.col("half"))
+        new = _moments(near, HALF_SCALE).select(*KEYS, *ESTIMATE).withColumn("det", _log_det())
+        old = fit.select(*KEYS, F.col("det").alias("__old"), F.struct(*ESTIMATE, "det").alias("__was"))
+        # an estimate is replaced only by one with a smaller determinant
+        both = new.select(*KEYS, F.struct(*ESTIMATE, "det").alias("__now")).join(_side(old), KEYS, "right")
+        less = F.col("__now.det") < F.col("__old") - 1e-9
+        step = both.select(*KEYS, F.when(less, F.col("__now")).otherwise(F.col("__was")).alias("x"), F.coalesce(less, F.lit(False)).alias("less"))
+        after = written(step.select(*KEYS, "x.*", "less"))
+        discard(fit, half)
+        fit = after.drop("less")
+        if not after.where("less").limit(1).count():
+            break
+    best = fit.groupBy("group").agg(F.min(F.struct("det", "start", *ESTIMATE)).alias("x"))
+    return written(best.select("group", *[F.col(f"x.{c}").alias(c) for c in ESTIMATE]))
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS, min_group: int = 40) -> DataFrame:
     """Statistics, base verdict, squared robust distance and the final ``kept`` per document."""
     stats = written(_vector(statistics(docs)).withColumn("base_failed", base_failed()))
     sound = stats.where(~F.col("base_failed"))
     keys = ["lang", "source"]
     grouped = sound.where(F.col("lang").isNotNull() & F.col("source").isNotNull())
-    large = written(grouped.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= min_group))
-    own = _mcd(_with(grouped, large, keys), keys, steps)
-    fitted = [c for c in own.columns if c not in (*keys, "n")]
-    wide = _with(stats, own.select(*keys, *fitted), keys, "left", "own_")
-    wide = _with(wide, _mcd(sound, [], steps).select(*fitted), [], prefix="all_")
-    wide = wide.withColumns({c: F.coalesce(f"own_{c}", f"all_{c}") for c in fitted})
+    large = grouped.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= min_group)
+    large = written(large.select(*keys, F.monotonically_increasing_id().alias("group")))
+    own = grouped.join(_side(large), keys).select("group", *DIMS)
+    members = written(own.unionAll(sound.select(F.lit(-1).cast("long").alias("group"), *DIMS)))  # group -1: all
+    fit = _mcd(members, steps)
+    discard(members)
+    row = fit.where("group = -1").first()
+    named = fit.join(_side(large), "group").select(*keys, *[F.col(c).alias(f"own_{c}") for c in ESTIMATE])
+    wide = stats.join(_side(named), keys, "left")
+    wide = wide.withColumns({c: F.coalesce(f"own_{c}", F.lit(None if row is None else row[c]).cast("double")) for c in ESTIMATE})
     return _distance(wide).select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.col("d2").alias("distance2"),
