@@ -176,7 +176,8 @@ def test_decontamination(spark, edge, empty, monkeypatch):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (99, None), (98, ""), (None, "!!")], "item_id long, text string")
     want = leaks(docs, items)
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == want
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 400)  # the same in several blocks
+    monkeypatch.setattr(decontaminate, "PAIRS", 100)  # the same a few alignments at once
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 10)  # and with a filter that is nearly full
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == want
     assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
     assert decontaminate.clean(edge, bench.limit(0)).count() == len(ROWS)
@@ -185,6 +186,26 @@ def test_decontamination(spark, edge, empty, monkeypatch):
     assert decontaminate.clean(empty, bench).count() == 0
 
 
+def test_alignments_of_long_repeats(spark):
+    """Documents and items of one repeated word, or of one repeated line: every place aligns with every
+    other.  The best window is the first."""
+    began = time.perf_counter()
+    line = " ".join(f"w{k}" for k in range(19))
+    docs = [(1, "a " * 300_000), (2, (line + " b ") * 15_000), (3, "x " * 500_000 + line + " z"), (4, "y" * 5_000_000)]
+    items = [(1, "a " * 60), (2, (line + " b ") * 3), (3, "q " + line), (4, "a")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.contaminated(df, bench).collect())
+    assert got[:3] == [(1, 1, 0, 0, 20), (1, 4, 0, 0, 1), (2, 2, 0, 0, 20)]
+    assert {(d, i) for d, i, *_ in got} == {(1, 1), (1, 4), (2, 2), (2, 3), (3, 2), (3, 3)} and got[-1] == (3, 3, 499_999, 0, 19)
+    assert time.perf_counter() - began < 120
+
+
+def test_ties_go_to_the_first_window():
+    words = np.array([7, 1, 2, 3, 9, 1, 2, 3], np.int64)
+    item = np.array([1, 2, 3], np.int64)
+    assert decontaminate._best(words, item, np.array([1, 5])) == (3, 1, 0)
+
+
 # 5 packing
 
 

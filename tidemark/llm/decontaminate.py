@@ -8,26 +8,35 @@ below were chosen so that any four substitutions in twenty words, or three in se
 nineteen, leave at least one mask intact somewhere in the window: no contaminated window is missed.
 Items too short for them are cut into one more block than substitutions allowed; one block is intact.
 
-The items' masked hashes are joined with those of every position of every document; each hit fixes
-an alignment, which is verified over the whole item.
-
-The benchmark is the stated query set.  It is processed in blocks of at most ``BLOCK_CHARS``
-characters, each broadcast to the tasks; a benchmark of any size takes more passes, not more
-memory.  There is no shuffle, so documents that share a passage cost nothing more.
-
-Null and empty texts, on either side, match nothing; repeated rows are judged each; null item ids
-are reported as null; an empty benchmark leaves every document clean.
+1. The items' masked hashes (seeds) are counted in Spark: distinct hashes with their places.
+2. Documents are read once.  A filter of the seeds, of at most 2**``FILTER_BITS`` bits a table however
+   large the benchmark is, passes over positions that can't match; from the others, the words around them are
+   written to the shared folder as runs, a small part of the corpus.
+3. The hashes of the runs are joined with the seeds; every match is an alignment of a run with an item.
+4. Distinct alignments are joined with the words of both and verified window by window, a bounded
+   number at once; each document and item keeps its best window.
+
+Nothing but the filter is sent to all tasks.  A seed that stands in a third of all documents is one
+row of the join's right side, whose left side adaptive execution splits; the same holds for an item.
+
+Null and empty texts, on either side, match nothing; repeated rows are judged each, very long texts
+whole; null item ids are reported as null; of equally good windows the first in the document counts,
+then the first in the item; an empty benchmark leaves every document clean, and an empty table gives an
+empty result; clashing column names do no harm: all names used here begin with two underscores.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tables import written
 from tidemark.llm.words import mix, word_hashes
 
 WINDOW = 20
@@ -35,11 +44,11 @@ SHARE = 0.8
 #: Selected positions of each mask.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 7, 8, 11), (0, 2, 3, 6, 9, 13))
 LEAST = 17  # words of an item from which the masks find all substitutions allowed
-BLOCK_CHARS = 4_000_000
+TABLES, FILTER_BITS = 4, 26  # bitmaps of the filter, and bits of a hash that choose a bit of one, at most
+PAIRS = 200_000  # words compared at once while alignments are verified
 _FLAT = bytes(range(256)).lower()
 _DROP = string.punctuation.encode()
 _MULTIPLIERS = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
-HITS = "array<struct<item_id:long,doc_word:int,item_word:int,agree:int>>"
 
 
 def allowed(words: int) -> int:
@@ -70,134 +79,216 @@ def _block_mask(words: int) -> tuple[int, ...]:
     return tuple(range(max(1, words // (allowed(words) + 1))))
 
 
-class Items:
-    """Word hashes of a block of items and a sorted table of their seeds."""
-
-    def __init__(self, rows: list[tuple[int | None, str | None]]):
-        kept = [(i, w) for i, w in ((i, tokens(t)) for i, t in rows) if w]
-        self.ids = [i for i, _ in kept]
-        self.size = np.array([len(w) for _, w in kept], np.int64)
-        self.first = np.cumsum(self.size) - self.size
-        self.words = word_hashes([x for _, w in kept for x in w])
-        self.window = np.minimum(self.size, WINDOW)
-        self.need = self.window - np.array([allowed(int(w)) for w in self.window], np.int64)
-        self.masks: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        seeds: dict[tuple[int, ...], list] = {}
-        for k, (a, n) in enumerate(zip(self.first, self.size, strict=True)):
-            h = self.words[a : a + n]
-            block = _block_mask(int(n))
-            for mask in MASKS if n >= LEAST else (block,):
-                got = masked(h, mask)
-                at = np.arange(len(got))
-                if mask == block and n < LEAST:  # the blocks alone
-                    at = at[:: len(block)]
-                    got = got[at]
-                seeds.setdefault(mask, []).append((got, np.full(len(got), k), at))
-        for mask, parts in seeds.items():
-            h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            bits = max(10, int(len(h) * 16).bit_length())
-            seen = np.zeros(1 << bits, bool)
-            seen[h >> np.uint64(64 - bits)] = True
-            self.masks[mask] = (h[order], item[order], at[order], seen)
-
-
-def find(items: Items, texts: list[str | None]) -> list[list[dict]]:
-    """For each text, the items that contaminate it with their best-agreeing alignment."""
-    out: list[list[dict]] = [[] for _ in texts]
-    words: list[bytes] = []
-    first = [0]
-    for t in texts:
-        words += tokens(t)
-        first.append(len(words))
-    h = word_hashes(words)
-    edge = np.array(first, np.int64)
-    pairs = []
-    for mask, (seeds, item, at, seen) in items.masks.items():
-        got = masked(h, mask)
-        if not len(got):
-            continue
-        near = np.flatnonzero(seen[got >> np.uint64(64 - (len(seen).bit_length() - 1))])
-        lo = np.searchsorted(seeds, got[near], "left")
-        n = np.searchsorted(seeds, got[near], "right") - lo
-        near, lo, n = near[n > 0], lo[n > 0], n[n > 0]
-        if not len(near):
-            continue
-        doc = np.searchsorted(edge, near, "right") - 1
-        whole = near + mask[-1] < edge[doc + 1]
-        near, lo, n, doc = near[whole], lo[whole], n[whole], doc[whole]
-        row = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pairs.append(np.stack([np.repeat(doc, n), item[row], np.repeat(near, n) - at[row]], axis=1))
-    if not pairs:
-        return out
-    cand = np.unique(np.concatenate(pairs), axis=0)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    size = items.size[cand[:, 1]]
-    block = np.cumsum(size) // 2_000_000
-    for b in np.unique(block):
-        part = cand[block == b]
-        _verify(items, h, edge, part, best)
-    for (doc, k), (agree, start, at) in sorted(best.items()):
-        out[doc].append({"item_id": items.ids[k], "doc_word": start, "item_word": at, "agree": agree})
-    return out
-
-
-def _verify(items: Items, h: np.ndarray, edge: np.ndarray, cand: np.ndarray, best: dict) -> None:
-    doc, item, shift = cand.T
-    size = items.size[item]
-    ends = np.cumsum(size)
-    own = np.repeat(np.arange(len(cand)), size)
-    k = np.arange(ends[-1]) - np.repeat(ends - size, size)
-    at = shift[own] + k
-    inside = (at >= edge[doc][own]) & (at < edge[doc + 1][own])
-    equal = inside & (h[np.clip(at, 0, len(h) - 1)] == items.words[items.first[item][own] + k])
-    sums = np.concatenate([[0], np.cumsum(equal)])
-    window = items.window[item][own]
-    fits = k + window <= size[own]
-    score = np.where(fits, sums[np.minimum(np.arange(len(k)) + window, len(k))] - sums[:-1], -1)
-    for c in np.flatnonzero(np.maximum.reduceat(score, ends - size) >= items.need[item]):
-        a = ends[c] - size[c]
-        top = int(np.argmax(score[a : ends[c]]))
-        key, value = (int(doc[c]), int(item[c])), (int(score[a + top]), int(max(0, shift[c] + top - edge[doc[c]])), top)
-        if key not in best or value[0] > best[key][0]:
-            best[key] = value
-
-
-def matcher(spark, rows: list[tuple[int | None, str | None]]) -> Column:
-    """The hits of a block of items as a function of the column ``text``."""
-    sent = spark.sparkContext.broadcast(Items(rows))
-
-    @F.pandas_udf(HITS)
-    def hits(texts: pd.Series) -> pd.Series:
-        out: list = []
-        for k in range(0, len(texts), 256):
-            out += find(sent.value, [t if isinstance(t, str) else None for t in texts.iloc[k : k + 256]])
-        return pd.Series(out)
-
-    return hits(F.col("text"))
-
-
-def matched(docs: DataFrame, benchmark: DataFrame, column: str = "hits") -> DataFrame:
-    """``docs`` with an array of hits: item, first word of the best window on both sides, and how
-    many words agree there."""
-    spark = docs.sparkSession
-    items = benchmark.selectExpr("cast(item_id as bigint) item_id", "cast(text as string) text").where("text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS))
-    hits = F.array().cast(HITS)
-    for b in range(blocks):
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        found = matcher(spark, [tuple(r) for r in mine.collect()])
-        hits = found if blocks == 1 else F.concat(hits, found)
-    return docs.withColumn(column, hits)
+def _masks_of(words: int) -> list[tuple[tuple[int, ...], int]]:
+    """The masks that an item of so many words is looked up by, and the step between their places."""
+    if words >= LEAST:
+        return [(m, 1) for m in MASKS]
+    block = _block_mask(words)
+    return [(block, len(block))]
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, words): a number and the word hashes of each item, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                words = [word_hashes(tokens(t)).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + part.num_rows)), part.column(0), pa.array(words, pa.list_(pa.int64()))], names=["item", "item_id", "words"]
+                )
+                row += part.num_rows
+
+    some = benchmark.selectExpr("cast(item_id as bigint) item_id", "cast(text as string) text").where("text is not null")
+    return written(some.mapInArrow(run, "item long, item_id long, words array<long>").where(F.size("words") > 0))
+
+
+def _seeds(items: DataFrame) -> DataFrame:
+    """(seed, item, place) of every place where a mask of an item fits, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = words.values.to_numpy().view(np.uint64)
+                for mask, step in _masks_of(len(h)):
+                    got = masked(h, mask)[::step]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(got.view(np.int64)), pa.array(np.full(len(got), item)), pa.array(np.arange(len(got), dtype=np.int32) * step)], names=["seed", "item", "place"]
+                    )
+
+    return written(items.select("item", "words").mapInArrow(run, "seed long, item long, place int"))
+
+
+class Filter:
+    """``TABLES`` bitmaps of the seeds, each indexed by other bits of the hash, about sixteen times as
+    many bits as seeds up to 2**``FILTER_BITS``.  They are put together in Spark and come to the driver
+    as a long for each 64 bits.  ``masks``: those that some item has."""
+
+    def __init__(self, items: DataFrame, seeds: DataFrame):
+        few = items.select(F.least(F.size("words"), F.lit(LEAST)).alias("n")).distinct().collect()
+        self.masks = sorted({m for r in few for m, _ in _masks_of(r["n"])})
+        self.bits = min(FILTER_BITS, max(10, int(seeds.count() * 16).bit_length()))
+        rows = seeds.select(F.posexplode(F.array(*[F.shiftleft("seed", 16 * t) for t in range(TABLES)])).alias("t", "h"))
+        rows = rows.select("t", F.shiftrightunsigned("h", 64 - self.bits).alias("place"))
+        rows = rows.groupBy("t", F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("set"))
+        table = np.zeros((TABLES, 1 << (self.bits - 6)), np.int64)
+        got = rows.toArrow()
+        table[got.column("t").to_numpy(), got.column("word").to_numpy()] = got.column("set").to_numpy()
+        self.table = table.view(np.uint8)
+
+    def through(self, h: np.ndarray) -> np.ndarray:
+        """Where the hashes may be seeds."""
+        at = np.arange(len(h))
+        for t in range(TABLES):
+            place = (h[at] << np.uint64(16 * t)) >> np.uint64(64 - self.bits)
+            on = (self.table[t][place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+            at = at[on.astype(bool)]
+        return at
+
+
+RUNS = "run long, __a long, __b long, at long, words array<long>"
+
+
+def _runs(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """Stretches of the documents around places that the filter lets through, written: their key, the
+    number of their first word and their word hashes."""
+    reach = 2 * WINDOW
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = sent.value
+        number = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                words: list[bytes] = []
+                first = [0]
+                for t in part.column(2).to_pylist():
+                    words += tokens(t)
+                    first.append(len(words))
+                h, edge = word_hashes(words), np.array(first)
+                hit = np.zeros(len(h) + 1, np.int32)
+                for mask in seen.masks:
+                    hit[seen.through(masked(h, mask))] = 1
+                at = np.flatnonzero(hit)
+                if not len(at):
+                    continue
+                own = np.searchsorted(edge, at, "right") - 1
+                lo, hi = np.maximum(at - reach, edge[own]), np.minimum(at + reach, edge[own + 1])
+                new = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (lo > np.concatenate([[-1], hi[:-1]])))
+                begin, end = lo[new], hi[np.append(new[1:], len(at)) - 1]
+                doc = own[new]
+                n = end - begin
+                flat = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(number, number + len(new))),
+                        part.column(0).take(pa.array(doc)),
+                        part.column(1).take(pa.array(doc)),
+                        pa.array(begin - edge[doc]),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h[flat].view(np.int64))),
+                    ],
+                    names=["run", "__a", "__b", "at", "words"],
+                )
+                number += len(new)
+
+    return written(docs.select("__a", "__b", "text").mapInArrow(run, RUNS))
+
+
+def _found(runs: DataFrame, sent: Broadcast) -> DataFrame:
+    """(run, seed, place) of the runs' hashes that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = sent.value
+        for batch in batches:
+            for number, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = words.values.to_numpy().view(np.uint64)
+                for mask in seen.masks:
+                    got = masked(h, mask)
+                    at = seen.through(got)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number)), pa.array(got[at].view(np.int64)), pa.array(at.astype(np.int32))], names=["run", "seed", "place"])
+
+    return runs.select("run", "words").mapInArrow(run, "run long, seed long, place int")
+
+
+HITS = "__a long, __b long, item_id long, doc_word long, item_word long, agree int"
+
+
+def _best(words: np.ndarray, item: np.ndarray, shifts: np.ndarray) -> tuple[int, int, int] | None:
+    """(words that agree, where in the run, where in the item) of the best window of some alignments,
+    each given by the place in the run that the item's first word would have."""
+    window = min(len(item), WINDOW)
+    need = window - allowed(window)
+    best: tuple[int, int, int] | None = None
+    step = max(1, PAIRS // len(item))
+    for k in range(0, len(shifts), step):
+        at = shifts[k : k + step, None] + np.arange(len(item))
+        inside = (at >= 0) & (at < len(words))
+        equal = inside & (words[np.clip(at, 0, len(words) - 1)] == item)
+        sums = np.concatenate([np.zeros((len(at), 1), np.int32), np.cumsum(equal, axis=1, dtype=np.int32)], axis=1)
+        score = sums[:, window:] - sums[:, :-window]
+        top = int(score.max())
+        if top < need or (best and top <= best[0]):
+            continue  # alignments come in the order of the run, so an equally good one is later
+        rows, cols = np.nonzero(score == top)
+        first = np.lexsort((cols, at[rows, cols]))[0]
+        best = (top, int(at[rows[first], cols[first]]), int(cols[first]))
+        if top == window:
+            break
+    return best
+
+
+def _with_item(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        cols = [batch.column(c) for c in ("item", "__a", "__b", "item_id", "at")]
+        rows = zip(*(c.to_pylist() for c in cols), *(batch.column(c) for c in ("words", "item_words", "shifts")), strict=True)
+        for number, a, b, item_id, at, *lists in rows:
+            words, item, shifts = (x.values.to_numpy() for x in lists)
+            got = _best(words, item, np.sort(shifts))
+            if got:
+                out.append((number, a, b, item_id, max(0, at + got[1]), got[2], got[0]))
+        if out:
+            kinds = [pa.int64()] * 6 + [pa.int32()]
+            names = ["item", "__a", "__b", "item_id", "doc_word", "item_word", "agree"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+def _key() -> list:
+    """A 128-bit key of a document's id and text: rows that are alike share their fate."""
+    i, t = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return [F.xxhash64(i, i.isNull(), t).alias("__a"), F.xxhash64(t, F.lit("seed"), i, i.isNull()).alias("__b")]
+
+
+def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(__a, __b, item, item_id, doc_word, item_word, agree), written: the best window of each distinct
+    document, by its key, and item."""
+    items = _items(benchmark)
+    seeds = _seeds(items)
+    sent = docs.sparkSession.sparkContext.broadcast(Filter(items, seeds))
+    keyed = docs.select(*_key(), F.col("text").cast("string").alias("text")).where("text is not null")
+    runs = _runs(keyed, sent)
+    met = _found(runs, sent).join(seeds.withColumnRenamed("place", "there"), "seed")
+    shift = (F.col("place") - F.col("there")).alias("shift")
+    aligned = met.select("run", "item", shift).distinct().groupBy("run", "item").agg(F.collect_list("shift").alias("shifts"))
+    both = aligned.join(runs, "run").join(items.withColumnRenamed("words", "item_words"), "item")
+    got = both.select("item", "__a", "__b", "item_id", "at", "words", "item_words", "shifts").mapInArrow(_with_item, f"item long, {HITS}")
+    place = F.struct((-F.col("agree")).alias("a"), "doc_word", "item_word")
+    best = got.groupBy("__a", "__b", "item", "item_id").agg(F.min(place).alias("x"))
+    return written(best.select("__a", "__b", "item", "item_id", "x.doc_word", "x.item_word", (-F.col("x.a")).alias("agree")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, agree) of every contaminated document and item."""
-    found = matched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)
-    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = hits(base, benchmark)
+    some = base.select("doc_id", *_key())
+    return some.join(found, ["__a", "__b"]).select("doc_id", "item_id", "doc_word", "item_word", "agree")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that no item contaminates."""
-    return matched(docs, benchmark, "__hits").where(F.size("__hits") == 0).drop("__hits")
+    found = hits(docs.select("doc_id", "text"), benchmark).select("__a", "__b").distinct()
+    return docs.withColumns(dict(zip(("__a", "__b"), _key(), strict=True))).join(found, ["__a", "__b"], "left_anti").drop("__a", "__b")
