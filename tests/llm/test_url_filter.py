@@ -15,6 +15,9 @@ def test_as_of(spark):
         (10, "not a url", 50, True, None), (11, "http://x.org/", 50, True, None), (12, "http://tie.org/", 50, True, "tie.org"), (None, "http://a.example.com/", 15, False, "example.com"),
         (13, "http://a.example.com/", None, True, None), (14, "http://user:pw@www.example.com/bad/", 6, False, "www.example.com/bad"),
     ]
+    deep, labels = "www.example.com/a/b/c/d", ".".join("x" * 130) + ".net"
+    entries += [(deep, "block", 1), (labels, "allow", 1), (labels + "/p", "block", 1)]
+    captures += [(15, f"http://{deep}/e?f", 30, False, deep), (16, "http://www.example.com/a/b/c", 30, True, "www.example.com"), (17, f"http://{labels}/p/q", 30, False, labels + "/p")]
     captures += [captures[1], captures[1]]  # repeated rows
     e = spark.createDataFrame(entries, "pattern string, action string, listed int").selectExpr("*", "'x' as since", "'y' as rank")
     c = spark.createDataFrame([r[:3] for r in captures], "page_id long, url string, fetched int").selectExpr("*", "'x' as pattern", "'z' as period")

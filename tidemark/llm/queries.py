@@ -38,8 +38,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetched on a day that its id gives; at each month's end every domain, host and first path
     segment is listed, to be blocked if most of its captures of the month came over plain http."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("cast(pmod(page_id * 37, 360) as int)").alias("fetched"))
-    seen = pages.select("fetched", F.startswith("url", F.lit("http:")).cast("int").alias("plain"), F.explode(url_filter.patterns(F.col("url"))).alias("p"))
-    months = seen.where("p.rank < 200").groupBy("p.pattern", F.expr("fetched div 30").alias("month"))
+    seen = pages.select("fetched", F.startswith("url", F.lit("http:")).cast("int").alias("plain"), F.explode(url_filter.patterns(F.col("url"), 1)).alias("p"))
+    months = seen.groupBy("p.pattern", F.expr("fetched div 30").alias("month"))
     entries = months.agg(F.expr("if(2 * sum(plain) > count(*), 'block', 'allow')").alias("action"))
     listed = entries.select("pattern", "action", F.expr("cast(30 * (month + 1) as int)").alias("listed"))
     return url_filter.judge(pages, listed)
