@@ -108,31 +108,51 @@ def test_language_model(docs, edge, empty):
     assert language_model.score(empty).count() == 0
 
 
-def test_language_model_is_normalised():
+def vocabulary(rng, n=9000):
+    """A vocabulary of n tokens with Zipf counts, and its (key, count, ending)."""
+    keys = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+    count = (50_000 / np.arange(1, len(keys) + 1)).astype(np.int64)
+    ending = rng.integers(0, language_model.ENDINGS, len(keys)).astype(np.uint8)
+    sums = [{"e": e, "c": int(count[ending == e].sum()), "v": int((ending == e).sum()), "n1": int(((ending == e) & (count == 1)).sum()), "n2": int(((ending == e) & (count == 2)).sum())} for e in range(language_model.ENDINGS)]
+    top = [{"h": int(keys[k].view(np.int64)), "c": int(count[k]), "e": int(ending[k])} for k in range(language_model.TOP)]
+    return language_model.Vocabulary(sums, top), keys, count, ending
+
+
+def test_token_probabilities_sum_to_one():
+    """Over the whole vocabulary and one unseen token, in several contexts, with random parameters."""
     rng = np.random.default_rng(1)
-    m = language_model.Model(rng.random(language_model.CLASSES) * 100, np.zeros(language_model.CLASSES))
-    p = 10.0 ** m.log10_table().reshape(-1, language_model.CLASSES).astype(np.float64)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+    v, keys, count, ending = vocabulary(rng)
+    m = language_model.Model(v.share, v.cls)
+    m.load(m.flat() + rng.normal(0, 0.3, len(m.flat())))
+    unit, inside = v.units(np.append(keys, np.uint64(5)), np.append(count, 0), np.append(ending, np.uint8(3)))
+    unit = np.minimum(unit, language_model.UNSEEN)
+    for two, one in ((language_model.START, language_model.START), (3, 17), (4100, 4000)):
+        p = 10.0 ** (m.log10(np.full(len(unit), two), np.full(len(unit), one), unit).astype(np.float64) + inside)
+        # units without a token hold a little; they are none of the vocabulary's
+        assert np.isclose(p.sum(), 1, atol=1e-3), p.sum()
 
 
 def test_noise_contrastive_gradient():
     rng = np.random.default_rng(2)
-    m = language_model.Model(rng.random(language_model.CLASSES) * 100 + 1, np.zeros(language_model.CLASSES))
-    two, one = np.array([0, 5, 7]), np.array([1, 1, 9])
-    data = rng.integers(0, 5, (3, language_model.CLASSES)).astype(float)
-
-    def objective():
-        delta = m.hidden(two, one) @ m.p["q"].T + m.p["b"] - np.log(language_model.NOISE * m.noise)
-        n = data.sum(axis=1, keepdims=True)
-        return (data * -np.logaddexp(0, -delta) + language_model.NOISE * n * m.noise * -np.logaddexp(0, delta)).sum() / n.sum()
-
-    g = m.gradient(two, one, data)
-    for name, at in (("b", (3,)), ("q", (4, 2)), ("c1", (1, 2)), ("c2", (3, 3)), ("r", (1, 5)), ("r", (5, 0))):
-        m.p[name][at] += 1e-5
-        up = objective()
-        m.p[name][at] -= 2e-5
-        assert g[name][at] == pytest.approx((up - objective()) / 2e-5, rel=1e-3, abs=1e-7)
-        m.p[name][at] += 1e-5
+    v, *_ = vocabulary(rng)
+    m = language_model.Model(v.share, v.cls)
+    m.p = {k: x.astype(np.float64) for k, x in m.p.items()}
+    two, one, w = (rng.integers(0, language_model.UNITS, 40) for _ in range(3))
+    noise = m.drawn(w, rng)
+    g, _ = m.gradient(two, one, w, noise)
+    checked = 0
+    for name in m.SHAPES:
+        for at in [np.unravel_index(np.abs(g[name]).argmax(), g[name].shape), *(np.array(np.nonzero(g[name])).T[:2])]:
+            at = tuple(at)
+            m.p[name][at] += 1e-4
+            up = m.gradient(two, one, w, noise)[1]
+            m.p[name][at] -= 2e-4
+            assert g[name][at] == pytest.approx((up - m.gradient(two, one, w, noise)[1]) / 2e-4, rel=1e-2, abs=1e-6), name
+            m.p[name][at] += 1e-4
+            checked += 1
+    assert checked == 21
+    shares = np.bincount(np.concatenate([m.drawn(w, rng)[0] for _ in range(2000)]), minlength=language_model.CLASSES) / (2000 * language_model.NOISE)
+    assert np.abs(shares - m.class_share).max() < 0.01
 
 
 # 4 decontamination
