@@ -10,14 +10,18 @@ spans, given as code-point offsets.
 
 Fitting uses a bounded sample of labelled rows (``SAMPLE`` documents, the same number of toxic and
 clean ones if there are as many, of at most ``SAMPLE_CHARS`` characters each, in the order of a hash
-of their ids); the held-out fold is never used.  Scoring reads every whole text and nothing but the
+of their ids); the lexicon and the calibration take all of it, the field the ``FIELD_DOCS`` first by
+a hash of their texts, of those with at most ``FIELD_WORDS`` words.  All four are parameters of ``fit``.
+The held-out fold is never used.  Scoring reads every whole text and nothing but the
 text, in one pass without a shuffle.  Most tokens carry no lexicon feature; a run of such tokens
 multiplies the forward message by a power of one fixed matrix, which is computed in closed form, so
 marginals are exact and cost only as much as a document has evidence.
 
-Null and empty texts have no evidence: they get the score of a clean document.  Repeated rows are
-scored alike.  Labels that are null, or without a document, are ignored; without any toxic label
-the model has no lexicon and every score is 0.
+Null and empty texts have no evidence: they get the score of a clean document; very long texts are
+scored whole.  Repeated rows are scored alike; of labels of one id that differ the larger counts, and
+features that tie for a place in the lexicon take it in the order of their letters.  Labels that are
+null, or without a document, are ignored; without any toxic label the model has no lexicon and every
+score is near 0.  The empty table gives an empty result.  Clashing column names do no harm.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
-CRF_DOCS, CRF_WORDS = 1000, 1200  # of the sample, documents and longest sequence for the field
+FIELD_DOCS, FIELD_WORDS = 1000, 1200  # of the sample, documents and longest sequence for the field
 PREFIXES = (3, 4, 5, 6, 7)
 FEATURES = 3000
 _FLAT, _DROP = bytes(range(256)).lower(), string.punctuation.encode()
@@ -182,10 +186,10 @@ def _lexicon(docs: list[tuple[list[bytes], int]]) -> dict[str, float]:
     return {f: out[f] for f in sorted(out, key=lambda f: (-out[f], f))[:FEATURES]}
 
 
-def _train_field(field: Field, docs: list[tuple[list[bytes], int]], lexicon: dict[str, float], steps: int = 40) -> None:
+def _train_field(field: Field, docs: list[tuple[list[bytes], int]], lexicon: dict[str, float], most_words: int = FIELD_WORDS, steps: int = 40) -> None:
     """Gradient ascent on the penalised likelihood of the labelled token sequences."""
     index = {f: k for k, f in enumerate(lexicon)}
-    docs = sorted((d for d in docs if 0 < len(d[0]) <= CRF_WORDS), key=lambda d: -len(d[0]))
+    docs = sorted((d for d in docs if 0 < len(d[0]) <= most_words), key=lambda d: -len(d[0]))
     if not docs or not index:
         return
     n, most = len(docs), len(docs[0][0])
@@ -252,11 +256,12 @@ def fold_of(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")), F.lit(0)) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Train on a bounded sample of labelled documents outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, field_docs: int = FIELD_DOCS, field_words: int = FIELD_WORDS) -> Field:
+    """Train on a bounded sample of labelled documents outside the held-out fold: ``sample`` documents of
+    up to ``sample_chars`` characters, and for the field ``field_docs`` of up to ``field_words`` words."""
     marks = labels.selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) toxic").where("doc_id is not null and toxic in (0, 1)")
     marks = marks.where(fold_of() != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    both = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where(F.length("text").between(1, SAMPLE_CHARS)).join(marks, "doc_id")
+    both = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where(F.length("text").between(1, sample_chars)).join(marks, "doc_id")
     count = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = []
     for toxic in (0, 1):
@@ -270,8 +275,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     share: dict[bytes, bytes] = {}  # equal words are one object
     parsed = [([share.setdefault(w, w) for w in tokens(r["text"])], r["toxic"]) for r in rows]
     lexicon = _lexicon(parsed)
-    del parsed[CRF_DOCS:], share
-    _train_field(field, parsed, lexicon)
+    del parsed[field_docs:], share
+    _train_field(field, parsed, lexicon, field_words)
     del parsed
     field.name = f"{zlib.crc32(repr(field.weight).encode()):08x}"
     toxic = np.array([r["toxic"] for r in rows])
