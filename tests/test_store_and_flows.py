@@ -216,7 +216,7 @@ def test_flow_stops_and_resumes(spark, tmp_path):
     done = store.read_ledger(spark, root, "subscriber").first()
     assert done.sync_bitwise == COMPLETE and done.sync_stop_time is not None
     assert rows(store.read_target(spark, root, spec)) == [(0, "v0"), (1, "b"), (2, "c")]
-    assert {r.step for r in spark.read.parquet(f"{root}/steps").collect()} == {"ApplySchemaChanges", "DownloadChanges", "ApplyChanges", "SyncHistoryTables"}
+    assert {r.step for r in P.read_steps(spark, root, "subscriber").collect()} == {"ApplySchemaChanges", "DownloadChanges", "ApplyChanges", "SyncHistoryTables"}
     lost = TableSpec("lost", ("k",), stop_on_error=False)
     _, failed = P.publish(spark, {"T": (log, base), "lost": (log, base.drop("k"))}, [spec, lost], relay, 2, 10, 20)
     assert [name for name, _ in failed] == ["lost"] and spark.read.parquet(f"{relay}/errors").count() == 1

@@ -29,8 +29,8 @@ from tidemark.sources import store
 from tidemark.spec import OP, TableSpec
 
 Failure = tuple[str, str]
-LEDGER = "feed string, ctid long, sync_start_version long, sync_stop_version long, sync_start_time timestamp, sync_stop_time timestamp, sync_bitwise int, mode string"
-STEP = "feed string, ctid long, step string, began timestamp, ended timestamp, rows long"
+STEPS = "steps array<struct<step: string, began: timestamp, ended: timestamp, rows: bigint>>"
+LEDGER = f"feed string, ctid long, sync_start_version long, sync_stop_version long, sync_start_time timestamp, sync_stop_time timestamp, sync_bitwise int, mode string, {STEPS}"
 COUNTS = "table_name string, inserted long, deleted long"
 
 
@@ -48,38 +48,42 @@ def each(specs: list[TableSpec], work: Callable[[TableSpec], None]) -> list[Fail
 
 
 class Progress:
-    """The ledger row of a batch while it is worked on."""
-
-    def __init__(self, spark: SparkSession, root: str, name: str, feed: str, ctid: int, start: int | None = None, stop: int | None = None, mode: str | None = None):
-        self.spark, self.root, self.name = spark, root, name
-        rows = store.read_ledger(spark, root, name)
-        have = [] if rows is None else rows.where((F.col("feed") == feed) & (F.col("ctid") == ctid)).collect()
-        fresh = {"feed": feed, "ctid": ctid, "sync_start_version": start, "sync_stop_version": stop, "sync_start_time": dt.datetime.now(), "sync_stop_time": None, "sync_bitwise": 0, "mode": mode}
-        self.row = have[0].asDict() if have else fresh
-        if not have:
-            self._record()
-
-    def _record(self) -> None:
-        line = self.spark.createDataFrame([tuple(self.row[c.split()[0]] for c in LEDGER.split(", "))], LEDGER)
-        store.record(self.spark, self.root, self.name, line)
-
-    def has(self, bit: int) -> bool:
-        return self.row["sync_bitwise"] & bit > 0
-
-    def set(self, *bits: int, done: bool = False) -> None:
-        for b in bits:
-            self.row["sync_bitwise"] |= b
-        if done:
-            self.row["sync_stop_time"] = dt.datetime.now()
-        self._record()
+    """The ledger rows of batches that are worked on together, with the steps done so far."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str, feed: str, ctids: list[int], **fresh):
+        self.spark, self.root, self.name, self.last = spark, root, name, max(ctids)
+        row = {"feed": feed, "sync_start_version": None, "sync_stop_version": None, "sync_start_time": dt.datetime.now(), "sync_stop_time": None, "sync_bitwise": 0, "mode": None, "steps": []} | fresh
+        self.rows = {c: row | {"ctid": c, "steps": []} for c in sorted(ctids)}
+        path = f"{root}/ledgers/{name}"
+        if store.exists(spark, path):
+            have = spark.read.schema(f"{LEDGER}, seq int").parquet(path).where((F.col("feed") == feed) & F.col("ctid").isin(list(self.rows)))
+            for r in sorted(have.collect(), key=lambda r: r["seq"]):
+                self.rows[r["ctid"]] = {k: v for k, v in r.asDict(recursive=True).items() if k != "seq"}
+
+    def has(self, bit: int, ctid: int | None = None) -> bool:
+        return self.rows[self.last if ctid is None else ctid]["sync_bitwise"] & bit > 0
+
+    def set(self, *bits: int, ctids: list[int] | None = None, done: bool = False, record: bool = True) -> None:
+        """Bits set for some batches (all if None); a step that did nothing needn't be recorded at once."""
+        for c in self.rows if ctids is None else ctids:
+            for b in bits:
+                self.rows[c]["sync_bitwise"] |= b
+            if done:
+                self.rows[c]["sync_stop_time"] = dt.datetime.now()
+        if record:
+            store.record(self.spark, self.root, self.name, self.spark.createDataFrame(list(self.rows.values()), LEDGER))
 
     @contextmanager
     def step(self, name: str):
         """Times a step; the caller puts its rows into the list it gets."""
         began, rows = dt.datetime.now(), [0]
         yield rows
-        line = self.spark.createDataFrame([(self.row["feed"], self.row["ctid"], name, began, dt.datetime.now(), rows[0])], STEP)
-        line.coalesce(1).write.mode("append").parquet(f"{self.root}/steps")
+        self.rows[self.last]["steps"].append({"step": name, "began": began, "ended": dt.datetime.now(), "rows": rows[0]})
+
+
+def read_steps(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(feed, ctid, step, began, ended, rows) of all batches of a ledger."""
+    return store.read_ledger(spark, root, name).select("feed", "ctid", F.explode("steps").alias("x")).select("feed", "ctid", "x.*")
 
 
 def log_failures(spark: SparkSession, root: str, agent: str, failed: list[Failure]) -> None:
@@ -97,7 +101,7 @@ def publish(
 
     With DDL ``events`` (id, ts, xml) and the catalog's ``columns``, schema changes since the start of
     the last uploaded batch are published too."""
-    p = Progress(spark, root, "publisher", feed, ctid, start, stop)
+    p = Progress(spark, root, "publisher", feed, [ctid], sync_start_version=start, sync_stop_version=stop)
     failed: list[Failure] = []
     if not p.has(CAPTURE):
         with p.step("CaptureChanges"):
@@ -110,7 +114,7 @@ def publish(
                 ledger = store.read_ledger(spark, root, "publisher").where(F.col("feed") == feed)
                 since = last_start_time(ledger, F.lit(ctid), UPLOAD, F.lit("1970-01-01").cast("timestamp")).first()["last_start_time"]
                 S.publish_schema_changes(events, columns, specs, since).write.mode("overwrite").parquet(f"{root}/schema_changes/ctid={ctid}")
-        p.set(PUBLISH_SCHEMA)
+        p.set(PUBLISH_SCHEMA, record=events is not None)
     with p.step("PublishManifest") as n:
         parts = []
         for s in specs:
@@ -158,17 +162,17 @@ def apply_batch(
     of the last step to do now: outside its full-run hours a subscriber goes up to ``APPLY_SCHEMA``.
     ``refresh`` gets the names of the ``views`` over tables whose schema changed."""
     last, mode = max(ctids), "merged" if len(ctids) > 1 else "single"
-    marks = {c: Progress(spark, root, "subscriber", feed, c, mode=mode) for c in sorted(ctids)}
-    p = marks[last]
-    for c, mark in marks.items():
-        if not mark.has(APPLY_SCHEMA):
-            with mark.step("ApplySchemaChanges"):
+    p = Progress(spark, root, "subscriber", feed, ctids, mode=mode)
+    for c in sorted(ctids):
+        if not p.has(APPLY_SCHEMA, c):
+            changed = None
+            with p.step("ApplySchemaChanges"):
                 changed = apply_schema_changes(spark, specs, relay, root, c)
                 if changed is not None and views is not None and refresh is not None:
                     names = [r["view_name"] for r in S.views_to_refresh(changed, views).collect()]
                     if names:
                         refresh(names)
-            mark.set(APPLY_SCHEMA)
+            p.set(APPLY_SCHEMA, ctids=[c], record=changed is not None or (until == APPLY_SCHEMA and c == last))
     by_name = {s.name.lower(): s for s in specs}
     counts: list[tuple] = []
     failed: list[Failure] = []
@@ -181,7 +185,7 @@ def apply_batch(
     if until >= DOWNLOAD and not p.has(DOWNLOAD):
         with p.step("DownloadChanges"):
             failed += each(specs, fetch)
-        p.set(CONSOLIDATE, DOWNLOAD)
+        p.set(CONSOLIDATE, DOWNLOAD, ctids=[last])
     if until >= APPLY and not p.has(APPLY):
         with p.step("ApplyChanges") as n:
             sets = {k: df for k, s in by_name.items() if (df := store.read_change_set(spark, root, s.name, last)) is not None}
@@ -196,15 +200,14 @@ def apply_batch(
             failed += each([by_name[k] for k in groups], unit)
             n[0] = sum(c[1] for c in counts)
         spark.createDataFrame(counts, COUNTS).write.mode("overwrite").parquet(f"{root}/applied/ctid={last}")
-        p.set(APPLY)
+        p.set(APPLY, ctids=[last])
     if until >= HISTORY and not p.has(HISTORY):
         with p.step("SyncHistoryTables"):
             for s in specs:
                 df = store.read_change_set(spark, root, s.name, last) if s.history else None
                 if df is not None:
                     store.append_history(df, last, root, s.name)
-        for mark in marks.values():
-            mark.set(COMPLETE, done=True)
+        p.set(COMPLETE, done=True)
     log_failures(spark, root, "subscriber", failed)
     path = f"{root}/applied/ctid={last}"
     return spark.read.schema(COUNTS).parquet(path) if store.exists(spark, path) else spark.createDataFrame([], COUNTS), failed

@@ -22,7 +22,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
 
 from tidemark.operators.apply import key_columns, merged
 from tidemark.operators.changes import project_columns, shorten
@@ -40,13 +39,8 @@ def replace_partitions(df: DataFrame, path: str, *parts: str) -> None:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
-    return True
+    """Whether a table has been written there; what a failed attempt left doesn't count."""
+    return any(not n.startswith((".", "_")) for n in children(spark, path))
 
 
 def read_snapshot(spark: SparkSession, path: str, spec: TableSpec | None = None) -> DataFrame:
@@ -227,23 +221,27 @@ def commit(spark: SparkSession, root: str, targets: dict[str, Target]) -> None:
     spark.createDataFrame(rows, POINTER).coalesce(1).write.parquet(f"{path}/seq={next_number(spark, path)}")
 
 
+def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
+    return spark.read.schema(f"{POINTER}, seq int").parquet(f"{root}/pointers") if exists(spark, f"{root}/pointers") else None
+
+
 def _in_force(spark: SparkSession, root: str) -> DataFrame | None:
-    path = f"{root}/pointers"
-    if not exists(spark, path):
+    rows = _pointers(spark, root)
+    if rows is None:
         return None
-    rows = spark.read.parquet(path)
     last = rows.groupBy("table_name").agg(F.max("seq").alias("seq"))
     return rows.join(last, ["table_name", "seq"], "left_semi")
 
 
 def target(spark: SparkSession, root: str, table: str) -> Target | None:
     """The target in force, if any; a row a bucket is read."""
-    rows = _in_force(spark, root)
-    own = [] if rows is None else rows.where(F.col("table_name") == table.lower()).collect()
-    head = [r for r in own if r["bucket"] is None]
-    if not head:
+    rows = _pointers(spark, root)
+    heads = [] if rows is None else rows.where((F.col("table_name") == table.lower()) & F.col("bucket").isNull()).select("seq", "schema", "buckets").collect()
+    if not heads:
         return None
-    return Target(StructType.fromJson(json.loads(head[0]["schema"])), head[0]["buckets"], {r["bucket"]: tuple(r["places"]) for r in own if r["bucket"] is not None})
+    head = max(heads)
+    own = spark.read.schema(POINTER).parquet(f"{root}/pointers/seq={head['seq']}").where((F.col("table_name") == table.lower()) & F.col("bucket").isNotNull())
+    return Target(StructType.fromJson(json.loads(head["schema"])), head["buckets"], {r["bucket"]: tuple(r["places"]) for r in own.select("bucket", "places").collect()})
 
 
 def _rows(spark: SparkSession, root: str, table: str, t: Target, buckets: list[int] | None = None) -> DataFrame:
