@@ -634,18 +634,18 @@ def robust_distances(vectors, groups, min_group=40):
             some = x[[drawn(v, k) for v in x]]
             if len(some):
                 starts.append(moments(some, 1.0))
-        best = []
-        for fit in starts:
-            det = np.inf
-            while True:
+        def improved(det, fit, steps):
+            for _ in range(steps):
                 d = distance(x, fit)
                 new = moments(x[d <= median(d)], quality.HALF_SCALE)
                 now = np.linalg.slogdet(new[1])[1]
                 if now >= det - 1e-9:
                     break
                 fit, det = new, now
-            best.append((det, fit))
-        return min(best, key=lambda b: b[0])[1]
+            return det, fit
+
+        some = sorted((improved(np.inf, fit, quality.FIRST) for fit in starts), key=lambda b: b[0])
+        return min((improved(*b, 1000) for b in some[: quality.BEST]), key=lambda b: b[0])[1]
 
     n = len(vectors)
     whole = search(vectors)

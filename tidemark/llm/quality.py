@@ -4,8 +4,8 @@ Every document gets a vector of transformed statistics.  For each (language, sou
 minimum-covariance-determinant estimate of centre and scatter is made by concentration steps from
 several starts: medians and absolute deviations, and the moments of small subsets drawn by a hash of
 the vectors.  A step keeps the half of the group with the smallest Mahalanobis distances and
-re-estimates from that half.  Steps go on until no start of any group lowers its determinant any
-more; of each group the start with the least determinant counts.  Documents farther out than the
+re-estimates from that half.  All starts take two steps; the two of each group with the least
+determinants go on until none lowers its determinant any more, and the least counts.  Documents farther out than the
 cutoff are rejected.  Groups with fewer than ``min_group`` members, null languages and null sources use
 the estimate over all documents.  Scatter matrices get a least variance on their diagonal, so
 determinants are never zero.
@@ -22,7 +22,7 @@ half; the empty table gives an empty result; other columns, whatever their names
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import discard, written
@@ -43,6 +43,7 @@ HALF_SCALE = 0.4587
 #: Starts of the search besides medians, the vectors that each begins with on average, and the most
 #: steps (a handful is what they take; a search that is still going on then is used as it stands).
 SUBSETS, SUBSET, STEPS = 3, 12, 40
+FIRST, BEST = 2, 2  # steps that all starts take, and how many of a group go on from there
 #: Groups up to which their estimates (some twenty numbers each) are broadcast; more are shuffled.
 SMALL = 20_000
 
@@ -194,20 +195,24 @@ def _mcd(members: DataFrame, steps: int) -> DataFrame:
     """(group, estimate): of each group the estimate with the least determinant that concentration
     steps reach from any start.  ``members``: (group, vector)."""
     fit = written(_starts(members).withColumn("det", F.lit(float("inf"))))
-    for _ in range(steps):
-        far = _distance(members.join(_side(fit.drop("det")), "group")).select(*KEYS, *DIMS, "d2")
+    side = F.broadcast if fit.count() <= SMALL else lambda df: df  # as many rows in every step
+    for k in range(steps):
+        if k == FIRST:
+            place = F.row_number().over(Window.partitionBy("group").orderBy("det", "start"))
+            fit = written(fit.withColumn("place", place).where(F.col("place") <= BEST).drop("place"))
+        far = _distance(members.join(side(fit.drop("det")), "group")).select(*KEYS, *DIMS, "d2")
         half = written(far.groupBy(*KEYS).agg(F.percentile_approx("d2", 0.5, 10000).alias("half")))
-        near = far.join(_side(half), KEYS).where(F.col("d2") <= F.col("half"))
+        near = far.join(side(half), KEYS).where(F.col("d2") <= F.col("half"))
         new = _moments(near, HALF_SCALE).select(*KEYS, *ESTIMATE).withColumn("det", _log_det())
         old = fit.select(*KEYS, F.col("det").alias("__old"), F.struct(*ESTIMATE, "det").alias("__was"))
         # an estimate is replaced only by one with a smaller determinant
-        both = new.select(*KEYS, F.struct(*ESTIMATE, "det").alias("__now")).join(_side(old), KEYS, "right")
-        less = F.col("__now.det") < F.col("__old") - 1e-9
-        step = both.select(*KEYS, F.when(less, F.col("__now")).otherwise(F.col("__was")).alias("x"), F.coalesce(less, F.lit(False)).alias("less"))
+        both = new.select(*KEYS, F.struct(*ESTIMATE, "det").alias("__now")).join(old, KEYS, "right")
+        less = F.coalesce(F.col("__now.det") < F.col("__old") - 1e-9, F.lit(False))
+        step = both.select(*KEYS, F.when(less, F.col("__now")).otherwise(F.col("__was")).alias("x"), less.alias("less"))
         after = written(step.select(*KEYS, "x.*", "less"))
         discard(fit, half)
         fit = after.drop("less")
-        if not after.where("less").limit(1).count():
+        if after.where("less").isEmpty():
             break
     best = fit.groupBy("group").agg(F.min(F.struct("det", "start", *ESTIMATE)).alias("x"))
     return written(best.select("group", *[F.col(f"x.{c}").alias(c) for c in ESTIMATE]))
