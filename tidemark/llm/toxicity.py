@@ -173,16 +173,17 @@ def _lexicon(docs: list[tuple[list[bytes], int]]) -> dict[str, float]:
         for w, n in Counter(words).items():
             for f in parts[w]:
                 rate[toxic][f] += min(n, 5)
+    ratio = {f: np.log((n + 0.1) / total[1]) - np.log((rate[0][f] + 0.5) / total[0]) for f, n in rate[1].items()}
+    ratio = {f: r for f, r in ratio.items() if r > np.log(6)}
+    for words, toxic in docs:  # neighbours of the few features that are left, not of all
         if toxic:
+            parts = {w: [f for f in features(w) if f in ratio] for w in set(words)}
             for a, w, b in zip([b"", *words], words, [*words[1:], b""], strict=False):
-                place = zlib.crc32(a + b" " + b)
-                for f in parts[w]:
-                    around[f].add(place)
-    out = {}
-    for f, places in around.items():
-        ratio = np.log((rate[1][f] + 0.1) / total[1]) - np.log((rate[0][f] + 0.5) / total[0])
-        if len(places) >= max(8, 0.03 * n_toxic) and ratio > np.log(6):
-            out[f] = ratio * np.sqrt(len(places))
+                if parts[w]:
+                    place = zlib.crc32(a + b" " + b)
+                    for f in parts[w]:
+                        around[f].add(place)
+    out = {f: ratio[f] * np.sqrt(len(places)) for f, places in around.items() if len(places) >= max(8, 0.03 * n_toxic)}
     return {f: out[f] for f in sorted(out, key=lambda f: (-out[f], f))[:FEATURES]}
 
 
