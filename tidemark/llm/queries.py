@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_model, lines, packing, pii, quality, simhash, substring, toxicity, url_filter
+from tidemark.llm import conversations, decontaminate, language_model, lines, packing, periodic, pii, quality, simhash, substring, toxicity, url_filter, warc
 from tidemark.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +129,39 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    sound = F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(" ", "file", "offset", "error")).cast("string")).otherwise(F.col("record_type"))
+    return found.select("page_id", "payload_bytes", "payload_digest", sound.alias("record_type"), F.col("refers_to_page").alias("refers_to"))
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+m AS (SELECT *, CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS most FROM p),
+r AS (SELECT *, CASE WHEN page_id < most OR (page_id IS NULL AND most IS NOT NULL) THEN most END AS refers_to FROM m)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
+"""
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents are given periodic tails before runs are looked for."""
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), looped=True)
+    each = "concat(x.start, ',', x.length, ',', x.period, chr(10))"
+    # the greatest exact length / period, compared by cross products; ties: smallest start, then period
+    first = "x.length * best.period > best.length * x.period or (x.length * best.period = best.length * x.period and (x.start < best.start or (x.start = best.start and x.period < best.period)))"
+    best = F.expr(f"aggregate(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), (best, x) -> if(best is null or {first}, x, best))")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.expr(f"array_join(transform(runs, x -> {each}), '')"), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring": op1_substring,
     "op2_language_model": op2_language_model,
@@ -140,6 +173,9 @@ QUERIES: dict[str, Query] = {
     "op8_lines": op8_lines,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_warc": op11_warc,
+    "op12_periodic": op12_periodic,
+    "op13_conversations": op13_conversations,
 }
 
-ORACLES: dict[str, str] = {"op1_substring": OP1_SQL, "op3_url_filter": OP3_SQL, "op8_lines": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_substring": OP1_SQL, "op3_url_filter": OP3_SQL, "op8_lines": OP8_SQL, "op11_warc": OP11_SQL}
