@@ -38,6 +38,8 @@ CHUNK = 1 << 16
 #: Compressed bytes after which a task begins a new file.
 FILE = 256 << 20
 MAX_HEADER = 1 << 20
+#: Parts that the copies of a payload, and the revisits of a response, are dealt to.
+SALTS = 64
 VERSION = b"WARC/1.1"
 # Fixed value: the profile of a revisit to an equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -95,15 +97,16 @@ def write_warc(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z"
     """Write ``pages`` (page_id, url, html) as archives into ``folder``; (file, records, bytes) of each.
 
     The largest id of a payload is found with map-side combining.  Pages are joined with those of
-    payloads that repeat, so a payload of any frequency is split by adaptive execution, and revisits
+    payloads that repeat, in ``SALTS`` parts, so that no payload's copies meet in one task, and revisits
     leave their text behind before anything is written."""
     text_batches(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     p = p.withColumns({"sha1": F.sha1("html"), "key": F.unhex(F.concat(F.sha1("html"), F.sha2("html", 256)))})
     large = F.octet_length("html") >= revisit
-    most = p.where(large).groupBy("key").agg(F.max("page_id").alias("most"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "most")
-    p = p.join(most, "key", "left")
+    most = p.where(large).groupBy("key").agg(F.max("page_id").alias("most"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    most = most.select("key", "most", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(most, ["key", "salt"], "left")
     refers = F.when(large & F.col("most").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("most"))), F.col("most"))
     p = p.withColumn("refers_to", refers)
     p = p.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise("").alias("html"), F.octet_length("html").alias("n"), "sha1", "refers_to")
@@ -322,7 +325,9 @@ def resolved(found: DataFrame) -> DataFrame:
     response = found.where("record_type = 'response' and error is null").groupBy(F.col("record_id").alias("refers_to"))
     response = response.agg(F.max("page_id").alias("r_page"), F.max("payload_bytes").alias("r_bytes"), F.max("payload_digest").alias("r_digest"), F.max("told_digest").alias("r_told"))
     revisit = F.col("record_type") == "revisit"
-    out = found.join(response, "refers_to", "left")
+    found = found.withColumn("salt", F.pmod(F.xxhash64("file", "offset"), F.lit(SALTS)))
+    asked = found.where(revisit).select("refers_to", "salt").distinct()  # a response goes where its revisits are
+    out = found.join(response.join(asked, "refers_to"), ["refers_to", "salt"], "left").drop("salt")
     lost = F.when(revisit & F.col("r_bytes").isNull(), "refers to no record").when(revisit & (F.col("r_told") != F.col("told_digest")), "payload digest differs")
     taken = {"payload_bytes": F.coalesce("payload_bytes", "r_bytes"), "payload_digest": F.coalesce("payload_digest", "r_digest"), "refers_to_page": F.col("r_page"), "error": F.coalesce("error", lost)}
     return out.withColumns(taken).drop("r_page", "r_bytes", "r_digest", "r_told")
