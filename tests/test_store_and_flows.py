@@ -118,7 +118,7 @@ def test_strict_files(spark, tmp_path):
     schema = "k int, v string"
     df = spark.createDataFrame([(1, "a"), (2, None)], schema)
     delimited.write_delimited(df, str(tmp_path / "s"), delimited.STRICT)
-    assert b"\r\n" in open(glob.glob(f"{tmp_path}/s/*.txt")[0], "rb").read()
+    assert b"\r\n" in b"".join(open(f, "rb").read() for f in glob.glob(f"{tmp_path}/s/*.txt"))
     assert rows(delimited.read_strict(spark, str(tmp_path / "s"), df.schema)) == [(1, "a"), (2, None)]
     (tmp_path / "lf").write_bytes(b"1|a\n2|\n")
     assert rows(delimited.read_strict(spark, str(tmp_path / "lf"), df.schema, record="\n")) == [(1, "a"), (2, None)]

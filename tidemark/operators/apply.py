@@ -19,11 +19,12 @@ def key_columns(df: DataFrame, spec: TableSpec) -> list[Column]:
     return [F.upper(F.col(c)) if fold(c) else F.col(c) for c in spec.pk]
 
 
-def _keyed(df: DataFrame, spec: TableSpec) -> DataFrame:
+def keyed(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """With the key as it is matched, in the columns ``key_names``."""
     return df.withColumns({f"__k{n}": c for n, c in enumerate(key_columns(df, spec))})
 
 
-def _names(spec: TableSpec) -> list[str]:
+def key_names(spec: TableSpec) -> list[str]:
     return [f"__k{n}" for n in range(len(spec.pk))]
 
 
@@ -36,15 +37,16 @@ def _alone(df: DataFrame, names: list[str]) -> Column:
     return F.when(lone, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).otherwise(F.lit(0).cast("long"))
 
 
-def merged(target: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:
+def merged(target: DataFrame, changes: DataFrame, spec: TableSpec, hit_only: bool = False) -> DataFrame:
     """Target and changes joined in full, with ``__action`` per row: KEEP, UPDATE, DELETE, INSERT,
     or null for a delete of a row that isn't there.  Null keys match nothing.  Two changes of one key
-    are an error, as they are for a MERGE."""
-    names = _names(spec)
-    t = _keyed(target, spec).withColumn("__t", F.lit(True))
-    t = t.withColumn("__alone", _alone(target, names))
+    are an error, as they are for a MERGE.  ``hit_only``: all rows of the target are matched, so columns
+    that are sent need not be read from it (deleted rows then show the change's)."""
+    names = key_names(spec)
+    t = keyed(target, spec).withColumn("__t", F.lit(True))
+    t = t.withColumn("__alone", F.lit(0).cast("long") if hit_only else _alone(target, names))
     cols = [c for c in changes.columns if c not in META]
-    c = _keyed(changes, spec)
+    c = keyed(changes, spec)
     c = c.withColumn("__alone", _alone(changes, names))
     same = F.count(F.lit(1)).over(Window.partitionBy(*names, "__alone"))  # the join's own partitioning
     twice = F.raise_error(F.concat(F.lit(f"{spec.name}: more than one change of the key "), F.concat_ws(", ", *[F.col(k).cast("string") for k in names])))
@@ -62,6 +64,9 @@ def merged(target: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:
             values.append(F.col(c))
             continue
         new = F.col(f"__c_{sent[c.lower()]}").cast(target.schema[c].dataType)
+        if hit_only and c.lower() not in keys:
+            values.append(new.alias(c))
+            continue
         takes = F.col("__action") == "INSERT" if c.lower() in keys else F.col("__action").isin("INSERT", "UPDATE")
         values.append(F.when(takes, new).otherwise(F.col(c)).alias(c))
     return out.select(*values, "__action")
@@ -80,18 +85,40 @@ def apply_delete_insert(target: DataFrame, changes: DataFrame, spec: TableSpec)
     Columns not sent become null, the key takes the change's spelling, and repeated keys are
     inserted as often as they come.
     """
-    c = _keyed(changes, spec)
-    kept = _keyed(target, spec).join(c.select(*_names(spec)), _names(spec), "left_anti").select(*target.columns)
-    new = strip_meta(c.where(F.col(OP).isin("I", "U"))).drop(*_names(spec))
+    c = keyed(changes, spec)
+    kept = keyed(target, spec).join(c.select(*key_names(spec)), key_names(spec), "left_anti").select(*target.columns)
+    new = strip_meta(c.where(F.col(OP).isin("I", "U"))).drop(*key_names(spec))
     return _cast_like(kept.unionByName(new, allowMissingColumns=True), target)
 
 
 def apply_replace(target: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:
     """Delete keys with a D change, then replace rows by the I and U changes, the last per key."""
-    dead = _keyed(changes.where(F.col(OP) == "D"), spec).select(*_names(spec))
-    new = dedupe_changes(_keyed(changes.where(F.col(OP).isin("I", "U")), spec), tuple(_names(spec)))
-    t = _keyed(target, spec).join(dead, _names(spec), "left_anti").join(new.select(*_names(spec)), _names(spec), "left_anti")
-    return _cast_like(t.select(*target.columns).unionByName(strip_meta(new).drop(*_names(spec)), allowMissingColumns=True), target)
+    dead = keyed(changes.where(F.col(OP) == "D"), spec).select(*key_names(spec))
+    new = dedupe_changes(keyed(changes.where(F.col(OP).isin("I", "U")), spec), tuple(key_names(spec)))
+    t = keyed(target, spec).join(dead, key_names(spec), "left_anti").join(new.select(*key_names(spec)), key_names(spec), "left_anti")
+    return _cast_like(t.select(*target.columns).unionByName(strip_meta(new).drop(*key_names(spec)), allowMissingColumns=True), target)
+
+
+def delete_inserted(target: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:
+    """Rows of both with ``__action`` as delete-and-insert treats them: DELETE for keys in the change set,
+    INSERT for its I and U rows, KEEP."""
+    return _swapped(target, changes, changes.where(F.col(OP).isin("I", "U")), spec)
+
+
+def replaced(target: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:
+    """Rows of both with ``__action`` as a replace treats them: the last I or U row of a key is inserted,
+    also where the key has a D row."""
+    names = key_names(spec)
+    new = dedupe_changes(keyed(changes.where(F.col(OP).isin("I", "U")), spec), tuple(names)).drop(*names)
+    return _swapped(target, changes, new, spec)
+
+
+def _swapped(target: DataFrame, changes: DataFrame, new: DataFrame, spec: TableSpec) -> DataFrame:
+    sent = keyed(changes, spec).select(*key_names(spec)).distinct().withColumn("__sent", F.lit(True))
+    action = F.when(F.col("__sent"), "DELETE").otherwise("KEEP").alias("__action")
+    old = keyed(target, spec).join(sent, key_names(spec), "left").select(*[F.col(f"`{c}`") for c in target.columns], action)
+    put = _cast_like(target.limit(0).unionByName(strip_meta(new), allowMissingColumns=True), target)
+    return old.unionByName(put.withColumn("__action", F.lit("INSERT")))
 
 
 def _cast_like(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -108,8 +135,8 @@ def apply_counts(target: DataFrame, changes: DataFrame, spec: TableSpec) -> Data
 
 def newer_only(target: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:
     """Changes that are newer than the version the target keeps of their key in ``_version``."""
-    have = _keyed(target, spec).select(*_names(spec), F.col(VERSION).alias("__have"))
-    out = _keyed(changes, spec).join(have, _names(spec), "left")
+    have = keyed(target, spec).select(*key_names(spec), F.col(VERSION).alias("__have"))
+    out = keyed(changes, spec).join(have, key_names(spec), "left")
     return out.where(F.col("__have").isNull() | (F.col(VERSION) > F.col("__have"))).select(*changes.columns)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import shortened
+from tidemark.sources.paths import scratch
 from tidemark.spec import META, OP, VERSION, TableSpec
 
 # System column names that targets reserve, with their replacements.
@@ -63,14 +64,25 @@ def net_changes(log: DataFrame, pk: tuple[str, ...], start: int | None = None) -
     else I if the window holds an insert, which also gives the creation version; else U.  One hash
     aggregation with map-side combining; nothing is sorted.
     """
-    window = log if start is None else log.where(F.col("version") > start)
-    got = window.groupBy(*pk).agg(
-        F.max("version").alias(VERSION),
-        F.max_by(_code(F.col("op")), "version").alias("__last"),
-        F.max(F.when(F.col("op") == "I", F.col("version"))).alias("creation_version"),
-    )
-    op = F.when(F.col("__last") == CODES["D"], "D").when(F.col("creation_version").isNotNull(), "I").otherwise("U")
-    return got.select(*pk, VERSION, op.alias(OP), "creation_version")
+    return net_of_run(net_run(log if start is None else log.where(F.col("version") > start), pk), pk)
+
+
+def combine_net(runs: DataFrame, pk: tuple[str, ...]) -> DataFrame:
+    """Net changes of adjoining version ranges (key, ``_version``, ``last`` as a number, creation_version)
+    as those of the whole range; the order of combining doesn't matter."""
+    return runs.groupBy(*pk).agg(F.max(VERSION).alias(VERSION), F.max_by("last", VERSION).alias("last"), F.max("creation_version").alias("creation_version"))
+
+
+def net_run(log: DataFrame, pk: tuple[str, ...]) -> DataFrame:
+    """A log reduced to what ``combine_net`` combines."""
+    created = F.when(F.col("op") == "I", F.col("version"))
+    return combine_net(log.select(*pk, F.col("version").alias(VERSION), _code(F.col("op")).alias("last"), created.alias("creation_version")), pk)
+
+
+def net_of_run(run: DataFrame, pk: tuple[str, ...]) -> DataFrame:
+    """A run as ``net_changes`` gives it."""
+    op = F.when(F.col("last") == CODES["D"], "D").when(F.col("creation_version").isNotNull(), "I").otherwise("U")
+    return run.select(*pk, VERSION, op.alias(OP), "creation_version")
 
 
 #: Keys that are sent to every task to pick their rows from the base, instead of shuffling it.
@@ -80,13 +92,15 @@ FEW = 200_000
 def _joined(net: DataFrame, base: DataFrame, spec: TableSpec) -> DataFrame:
     """Keys from the change side, other subscribed columns from the base, null where it is gone.
 
-    Changes are few beside the base, as a rule: up to ``FEW`` keys (counted first) are broadcast, and
-    only the rows that they pick are shuffled.
+    The net change is used twice, so it is written once and the log read once.  Changes are few beside
+    the base, as a rule: up to ``FEW`` keys are broadcast, and only the rows that they pick are shuffled.
     """
+    spark, path = net.sparkSession, scratch(net.sparkSession, "net")
+    net.write.parquet(path)
+    net = spark.read.schema(net.schema).parquet(path)
     side = project_columns(base, spec)
-    keys = net.select(*spec.pk)
-    if keys.limit(FEW + 1).count() <= FEW:
-        side = side.join(F.broadcast(keys), list(spec.pk), "left_semi")
+    if net.count() <= FEW:
+        side = side.join(F.broadcast(net.select(*spec.pk)), list(spec.pk), "left_semi")
     side = side.withColumn("__alive", F.lit(True))
     out = net.join(side, list(spec.pk), "left")
     rest = [c for c in side.columns if c not in (*spec.pk, "__alive")]
@@ -101,7 +115,12 @@ def capture_changes(log: DataFrame, base: DataFrame, spec: TableSpec, start: int
     there or was deleted.  A row created by ``stop`` and changed later is captured now and again in
     the next window; applying it twice does no harm.
     """
-    out = _joined(net_changes(log, spec.pk, start), base, spec)
+    return captured(net_changes(log, spec.pk, start), base, spec, stop)
+
+
+def captured(net: DataFrame, base: DataFrame, spec: TableSpec, stop: int) -> DataFrame:
+    """The change set up to ``stop`` of net changes at hand."""
+    out = _joined(net, base, spec)
     out = out.where(((F.col(VERSION) <= stop) | (F.col("creation_version") <= stop)) & ((F.col(OP) == "D") | F.col("__alive")))
     out = out.drop("creation_version", "__alive")
     return shorten(out, spec.shorten) if spec.shorten else out

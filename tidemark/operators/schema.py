@@ -134,18 +134,25 @@ def pk_columns(columns: DataFrame, key_usage: DataFrame, constraints: DataFrame)
 def views_to_refresh(changes: DataFrame, views: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """Views (view_name) over changed tables: a leading ``vw`` stands for ``TBL``.
 
-    With ``columns`` (table_name, column_name), a view over a table that has an archive is refreshed
-    only once an added column is in both, or a dropped one in neither.
+    With ``columns`` (table_name, column_name, and data_type if types are to agree), a change of a table
+    or of its archive refreshes the view once it has been made in both: an added or renamed column is
+    in both, a dropped one in neither, a modified one has the same type in both.
     """
     named = views.withColumn("table_name", F.regexp_replace("view_name", "(?i)^vw", "TBL"))
-    hit = changes.select(F.lower("table_name").alias("__t"), "column_name", "event_type").distinct()
+    renamed = F.col("new_column_name") if "new_column_name" in changes.columns else F.lit(None)
+    column = F.when(F.col("event_type") == "Rename", F.coalesce(renamed, F.col("column_name"))).otherwise(F.col("column_name"))
+    stem = lambda c: F.regexp_replace(F.lower(c), "archive$", "")
+    tables = F.array(F.lower("table_name")) if columns is None else F.array_distinct(F.array(F.lower("table_name"), stem("table_name")))
+    hit = changes.select(F.explode(tables).alias("__t"), column.alias("column_name"), "event_type").distinct()
     out = named.join(hit, F.lower("table_name") == F.col("__t")).drop("__t")
     if columns is not None:
-        side = columns.select(F.regexp_replace(F.lower("table_name"), "archive$", "").alias("__t"), F.lower("column_name").alias("__c"), F.lower("table_name").alias("__table"))
+        kind = F.lower("data_type") if "data_type" in columns.columns else F.lit("")
+        side = columns.select(stem("table_name").alias("__t"), F.lower("column_name").alias("__c"), F.lower("table_name").alias("__table"), kind.alias("__kind"))
         tables = side.groupBy("__t").agg(F.count_distinct("__table").alias("__tables"))
-        holders = side.groupBy("__t", "__c").agg(F.count_distinct("__table").alias("__have"))
-        out = out.join(tables, F.lower("table_name") == F.col("__t"), "left").drop("__t")
-        out = out.join(holders, (F.lower("table_name") == F.col("__t")) & (F.lower("column_name") == F.col("__c")), "left")
+        holders = side.groupBy("__t", "__c").agg(F.count_distinct("__table").alias("__have"), F.count_distinct("__kind").alias("__kinds"))
+        out = out.join(tables, stem("table_name") == F.col("__t"), "left").drop("__t")
+        out = out.join(holders, (stem("table_name") == F.col("__t")) & (F.lower("column_name") == F.col("__c")), "left")
         have, all_ = F.coalesce("__have", F.lit(0)), F.coalesce("__tables", F.lit(1))
-        out = out.where(F.when(F.col("event_type") == "Drop", have == 0).otherwise(have == all_))
+        alike = (F.col("event_type") != "Modify") | (F.col("__kinds") <= 1)
+        out = out.where(F.when(F.col("event_type") == "Drop", have == 0).otherwise((have == all_) & alike))
     return out.select("view_name", "table_name").distinct()

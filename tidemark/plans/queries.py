@@ -1034,3 +1034,4 @@ def consume(spark, d):
     return spark.read.parquet(out).groupBy(OP).agg(F.sum("n").alias("n"))
 
 
+from tidemark.plans import flow_queries as _flow_queries  # noqa: E402, F401  registers its queries

@@ -1,8 +1,18 @@
-"""Tables of other databases over JDBC; the driver's jar must be on the class path."""
+"""Tables of other databases over JDBC; the driver's jar must be on the class path.
+
+A table is read in parallel over ranges of its key, of any type and any number of columns: the database
+draws a sample of keys, and their quantiles are the points where the ranges part.  Every row is in exactly
+one range, however the database compares text: it belongs to the last point that it doesn't lie below.
+Rows with a null in the key are read with the first range.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
+
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import functions as F
 
 # Driver classes by database.
 DRIVERS = {
@@ -19,15 +29,88 @@ def check_route(source: str, dest: str) -> None:
         raise ValueError(f"copying from {source} to {dest} is not supported")
 
 
-def jdbc_read(spark: SparkSession, flavor: str, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16, **options: str) -> DataFrame:
-    """A table, read in parallel over a numeric key if its bounds are given.  The driver's class is that
-    of the flavor unless ``driver`` is among the options."""
-    r = spark.read.format("jdbc").options(**{"driver": DRIVERS.get(flavor.lower(), "")} | options, url=url, dbtable=table)
+# How a fraction of a table's rows is drawn, by database.
+SAMPLES = {
+    "mssql": "ABS(CAST(CHECKSUM(NEWID()) AS BIGINT)) % 1000000 < {f} * 1000000",
+    "mysql": "RAND() < {f}",
+    "netezza": "RANDOM() < {f}",
+    "vertica": "RANDOM() < {f}",
+    "derby": "RANDOM() < {f}",
+}
+#: Keys sampled for a range.
+SAMPLED = 100
+
+
+def literal(value) -> str:
+    """A value in SQL, dates and times by the escapes that every driver knows."""
+    if isinstance(value, bool) or value is None:
+        raise ValueError(f"no key of a range: {value!r}")
+    if isinstance(value, (int, float, decimal.Decimal)):
+        return str(value)
+    if isinstance(value, dt.datetime):
+        return f"{{ts '{value:%Y-%m-%d %H:%M:%S.%f}'}}"
+    if isinstance(value, dt.date):
+        return f"{{d '{value:%Y-%m-%d}'}}"
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def _reaches(key: tuple[str, ...], point: tuple) -> str:
+    """Whether a row's key is a point or lies beyond it, column by column."""
+    out = f"{key[-1]} >= {literal(point[-1])}"
+    for c, v in list(zip(key, point, strict=True))[-2::-1]:
+        out = f"{c} > {literal(v)} OR ({c} = {literal(v)} AND ({out}))"
+    return f"({out})"
+
+
+def range_predicates(key: tuple[str, ...], points: list[tuple]) -> list[str]:
+    """A condition for each range; a row meets exactly one of them, in whatever order the points are."""
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in key)
+    lone = " OR ".join(f"{c} IS NULL" for c in key)
+    tests = [_reaches(key, p) for p in points]
+    beyond = [" AND ".join([f"NOT {t}" for t in tests[k:]]) for k in range(len(points) + 1)]
+    out = [f"({lone}) OR ({whole} AND {beyond[0]})" if points else "1 = 1"]
+    for k, t in enumerate(tests):
+        out.append(" AND ".join(x for x in (whole, t, beyond[k + 1]) if x))
+    return out
+
+
+def split_points(spark: SparkSession, flavor: str, url: str, table: str, key: tuple[str, ...], partitions: int, **options: str) -> list[tuple]:
+    """Up to ``partitions - 1`` keys (``key``: column names in quotes) that part a table into ranges of about the same size, from a sample of
+    ``SAMPLED`` keys a range that the database draws."""
+    read = lambda sql: spark.read.format("jdbc").options(**{"driver": DRIVERS.get(flavor.lower(), "")} | options, url=url, dbtable=f"({sql}) q").load()
+    rows = int(read(f"SELECT COUNT(*) AS n FROM {table}").first()[0])
+    wanted = partitions * SAMPLED
+    drawn = "" if rows <= wanted else " WHERE " + SAMPLES[flavor.lower()].format(f=f"{wanted / rows:.9f}")
+    found = read(f"SELECT {', '.join(key)} FROM {table}{drawn}").dropna()
+    keys = [tuple(r) for r in found.orderBy(*[F.col(f"`{c}`") for c in found.columns]).limit(4 * wanted).collect()]  # a bounded sample
+    return list(dict.fromkeys(keys[k * len(keys) // partitions] for k in range(1, partitions))) if keys else []
+
+
+def jdbc_read(
+    spark: SparkSession, flavor: str, url: str, table: str, key: str | tuple[str, ...] | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16, **options: str
+) -> DataFrame:
+    """A table, read in parallel over a numeric key if its bounds are given, or over ranges of about the
+    same size of any key.  The driver's class is that of the flavor unless ``driver`` is among the options."""
+    given = {"driver": DRIVERS.get(flavor.lower(), "")} | options
+    if key and bounds is None and partitions > 1:
+        names = {c.lower(): c for c in spark.read.format("jdbc").options(**given, url=url, dbtable=table).load().columns}
+        quote = "`" if flavor.lower() == "mysql" else '"'
+        columns = tuple(f"{quote}{names[c.lower()]}{quote}" for c in ((key,) if isinstance(key, str) else key))
+        points = split_points(spark, flavor, url, table, columns, partitions, **options)
+        return spark.read.jdbc(url, table, predicates=range_predicates(columns, points), properties={k: v for k, v in given.items() if v})
+    r = spark.read.format("jdbc").options(**given, url=url, dbtable=table)
     if key and bounds:
         r = r.options(partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
     return r.load()
 
 
+def jdbc_copy(spark: SparkSession, source: dict, dest: dict, key: str | tuple[str, ...] | None = None, partitions: int = 16, mode: str = "overwrite", types: dict[str, str] | None = None) -> None:
+    """A table copied from one database to another; ``source`` and ``dest`` have flavor, url, table and
+    options.  Only the known routes are allowed."""
+    check_route(source["flavor"], dest["flavor"])
+    jdbc_writer(jdbc_read(spark, key=key, partitions=partitions, **source), types=types, **dest).mode(mode).save()
+
+
 def jdbc_writer(df: DataFrame, flavor: str, url: str, table: str, types: dict[str, str] | None = None, **options: str) -> DataFrameWriter:
     """A configured writer; ``types`` are the target's column types."""
     w = df.write.format("jdbc").options(**{"driver": DRIVERS.get(flavor.lower(), "")} | options, url=url, dbtable=table)

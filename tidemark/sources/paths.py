@@ -42,3 +42,55 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     fs.delete(p, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file as text, or None where there is none."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, replacing what was there."""
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file, whole or not at all, only where there is none yet; whether it was written.
+
+    It is written aside first: HDFS refuses to rename it onto a name that is taken, and so does a link of
+    the local file system.  A store of objects whose renames may overwrite is for one writer at a time."""
+    p, fs = _path(spark, path)
+    if fs.getScheme() == "file":
+        nio = spark._jvm.java.nio.file
+        local = spark._jvm.java.io.File(p.toUri().getPath())
+        local.getParentFile().mkdirs()
+        aside = spark._jvm.java.io.File(local.getParentFile(), f".{uuid.uuid4().hex}")
+        nio.Files.write(aside.toPath(), bytearray(text.encode()), spark._sc._gateway.new_array(nio.OpenOption, 0))
+        try:
+            nio.Files.createLink(local.toPath(), aside.toPath())
+            return True
+        except Exception:
+            if not local.exists():
+                raise
+            return False
+        finally:
+            aside.delete()
+    aside, _ = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        done = not fs.exists(p) and fs.rename(aside, p)  # HDFS renames onto nothing that exists
+    finally:
+        fs.delete(aside, False)
+    return bool(done)

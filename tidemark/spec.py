@@ -16,6 +16,7 @@ class TableSpec:
 
     columns: the subscribed columns, None for all.  shorten: column -> characters kept.
     ignore_case: string keys match without case.  history: keep applied changes.
+    method: how changes are applied to a stored target, ``merge``, ``delete_insert`` or ``replace``.
     """
 
     name: str
@@ -26,11 +27,14 @@ class TableSpec:
     ignore_case: bool = False
     history: bool = False
     stop_on_error: bool = True
+    method: str = "merge"
 
     def __post_init__(self) -> None:
         for name in (self.name, self.schema, *self.pk, *(self.columns or ())):
             if not _NAME.fullmatch(name):
                 raise ValueError(f"illegal identifier {name!r}")
+        if self.method not in ("merge", "delete_insert", "replace"):
+            raise ValueError(f"unknown method {self.method}")
         for column, n in self.shorten.items():
             if not isinstance(n, int) or n < 1:
                 raise ValueError(f"{column}: a column is shortened to one positive number of characters, not {n!r}")
@@ -52,4 +56,4 @@ class TableSpec:
         mine = {k.lower(): v for k, v in self.shorten.items()}
         for k, v in other.shorten.items():
             mine[k.lower()] = min(v, mine.get(k.lower(), v))
-        return TableSpec(self.name, self.pk or other.pk, columns, self.schema, mine, self.ignore_case or other.ignore_case, self.history or other.history, self.stop_on_error)
+        return TableSpec(self.name, self.pk or other.pk, columns, self.schema, mine, self.ignore_case or other.ignore_case, self.history or other.history, self.stop_on_error, other.method)
