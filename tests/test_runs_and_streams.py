@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidemark.operators import changes as C
+from tidemark.operators import consolidate as U
 from tidemark.operators import schema as S
 from tidemark.plans import fixtures as X
 from tidemark.plans import pipeline as P
-from tidemark.sources import jdbc, pointers, runs, store
+from tidemark.sources import bucketed, jdbc, pointers, runs, store
 from tidemark.spec import OP, VERSION, TableSpec
 from tidemark.streaming import live, read_late, stream_apply
 
@@ -62,6 +63,22 @@ def test_a_capture_reads_its_log_once(spark, tmp_path):
     assert not any("/log/" in f for f in out.inputFiles())  # the net change has been written, and is read instead
 
 
+def test_change_sets_in_buckets_are_made_one_without_an_exchange(spark, tmp_path):
+    root, sets = str(tmp_path), []
+    for c in range(1, 4):
+        data = [(k, None if k == 9 else f"{c}", 10 * c + k, "D" if k == c else "U") for k in range(c, 12)] + [(None, "n", c, "I")]
+        df = spark.createDataFrame(data, CHANGES)
+        df = df if c > 1 else df.drop("v")
+        for _ in range(2):  # an attempt that is made again replaces itself
+            bucketed.write_bucketed(df, root, "T", c, ("k",), buckets=3)
+        sets.append((c, df))
+    got = bucketed.consolidate_bucketed(spark, root, "t", [1, 2, 3], sets[-1][1], ("k",))
+    assert rows(got.select("k", "v", VERSION, OP)) == rows(U.consolidate(sets, ("k",)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert rows(bucketed.consolidate_bucketed(spark, root, "t", [2], sets[-1][1], ("k",)).select("k", "v", VERSION, OP)) == rows(sets[1][1])
+
+
 def test_views_wait_for_both_tables(spark):
     kinds = "table_name string, event_type string, column_name string, new_column_name string"
     views = spark.createDataFrame([("vwA",), ("vwAArchive",), ("vwB",)], "view_name string")

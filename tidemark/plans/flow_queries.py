@@ -6,9 +6,10 @@ import threading
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.consolidate import batch_numbers
 from tidemark.plans import fixtures as X
 from tidemark.plans.queries import EVENTS, NET, _published, changes_of_orders, orders_sql, query
-from tidemark.sources import jdbc, pointers, runs, store
+from tidemark.sources import bucketed, jdbc, pointers, runs, store
 from tidemark.sources.paths import scratch, table
 from tidemark.spec import OP, VERSION, TableSpec
 
@@ -164,6 +165,15 @@ def net_from_runs(spark, d):
     return out
 
 
+@query(EVENTS + "SELECT k, value, version AS _version, op AS _op FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY version DESC, ctid DESC) AS n FROM batches) WHERE n = 1")
+def consolidate_bucketed(spark, d):
+    """Five change sets written in buckets of their key and made one without an exchange."""
+    root, rows = scratch(spark, "bucketed"), batch_numbers(X.events_log(spark, d), 5).selectExpr("ctid", "k", "value", "version _version", "op _op")
+    for c in range(1, 6):
+        bucketed.write_bucketed(rows.where(F.col("ctid") == c).drop("ctid"), root, "events", c, ("k",), buckets=4)
+    return bucketed.consolidate_bucketed(spark, root, "events", [1, 2, 3, 4, 5], rows.drop("ctid").limit(0), ("k",))
+
+
 # flows ---------------------------------------------------------------------------------------------
 
 
