@@ -550,6 +550,37 @@ def test_marginals_by_enumeration():
         assert np.allclose(p, m[k])
 
 
+def test_marginals_alone_and_together(monkeypatch):
+    """A document by itself, in blocks, has the marginals that it has beside others."""
+    f = toxicity.Field()
+    f.bias, f.enter, f.stay = -2.0, -1.0, 1.5
+    rng = np.random.default_rng(1)
+    docs = [rng.normal(0, 3, n) for n in (1, 2, 3, 50, 400, 1000)]
+    at = [np.cumsum(rng.integers(1, 40, len(d))) - 1 for d in docs]
+    lengths = [int(a[-1]) + 1 + k for k, a in enumerate(at)]
+    want = f.marginals(docs, at, lengths)
+    for cells, long in ((1, 4096), (1 << 18, 0)):
+        monkeypatch.setattr(toxicity, "CELLS", cells)
+        monkeypatch.setattr(toxicity, "LONG", long)
+        assert all(np.allclose(p, q) for p, q in zip(f.marginals(docs, at, lengths), want, strict=True))
+
+
+def test_a_long_toxic_text():
+    """Three megabytes of toxic words beside short texts take seconds and 350 MB: in proportion, ten take a
+    gigabyte."""
+    import tracemalloc
+
+    f = toxicity.Field()
+    f.weight, f.name = {"vile": 9.0}, "test"
+    began = time.perf_counter()
+    tracemalloc.start()
+    words, where, p = f.tag(["vile thing " * 300_000, *["a vile day"] * 255])
+    spans = toxicity._offsets("vile thing " * 300_000, where[0][p[0] >= 0.5])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(p[0]) == len(spans) == 300_000 and np.allclose(p[1], p[255]) and most < 350 << 20 and time.perf_counter() - began < 60
+
+
 def test_toxicity(spark, edge, empty):
     rng = random.Random(2)
     plain = [f"word{k}" for k in range(300)]

@@ -55,9 +55,34 @@ def features(word: bytes) -> list[str]:
 
 
 REMEMBERED = 100_000
+#: Evidence tokens of documents that are worked on together, and of one that is worked on alone.
+CELLS, LONG = 1 << 18, 4096
 _MEMORY: dict = {}
 
 
+def _messages(start: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The messages ``start @ steps[0] @ ... @ steps[t]`` for all t, each scaled to sum 1: products inside
+    blocks of equal length, all blocks at once, then from block to block."""
+    n = len(steps)
+    size = max(1, int(np.ceil(np.sqrt(n))))
+    blocks = -(-n // size)
+    m = np.tile(np.eye(2), (blocks * size, 1, 1))
+    m[:n] = steps
+    m = m.reshape(blocks, size, 2, 2)
+    for t in range(size):
+        if t:
+            m[:, t] = m[:, t - 1] @ m[:, t]
+        m[:, t] /= m[:, t].sum(axis=(1, 2), keepdims=True)
+    first = np.empty((blocks, 2))
+    now = start
+    for b in range(blocks):
+        first[b] = now
+        now = now @ m[b, -1]
+        now = now / now.sum()
+    out = np.einsum("bi,btij->btj", first, m).reshape(-1, 2)[:n]
+    return out / out.sum(axis=1, keepdims=True)
+
+
 class Field:
     """Two states, clean and toxic; weights are those of the toxic state relative to the clean one."""
 
@@ -104,11 +129,40 @@ class Field:
         return np.array(got, np.float64)
 
     def marginals(self, docs: list[np.ndarray], where: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
-        """Of each document's evidence tokens (values ``docs``, positions ``where``): p(toxic)."""
+        """Of each document's evidence tokens (values ``docs``, positions ``where``): p(toxic).
+
+        Documents with about as many tokens are taken together, ``CELLS`` tokens at most, padding
+        included; one with more than ``LONG`` is taken alone, in blocks side by side."""
         out = [np.empty(0)] * len(docs)
-        busy = sorted((k for k in range(len(docs)) if len(docs[k])), key=lambda k: -len(docs[k]))
-        if not busy:
-            return out
+        slab: list[int] = []
+
+        def flush() -> None:
+            if slab:
+                for k, p in zip(slab, self._together([docs[k] for k in slab], [where[k] for k in slab], [lengths[k] for k in slab]), strict=True):
+                    out[k] = p
+                slab.clear()
+
+        for k in sorted((k for k in range(len(docs)) if len(docs[k])), key=lambda k: -len(docs[k])):
+            if len(docs[k]) > LONG:
+                out[k] = self._alone(docs[k], where[k], lengths[k])
+                continue
+            if slab and (len(slab) + 1) * len(docs[slab[0]]) > CELLS:
+                flush()
+            slab.append(k)
+        flush()
+        return out
+
+    def _alone(self, values: np.ndarray, where: np.ndarray, length: int) -> np.ndarray:
+        m = self._powers(np.diff(where, prepend=-1) - 1) @ self._step(values)
+        forward = _messages(np.array([1.0, 0.0]), m)
+        end = self._powers(np.array([length - 1 - where[-1]]))[0] @ np.ones(2)
+        back = np.concatenate([_messages(end / end.sum(), m[:0:-1].transpose(0, 2, 1))[::-1], end[None] / end.sum()])
+        both = forward * back
+        return both[:, 1] / both.sum(axis=1)
+
+    def _together(self, docs: list[np.ndarray], where: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
+        """The marginals of documents in the order of their tokens, most first."""
+        out, busy = [np.empty(0)] * len(docs), range(len(docs))
         most = len(docs[busy[0]])
         count = np.array([len(docs[k]) for k in busy])
         value, gap = np.zeros((len(busy), most)), np.zeros((len(busy), most + 1), np.int64)
@@ -267,7 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     rows = []
     for toxic in (0, 1):
         picked = marks.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
-        rows += both.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").limit(sample).select("text", "toxic").collect()  # ids of at most half the sample
+        some = both.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")  # ids of at most half the sample
+        rows += some.orderBy(F.xxhash64("text"), "text").limit(sample).select("text", "toxic").collect()
     field = Field()
     if not count.get(1) or not any(r["toxic"] for r in rows):
         field.calibration = np.array([-30.0, 0.0, 0.0])
@@ -289,13 +344,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
 SCORE = "struct<score:double,expected:double,spans:array<struct<start:int,end:int>>>"
 
 
-def _offsets(text: str, where: set[int]) -> list[dict]:
-    """Code-point offsets of the tokens numbered ``where``."""
-    out, k = [], 0
+def _offsets(text: str, where: np.ndarray) -> list[tuple[int, int]]:
+    """Code-point offsets of the tokens numbered ``where``, in order."""
+    out, k, wanted = [], 0, iter(where.tolist())
+    at = next(wanted, None)
     for m in _WORD.finditer(text):
+        if at is None:
+            break
         if m[0].encode("utf-8", "surrogatepass").translate(None, _DROP):
-            if k in where:
-                out.append({"start": m.start(), "end": m.end()})
+            if k == at:
+                out.append(m.span())
+                at = next(wanted, None)
             k += 1
     return out
 
@@ -311,8 +370,7 @@ def scorer(spark, field: Field) -> Column:
             part = [t if isinstance(t, str) else None for t in texts.iloc[k : k + 256]]
             _, where, marginals = model.tag(part)
             for t, s, at, p in zip(part, model.scores(marginals), where, marginals, strict=True):
-                hot = set(at[p >= 0.5].tolist()) if len(p) else set()
-                out.append((float(s), float(p.sum()), _offsets(t or "", hot) if hot else []))
+                out.append((float(s), float(p.sum()), _offsets(t or "", at[p >= 0.5])))
         return pd.DataFrame(out, columns=["score", "expected", "spans"])
 
     return score(F.col("text"))
