@@ -505,6 +505,45 @@ def test_suffix_array_is_whole(spark):
     assert levels[-1][0] <= longest < 2 * levels[-1][0]
 
 
+def maximal_runs(rows, size):
+    """(runs, lines of the longest, id of its first copy) of each text: a run goes on while the first copy
+    of ``size`` lines moves on with it, and is as long as it and its first copy agree."""
+    texts = {i: [x for x in (t or "").split("\n") if x.strip()] for i, t in rows}
+    first = {}
+    for i, ls in sorted(texts.items()):
+        for p in range(len(ls) - size + 1):
+            first.setdefault(tuple(ls[p : p + size]), (i, p))
+    out = {}
+    for i, ls in texts.items():
+        runs, last = [], None
+        for p in range(len(ls) - size + 1):
+            d, f = first[tuple(ls[p : p + size])]
+            if (d, f) == (i, p):
+                last = None
+                continue
+            if last != (d, f - 1):
+                n = next((k for k in range(len(ls) - p) if f + k >= len(texts[d]) or texts[d][f + k] != ls[p + k]), len(ls) - p)
+                runs.append((n, -p, d))
+            last = (d, f)
+        best = max(runs, default=(0, 0, None))
+        out[i] = (len(runs), best[0], best[2])
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 3, 4])
+def test_lengths_of_maximal_runs(spark, size):
+    """Every length is that of the whole run, which no prefix of ``size`` lines tells."""
+    rng = random.Random(size)
+    whole = [rng.choice("abcdefgh") + str(k % 17) for k in range(300)]
+    rows = [(i, "\n".join(rng.choice("ab") for _ in range(rng.randint(0, 20)))) for i in range(20)]
+    for i, n in enumerate([1, 2, 5, 6, 7, 11, 12, 13, 25, 47, 48, 49, 100, 300], 30):
+        at = rng.randint(0, 300 - n)
+        rows.append((i, "\n".join([f"own {i}", *whole[at : at + n], f"end {i}", *whole[:n]])))
+    got = {r.doc_id: (r.n_runs, r.longest_copy, r.copied_from) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size).collect()}
+    want = maximal_runs(rows, size)
+    assert got == want and max(n for _, n, _ in want.values()) >= 48
+
+
 def test_lines_of_documents(docs, edge, empty):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert {r.doc_id: r.kept_text for r in lines.dedup_lines(docs).collect()} == {i: t for (i, _), t in later_copies(rows, lines.MIN_LINES).items()}

@@ -5,9 +5,12 @@ sequences is built by distributed prefix doubling: the rank of a suffix by its f
 from the ranks of two suffixes by their first h lines, sorted as pairs.  Suffixes of equal rank at
 depth h are the intervals whose longest common prefix is h lines or more; doubling goes on until no
 two suffixes share a prefix.  In each interval the copy that comes first (by id, then place) stays.
-Each suffix is taken at the greatest depth at which it is a later copy; what it shares there is deleted
-if it has ``min_lines`` lines or ``min_words`` words, and neighbouring pieces merge to maximal runs.
-(The depths double, and a run between two of them is covered by two overlapping pieces.)
+
+A maximal repeated run begins at a place whose first ``min_lines`` lines stand earlier, unless the run
+of the place before goes on there (its first copy is the place before this one's).  It is as long as
+the longest common prefix of its suffix and that of its first copy, found in the array by descending
+depths: where both have the same rank at a depth, they share that many lines more.  Whole runs are
+deleted, and so are shorter ones that hold ``min_words`` words; what overlaps is deleted once.
 
 Only repeated suffixes stay active: a suffix whose first h lines stand once is dropped, since no
 longer prefix of it can repeat.  Ranks are given to the distinct pairs, which are counted with
@@ -25,7 +28,7 @@ underscores.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import written
@@ -84,18 +87,48 @@ def suffix_array(docs: DataFrame, min_lines: int = MIN_LINES) -> list[tuple[int,
         levels.append((depth + ahead, deeper))
 
 
+def _first() -> Column:
+    return F.struct(*[F.col(f"__first.{k}").alias(k) for k in KEY], F.col("__first.p").alias("__pos"))
+
+
+def maximal_runs(levels: list[tuple[int, DataFrame]], min_lines: int = MIN_LINES) -> DataFrame | None:
+    """(key, __pos, __from, __n), written: where a maximal repeated run begins, the id of its first copy
+    and its lines.  None if nothing of ``min_lines`` lines is repeated."""
+    base = dict(levels).get(min_lines)
+    if base is None:
+        return None
+    later = base.select(*KEY, "__pos", F.col("__first.i").alias("__from"), _first().alias("__f")).where(F.col("__f") != F.struct(*KEY, "__pos"))
+    before = Window.partitionBy(*KEY).orderBy("__pos")
+    goes_on = (F.lag("__pos").over(before) == F.col("__pos") - 1) & (
+        F.lag("__f").over(before) == F.struct(*[F.col(f"__f.{k}") for k in KEY], (F.col("__f.__pos") - 1).alias("__pos"))
+    )
+    starts = later.withColumn("__on", F.coalesce(goes_on, F.lit(False))).where("not __on").drop("__on")
+    runs = written(starts.withColumns({"__run": F.monotonically_increasing_id(), "__n": F.lit(0)}))
+    for depth, level in reversed(levels):
+        places = F.array(*[F.struct(*[F.col(at + k).alias(k) for k in KEY], (F.col(at + "__pos") + F.col("__n")).alias("__pos")) for at in ("", "__f.")])
+        asked = runs.select("__run", F.explode(places).alias("x")).select("__run", *[F.col(f"x.{k}") for k in (*KEY, "__pos")])
+        ranks = asked.join(level.select(*KEY, "__pos", "__r"), [*KEY, "__pos"]).groupBy("__run")
+        alike = ranks.agg((F.count("__r") == 2).alias("__two"), (F.min("__r") == F.max("__r")).alias("__same")).where("__two and __same").select("__run", F.lit(depth).alias("__more"))
+        longer = runs.join(alike, "__run", "left").withColumn("__n", F.col("__n") + F.coalesce("__more", F.lit(0))).drop("__more")
+        runs = written(longer)
+    return runs.select(*KEY, "__pos", "__from", "__n")
+
+
 def doomed(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, __starts): sequence positions where a later copy begins, with its depth."""
-    first = F.struct(*[F.col(f"__first.{k}") for k in KEY], F.col("__first.p"))
-    found = None
-    for depth, level in suffix_array(docs, min_lines):
-        later = level.where(first != F.struct(*KEY, "__pos"))
+    """(key, __starts, __runs, __longest): sequence positions where later copies begin with their lines,
+    the number of maximal runs, and the longest of them: its lines and its first copy's id (of equally
+    long ones the first in the document)."""
+    levels = suffix_array(docs, min_lines)
+    found = maximal_runs(levels, min_lines)
+    for depth, level in levels:
         if depth < min_lines:  # of few lines, only those long enough to hold that many words
-            later = later.where(F.col("__len") >= 2 * min_words - depth)
-        one = later.select(*KEY, "__pos", F.lit(depth).alias("__depth"))
-        found = one if found is None else found.unionAll(one)
-    deepest = found.groupBy(*KEY, "__pos").agg(F.max("__depth").alias("__depth"))
-    return deepest.groupBy(*KEY).agg(F.collect_list(F.struct(F.col("__pos").alias("p"), F.col("__depth").alias("d"))).alias("__starts"))
+            later = level.where(_first() != F.struct(*KEY, "__pos")).where(F.col("__len") >= 2 * min_words - depth)
+            one = later.select(*KEY, "__pos", F.lit(None).cast("long").alias("__from"), F.lit(depth).alias("__n"))
+            found = one if found is None else found.unionAll(one)
+    whole = F.col("__n") >= min_lines
+    longest = F.max(F.when(whole, F.struct(F.col("__n").alias("n"), (-F.col("__pos")).alias("at"), F.col("__from").alias("source"))))
+    starts = F.collect_list(F.struct(F.col("__pos").alias("p"), F.col("__n").alias("d")))
+    return found.groupBy(*KEY).agg(starts.alias("__starts"), F.count_if(whole).alias("__runs"), longest.alias("__longest"))
 
 
 RESULT = "struct<text:string,n_lines:int,n_removed:int,longest_run:int,left:double>"
@@ -143,9 +176,13 @@ def _with_result(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, n_lines, n_removed, longest_run, left, kept_text) per document."""
+    """(doc_id, n_lines, n_removed, longest_run, left, kept_text, n_runs, longest_copy, copied_from) per
+    document: ``longest_run`` is the longest stretch of deleted lines, which may join several runs;
+    ``n_runs`` the maximal repeated runs that stand earlier, ``longest_copy`` the lines of the longest of
+    them (0 without any) and ``copied_from`` the document of its first copy."""
     got = _with_result(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_lines, min_words)
-    return got.select("doc_id", "__new.n_lines", "__new.n_removed", "__new.longest_run", "__new.left", F.col("__new.text").alias("kept_text"))
+    copies = [F.coalesce("__runs", F.lit(0)).alias("n_runs"), F.coalesce(F.col("__longest.n").cast("long"), F.lit(0)).alias("longest_copy"), F.col("__longest.source").alias("copied_from")]
+    return got.select("doc_id", "__new.n_lines", "__new.n_removed", "__new.longest_run", "__new.left", F.col("__new.text").alias("kept_text"), *copies)
 
 
 def clean(docs: DataFrame, min_lines: int = MIN_LINES, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS) -> DataFrame:

@@ -107,17 +107,25 @@ gone AS (SELECT DISTINCT doc_id, p + o AS p FROM later, range(3) AS r(o) WHERE o
 islands AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gone) GROUP BY doc_id, g),
 totals AS (SELECT doc_id, sum(n) AS n_removed, max(n) AS longest_run FROM islands GROUP BY doc_id),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM l WHERE (doc_id, k) NOT IN (SELECT (s.doc_id, s.k) FROM s JOIN gone USING (doc_id, p)) GROUP BY doc_id),
-counted AS (SELECT doc_id, count(*) AS n_lines FROM s GROUP BY doc_id)
+counted AS (SELECT doc_id, count(*) AS n_lines FROM s GROUP BY doc_id),
+firsts AS (SELECT doc_id, p, first_value(doc_id) OVER x AS fd, first_value(p) OVER x AS fp FROM runs WHERE c IS NOT NULL WINDOW x AS (PARTITION BY a, b, c ORDER BY doc_id, p)),
+chained AS (SELECT *, lag(p) OVER x AS p0, lag(fd) OVER x AS fd0, lag(fp) OVER x AS fp0 FROM firsts WHERE fd <> doc_id OR fp <> p WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
+starts AS (SELECT * FROM chained WHERE NOT coalesce(p0 = p - 1 AND fd0 = fd AND fp0 = fp - 1, false)),
+lengths AS (
+  SELECT t.doc_id, t.p, t.fd, coalesce(min(x.p) FILTER (y.line IS NULL OR y.line <> x.line), max(x.p) + 1) - t.p AS n
+  FROM starts t JOIN s x ON x.doc_id = t.doc_id AND x.p >= t.p LEFT JOIN s y ON y.doc_id = t.fd AND y.p = t.fp + x.p - t.p GROUP BY t.doc_id, t.p, t.fd),
+copies AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest_copy, (list(fd ORDER BY n DESC, p))[1] AS copied_from FROM lengths GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, CAST(coalesce(longest_run, 0) AS INTEGER) AS longest_run,
        CASE WHEN n_removed IS NULL THEN 1.0 ELSE len(regexp_extract_all(coalesce(kept.text, ''), '[^\x20\x09-\x0D]+')) / greatest(1, len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+'))) END AS "left",
-       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS kept_sha256
-FROM documents d LEFT JOIN counted USING (doc_id) LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)
+       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS kept_sha256,
+       coalesce(n_runs, 0) AS n_runs, coalesce(longest_copy, 0) AS longest_copy, copied_from
+FROM documents d LEFT JOIN counted USING (doc_id) LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN copies USING (doc_id)
 """
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", "longest_run", "left", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_removed", "longest_run", "left", F.sha2("kept_text", 256).alias("kept_sha256"), "n_runs", "longest_copy", "copied_from")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
