@@ -180,6 +180,49 @@ def leaks(docs, items):
     return out
 
 
+@pytest.mark.parametrize("size", range(5, 21))
+def test_extensions_miss_no_window(size):
+    """Whichever words differ, every intact seed of a window has two more intact blocks in it."""
+    for gone in map(set, itertools.combinations(range(size), decontaminate.allowed(size))):
+        for k, (mask, step) in enumerate(decontaminate._masks_of(size)):
+            for place in range(0, size - mask[-1], step):
+                if not gone & {place + m for m in mask}:
+                    intact = (p for p in decontaminate.extensions(decontaminate.shape_of(size, k, place)) if all(0 <= place + x < size and place + x not in gone for x in p))
+                    assert next(intact, None)
+    assert all(len(decontaminate.extensions(s)) <= decontaminate.MANY for s in range(3))
+
+
+def test_stock_phrases_are_not_joined_in_pairs(spark, monkeypatch):
+    """A phrase in every document and every item: rows joined follow the hits, which are all found."""
+    rng = random.Random(4)
+    stock = "which of the following statements is true about the".split()
+    own = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    items = [(i, [*own(6), *stock, *own(12)] if i % 10 else [*stock[:5], *own(8)]) for i in range(100)]
+    items += [(500, items[1][1]), (None, items[2][1])]  # items of the same words
+    docs = []
+    for d in range(300):
+        w = own(10) + stock + own(10)
+        if d % 40 == 1:
+            hit = list(items[rng.randrange(100)][1])
+            hit[rng.randrange(len(hit))] = "changed"
+            w += hit + own(5)
+        docs.append((d, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string").repartition(2)
+    seen = []
+    inner = decontaminate.alignments
+
+    def counted(*args):
+        got = inner(*args)
+        seen.append(got.count())
+        return got
+
+    monkeypatch.setattr(decontaminate, "alignments", counted)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == leaks(docs, [(i, " ".join(w)) for i, w in items]) and len(got) >= 8
+    assert seen[0] < 10_000  # 300 documents and 90 items are 27,000 pairs, each with three seeds
+
+
 def test_decontamination(spark, edge, empty, monkeypatch):
     rng = random.Random(3)
     vocabulary = [f"w{k}" for k in range(30)]

@@ -13,6 +13,10 @@ Items too short for them are cut into one more block than substitutions allowed;
    large the benchmark is, passes over positions that can't match; from the others, the words around them are
    written to the shared folder as runs, a small part of the corpus.
 3. The hashes of the runs are joined with the seeds; every match is an alignment of a run with an item.
+   A seed inside a stock phrase stands in many items and many documents; where joining it would make
+   more rows than ``MANY`` times those joined, it is extended first: the other words of a window fall into blocks
+   of which any matching window leaves two intact, and seed and two blocks must agree to be joined.
+   Items of the same words are one item until the end.
 4. Distinct alignments are joined with the words of both and verified window by window, a bounded
    number at once; each document and item keeps its best window.
 
@@ -32,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +50,8 @@ SHARE = 0.8
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 7, 8, 11), (0, 2, 3, 6, 9, 13))
 LEAST = 17  # words of an item from which the masks find all substitutions allowed
 TABLES, FILTER_BITS = 4, 26  # bitmaps of the filter, and bits of a hash that choose a bit of one, at most
+MANY = 64  # rows that a joined row of a seed may make on average; no fewer than the pairs of blocks of a mask
+BEFORE, AFTER = 16, 20  # words of a place's surroundings: more before it than any block reaches, and as many from it
 PAIRS = 200_000  # words compared at once while alignments are verified
 _FLAT = bytes(range(256)).lower()
 _DROP = string.punctuation.encode()
@@ -87,6 +94,36 @@ def _masks_of(words: int) -> list[tuple[tuple[int, ...], int]]:
     return [(block, len(block))]
 
 
+def shape_of(words: int, mask: int, place: int) -> int:
+    """A number for how an item's seed can be extended: its mask, or the item's length and the block; -1
+    where a seed is the whole item."""
+    if words >= LEAST:
+        return mask if words >= WINDOW else 3 + 32 * words + mask
+    return -1 if not allowed(words) else 3 + 32 * words + place // len(_block_mask(words))
+
+
+def extensions(shape: int) -> list[tuple[int, ...]]:
+    """Places, relative to a seed's, of the words of two blocks that can be intact together with it.  In
+    every window that an item and a document share and that holds the seed, at least one of these is."""
+    words, block = divmod(shape - 3, 32) if shape >= 3 else (WINDOW, shape)
+    if words < LEAST:
+        size = len(_block_mask(words))
+        inside = [p - block * size for p in range(words) if not block * size <= p < (block + 1) * size]
+        step = 2 if words >= 10 else 1
+        blocks = [tuple(inside[k : k + step]) for k in range(0, len(inside), step)]
+    else:
+        mask = MASKS[block]
+        reach = mask[-1] + 1
+        ignored = [p for p in range(reach) if p not in mask]
+        blocks = [tuple(ignored[k : k + 2]) for k in range(0, len(ignored), 2)]
+        if words == WINDOW:
+            blocks = [b for b in blocks if len(b) == 2]  # a single word is too little, and the others suffice
+        for k in range((words - reach) // 2):
+            blocks += [(-2 * k - 2, -2 * k - 1), (reach + 2 * k, reach + 2 * k + 1)]
+    both = [a + b for k, a in enumerate(blocks) for b in blocks[k + 1 :]]
+    return both if words < LEAST else [p for p in both if max(*p, reach - 1) - min(*p, 0) < words]
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     """(item, item_id, words): a number and the word hashes of each item, written."""
 
@@ -106,19 +143,21 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _seeds(items: DataFrame) -> DataFrame:
-    """(seed, item, place) of every place where a mask of an item fits, written."""
+    """(seed, item, place, shape) of every place where a mask of an item fits, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = words.values.to_numpy().view(np.uint64)
-                for mask, step in _masks_of(len(h)):
+                for k, (mask, step) in enumerate(_masks_of(len(h))):
                     got = masked(h, mask)[::step]
+                    place = np.arange(len(got), dtype=np.int32) * step
+                    shape = np.array([shape_of(len(h), k, int(p)) for p in place], np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(got.view(np.int64)), pa.array(np.full(len(got), item)), pa.array(np.arange(len(got), dtype=np.int32) * step)], names=["seed", "item", "place"]
+                        [pa.array(got.view(np.int64)), pa.array(np.full(len(got), item)), pa.array(place), pa.array(shape)], names=["seed", "item", "place", "shape"]
                     )
 
-    return written(items.select("item", "words").mapInArrow(run, "seed long, item long, place int"))
+    return written(items.select("item", "words").mapInArrow(run, "seed long, item long, place int, shape int"))
 
 
 class Filter:
@@ -213,7 +252,51 @@ def _found(runs: DataFrame, sent: Broadcast) -> DataFrame:
     return runs.select("run", "words").mapInArrow(run, "run long, seed long, place int")
 
 
-HITS = "__a long, __b long, item_id long, doc_word long, item_word long, agree int"
+def _extended(rows: DataFrame, texts: DataFrame, of: str) -> DataFrame:
+    """(key, ``of``, place): the seeds of ``rows`` (seed, shape, ``of``, place) with two more blocks, by the
+    words around them in ``texts`` (``of``, words)."""
+    lead = F.least("place", F.lit(BEFORE))
+    around = F.slice("words", F.col("place") - lead + 1, lead + AFTER)
+    some = rows.join(texts.select(of, "words"), of).select("seed", "shape", of, "place", lead.alias("lead"), around.alias("around"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seed, shape, owner, place, lead = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            size = pa.compute.list_value_length(batch.column(5)).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            at = BEFORE - lead[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            words, there = np.zeros((len(size), BEFORE + AFTER), np.uint64), np.zeros((len(size), BEFORE + AFTER), bool)
+            words[row, at], there[row, at] = batch.column(5).flatten().to_numpy().view(np.uint64), True
+            for kind in np.unique(shape):
+                here = np.flatnonzero(shape == kind)
+                for number, places in enumerate(extensions(int(kind))):
+                    cols = np.array(places) + BEFORE
+                    full = here[there[np.ix_(here, cols)].all(axis=1)]
+                    with np.errstate(over="ignore"):
+                        total = seed[full].view(np.uint64) + np.uint64((int(kind) * 1000 + number) * 1_000_003)
+                        for c in cols:
+                            total = mix(total + words[full, c] * _MULTIPLIERS[c])
+                    yield pa.RecordBatch.from_arrays([pa.array(total.view(np.int64)), pa.array(owner[full]), pa.array(place[full])], names=["key", of, "place"])
+
+    return some.mapInArrow(run, f"key long, {of} long, place int")
+
+
+def alignments(found: DataFrame, seeds: DataFrame, runs: DataFrame, items: DataFrame) -> DataFrame:
+    """(run, item, shift), repeated where several seeds agree: a match of ``found`` and ``seeds``."""
+    many = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).join(seeds.where("shape >= 0").groupBy("seed").agg(F.count(F.lit(1)).alias("m")), "seed")
+    crowded = written(many.where(F.col("n").cast("double") * F.col("m") > MANY * (F.col("n") + F.col("m"))).select("seed"))
+    there = seeds.withColumnRenamed("place", "there")
+    if crowded.isEmpty():
+        return found.join(there, "seed").select("run", "item", (F.col("place") - F.col("there")).alias("shift"))
+    marked = there.join(crowded.withColumn("__many", F.lit(True)), "seed", "left").withColumn("__many", F.coalesce("__many", F.lit(False)) & (F.col("shape") >= 0))
+    plain = found.join(marked.where("not __many").drop("__many"), "seed")
+    shapes = marked.where("__many").select("seed", "shape").distinct()
+    ours = _extended(found.join(shapes, "seed"), runs, "run")
+    theirs = _extended(marked.where("__many").select("seed", "shape", "item", F.col("there").alias("place")), items, "item").withColumnRenamed("place", "there")
+    return plain.select("run", "item", "place", "there").unionByName(ours.join(theirs, "key").select("run", "item", "place", "there")).select("run", "item", (F.col("place") - F.col("there")).alias("shift"))
+
+
+HITS = "__a long, __b long, doc_word long, item_word long, agree int"
 
 
 def _best(words: np.ndarray, item: np.ndarray, shifts: np.ndarray) -> tuple[int, int, int] | None:
@@ -243,16 +326,16 @@ def _best(words: np.ndarray, item: np.ndarray, shifts: np.ndarray) -> tuple[int,
 def _with_item(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        cols = [batch.column(c) for c in ("item", "__a", "__b", "item_id", "at")]
+        cols = [batch.column(c) for c in ("item", "__a", "__b", "at")]
         rows = zip(*(c.to_pylist() for c in cols), *(batch.column(c) for c in ("words", "item_words", "shifts")), strict=True)
-        for number, a, b, item_id, at, *lists in rows:
+        for number, a, b, at, *lists in rows:
             words, item, shifts = (x.values.to_numpy() for x in lists)
             got = _best(words, item, np.sort(shifts))
             if got:
-                out.append((number, a, b, item_id, max(0, at + got[1]), got[2], got[0]))
+                out.append((number, a, b, max(0, at + got[1]), got[2], got[0]))
         if out:
-            kinds = [pa.int64()] * 6 + [pa.int32()]
-            names = ["item", "__a", "__b", "item_id", "doc_word", "item_word", "agree"]
+            kinds = [pa.int64()] * 5 + [pa.int32()]
+            names = ["item", "__a", "__b", "doc_word", "item_word", "agree"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
@@ -265,19 +348,20 @@ def _key() -> list:
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(__a, __b, item, item_id, doc_word, item_word, agree), written: the best window of each distinct
     document, by its key, and item."""
-    items = _items(benchmark)
+    rows = _items(benchmark).withColumns({"__w1": F.xxhash64("words"), "__w2": F.xxhash64("words", F.lit("item"))})
+    items = written(rows.groupBy("__w1", "__w2").agg(F.min("item").alias("item"), F.min_by("words", "item").alias("words")))
+    names = rows.select("__w1", "__w2", F.col("item").alias("one"), "item_id").join(items.select("__w1", "__w2", "item"), ["__w1", "__w2"]).select("item", "one", "item_id")
     seeds = _seeds(items)
     sent = docs.sparkSession.sparkContext.broadcast(Filter(items, seeds))
     keyed = docs.select(*_key(), F.col("text").cast("string").alias("text")).where("text is not null")
     runs = _runs(keyed, sent)
-    met = _found(runs, sent).join(seeds.withColumnRenamed("place", "there"), "seed")
-    shift = (F.col("place") - F.col("there")).alias("shift")
-    aligned = met.select("run", "item", shift).distinct().groupBy("run", "item").agg(F.collect_list("shift").alias("shifts"))
-    both = aligned.join(runs, "run").join(items.withColumnRenamed("words", "item_words"), "item")
-    got = both.select("item", "__a", "__b", "item_id", "at", "words", "item_words", "shifts").mapInArrow(_with_item, f"item long, {HITS}")
+    met = alignments(written(_found(runs, sent)), seeds, runs, items)
+    aligned = met.distinct().groupBy("run", "item").agg(F.collect_list("shift").alias("shifts"))
+    both = aligned.join(runs, "run").join(items.select("item", F.col("words").alias("item_words")), "item")
+    got = both.select("item", "__a", "__b", "at", "words", "item_words", "shifts").mapInArrow(_with_item, f"item long, {HITS}")
     place = F.struct((-F.col("agree")).alias("a"), "doc_word", "item_word")
-    best = got.groupBy("__a", "__b", "item", "item_id").agg(F.min(place).alias("x"))
-    return written(best.select("__a", "__b", "item", "item_id", "x.doc_word", "x.item_word", (-F.col("x.a")).alias("agree")))
+    best = got.groupBy("__a", "__b", "item").agg(F.min(place).alias("x")).join(names, "item")
+    return written(best.select("__a", "__b", F.col("one").alias("item"), "item_id", "x.doc_word", "x.item_word", (-F.col("x.a")).alias("agree")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
