@@ -396,12 +396,10 @@ UNION ALL SELECT NULL, NULL, NULL, true"""
 def jdbc_ranges(spark, d):
     """A table of an embedded database read over ranges of a skewed text key and a number: quantiles of
     sampled keys make partitions of about the same size."""
-    url, root = "jdbc:derby:memory:" + scratch(spark, "db").rsplit("/", 1)[-1] + ";create=true", "customer"
-    at = {"url": url, "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     name = "case when c_custkey % 10 = 0 then concat(char(97 + c_custkey % 26), c_name) else concat('x', c_name) end"
     rows = table(spark, d, "customer").selectExpr("cast(c_custkey as int) c_custkey", f"{name} name", "cast(c_nationkey as int) c_nationkey")
-    jdbc.jdbc_writer(rows.coalesce(1), "derby", table=root, types={"name": "varchar(40)"}, **at).mode("overwrite").save()
-    got = jdbc.jdbc_read(spark, "derby", table=root, key=("name", "c_nationkey"), partitions=8, **at)
+    at = jdbc.embedded(spark, rows, "customer", {"name": "varchar(40)"})
+    got = jdbc.jdbc_read(spark, "derby", table="customer", key=("name", "c_nationkey"), partitions=8, **at)
     sizes = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     told = spark.createDataFrame([(len(sizes) == 8 and max(sizes) <= 2 * sum(sizes) / 8,)], "even boolean")
     kinds = {f.name.lower(): f.name for f in got.schema}

@@ -10,10 +10,16 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import os
+import tempfile
+import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.paths import children, delete, local, scratch
+
 # Driver classes by database.
 DRIVERS = {
     "mssql": "com.microsoft.sqlserver.jdbc.SQLServerDriver",
@@ -115,3 +121,41 @@ def jdbc_writer(df: DataFrame, flavor: str, url: str, table: str, types: dict[st
     """A configured writer; ``types`` are the target's column types."""
     w = df.write.format("jdbc").options(**{"driver": DRIVERS.get(flavor.lower(), "")} | options, url=url, dbtable=table)
     return w.option("createTableColumnTypes", ", ".join(f"{c} {t}" for c, t in types.items())) if types else w
+
+
+def embedded(spark: SparkSession, df: DataFrame, table: str, types: dict[str, str] | None = None) -> dict[str, str]:
+    """``url`` and ``driver`` of a Derby database that holds ``df`` as ``table`` and that every executor can read.
+
+    A database of Derby is open in one process at a time, and one in memory is seen by no other.  So tasks
+    write the rows as text to the shared folder, the database imports these files on the driver's disk, and
+    once it is shut down it is put into an archive in the shared folder: such a database is read only, and
+    any number of processes open it.  The shared folder must be a file system that all machines mount."""
+    manager, driver = spark._jvm.java.sql.DriverManager, "org.apache.derby.jdbc.EmbeddedDriver"
+    rows, shared = scratch(spark, "rows"), scratch(spark, "db")
+    df.write.options(escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(rows)
+    with tempfile.TemporaryDirectory() as folder:
+        url = f"jdbc:derby:{folder}/db"
+        jdbc_writer(df.limit(0), "derby", f"{url};create=true", table, types, driver=driver).mode("overwrite").save()
+        connection = manager.getConnection(url)
+        try:
+            load = connection.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, NULL, NULL, 'UTF-8', 0)")
+            load.setString(1, table.upper())
+            for name in children(spark, rows):
+                if name.startswith("part-"):
+                    load.setString(2, local(spark, f"{rows}/{name}"))
+                    load.execute()
+        finally:
+            connection.close()
+            try:
+                manager.getConnection(f"{url};shutdown=true")
+            except Py4JJavaError as e:
+                if e.java_exception.getSQLState() != "08006":  # so Derby says that it is shut down
+                    raise
+        delete(spark, rows)
+        os.makedirs(local(spark, shared))
+        archive = local(spark, f"{shared}/db.jar")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_STORED) as z:  # stored, so that any page is at hand
+            for at, _, files in os.walk(f"{folder}/db"):
+                for f in files:
+                    z.write(f"{at}/{f}", os.path.relpath(f"{at}/{f}", folder))
+    return {"url": f"jdbc:derby:jar:({archive})db", "driver": driver}

@@ -33,6 +33,14 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def local(spark: SparkSession, path: str) -> str:
+    """A path of a mounted file system as the operating system names it."""
+    p, fs = _path(spark, path)
+    if fs.getScheme() != "file":
+        raise ValueError(f"no mounted file system: {path}")
+    return fs.makeQualified(p).toUri().getPath()
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, in order; none where there is no such folder."""
     p, fs = _path(spark, path)
