@@ -16,10 +16,10 @@ gives it to the unseen unit.  As context, an unseen token counts by its last byt
    answer every chunk.  The vocabulary is never in one place.
 2. Each document becomes a string of units, written to the shared folder with all that does not
    depend on the model.
-3. The model is trained on these with noise-contrastive estimation in numpy: in each round every task
-   draws one position in ``DRAW`` of its training documents (``ENOUGH`` at least, if it has them), takes
-   Adam steps on them against noise drawn from the unigram shares, and hands back its parameters, which
-   are averaged in Spark.
+3. The model is trained on every position of the training documents with noise-contrastive estimation in
+   numpy.  Each position has its turn in one of the rounds; tasks with few take others again in each.
+   In a round every task takes Adam steps over its positions, block by block, against noise drawn from
+   the unigram shares, and hands back its parameters, which are averaged in Spark.
 4. Scoring takes batched matrix products over the classes and over the units of the target's class.
 
 Null texts count as empty and have the end token alone; very long texts are taken whole.  Null ids are
@@ -50,9 +50,11 @@ UNITS = TOP + ENDINGS + 1
 UNSEEN, START = UNITS - 1, UNITS  # the unit of unseen tokens; the place before a text
 CLASSES = ENDINGS + 1
 WIDTH = 24
-BATCH, NOISE, NOISE_UNITS = 2048, 32, 16  # positions of a step; noise classes drawn for it, and units for each class
+NOISE, NOISE_UNITS = 32, 16  # noise classes drawn for a step, and units for each class
 RATES = (0.02, 0.01, 0.005)  # a round each
-DRAW, ENOUGH, LEAST_STEPS = 16, 80_000, 40
+LEAST_STEPS = 40  # of a task in a round
+BATCH, LARGE_BATCH = 2048, 16_384  # positions of a step, where they are few and where they are many
+ENOUGH, BLOCK = LEAST_STEPS * BATCH, LEAST_STEPS * LARGE_BATCH  # positions of a round; and how many a task holds at once
 MERGED = 16  # sums of parameters that the driver gets
 END_HASH = np.uint64(0x5BD1E9955BD1E995)
 
@@ -236,8 +238,29 @@ def _positions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return two, one, np.minimum(w, UNSEEN), first
 
 
+def _turns(first: np.ndarray, n: int) -> np.ndarray:
+    """The round in which each of n positions is trained on, by its place in its text and the text's length."""
+    length = np.diff(np.append(first, n))
+    place = np.arange(n) - np.repeat(first - length, length)
+    return ((place * 0x9E3779B1 & 0xFFFFFFFF) >> 16) % len(RATES)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """Of ``x``, in its place."""
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _sums(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """The rows of ``x`` (or its numbers) added up by where they belong."""
+    if x.ndim == 1:
+        return np.bincount(at, x, size).astype(x.dtype)
+    out = np.empty((size, x.shape[1]), x.dtype)
+    for d in range(x.shape[1]):
+        out[:, d] = np.bincount(at, x[:, d], size)
+    return out
 
 
 class Model:
@@ -251,9 +274,12 @@ class Model:
         self.cls = cls
         self.order = np.argsort(cls, kind="stable")
         self.edge = np.searchsorted(cls[self.order], np.arange(CLASSES + 1))
+        self.rank = np.empty(UNITS, np.uint16)
+        self.rank[self.order] = np.arange(UNITS)
         sums = np.bincount(cls, share, CLASSES)
         self.unit_share = share / sums[cls]
         self.class_share = sums / sums.sum()
+        self.unit_sums = [np.cumsum(self.unit_share[self.order[a:b]]) for a, b in zip(self.edge[:-1], self.edge[1:], strict=True)]
         rng = np.random.default_rng(7)
         self.p = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in self.SHAPES.items()}
         self.p["c1"] = np.eye(WIDTH, dtype=np.float32)
@@ -261,84 +287,129 @@ class Model:
         self.p["bc"] = np.log(np.maximum(self.class_share, 1e-9)).astype(np.float32)
         self.p["bu"] = np.log(self.unit_share).astype(np.float32)
 
-    def by_class(self, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each class with several units: the positions whose target is in it, and its units."""
-        c = self.cls[w]
-        order = np.argsort(c, kind="stable")
-        edge = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            units = self.order[self.edge[k] : self.edge[k + 1]]
-            if edge[k] < edge[k + 1] and len(units) > 1:
-                yield order[edge[k] : edge[k + 1]], units
+    def by_class(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in the order of their targets' classes and units; class k has those from edge[k] to edge[k+1]."""
+        rank = self.rank[w]
+        order = np.argsort(rank, kind="stable")
+        return order, np.searchsorted(rank[order], self.edge)
 
     @staticmethod
-    def _log_share(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
-        top = scores.max(axis=1, keepdims=True)
-        return scores[np.arange(len(scores)), target] - top[:, 0] - np.log(np.exp(scores - top).sum(axis=1))
+    def _log_sums(scores: np.ndarray) -> np.ndarray:
+        """The logarithm of the sum of each row's exponentials."""
+        with np.errstate(over="ignore"):
+            sums = np.exp(scores) @ np.ones(scores.shape[1], scores.dtype)
+        if sums.min() > 1e-30 and sums.max() < 1e30:
+            return np.log(sums)
+        top = scores.max(axis=1)
+        return top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
 
     def log10(self, two: np.ndarray, one: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Normalised log10 p(unit | context) of every position, by batched matrix products."""
         p = self.p
-        h = (p["r"] @ p["c1"])[one] + (p["r"] @ p["c2"])[two]
-        out = self._log_share(h @ p["qc"].T + p["bc"], self.cls[w])
-        inside = np.empty(UNITS, np.int64)
-        for at, units in self.by_class(w):
-            inside[units] = np.arange(len(units))
-            out[at] += self._log_share(h[at] @ p["qu"][units].T + p["bu"][units], inside[w[at]])
+        r1, r2 = p["r"] @ p["c1"], p["r"] @ p["c2"]
+        order, edge = self.by_class(w)
+        out = np.empty(len(w), r1.dtype)
+        for k in range(CLASSES):
+            units = self.order[self.edge[k] : self.edge[k + 1]]
+            qu, bu = p["qu"][units].T, p["bu"][units]
+            for a in range(edge[k], edge[k + 1], ROWS_AT_ONCE):
+                at = order[a : min(a + ROWS_AT_ONCE, edge[k + 1])]
+                h = r1[one[at]] + r2[two[at]]
+                scores = h @ p["qc"].T + p["bc"]
+                got = scores[:, k] - self._log_sums(scores)
+                if len(units) > 1:
+                    scores = h @ qu + bu
+                    got += scores[np.arange(len(at)), self.rank[w[at]] - self.edge[k]] - self._log_sums(scores)
+                out[at] = got
         return out / np.float32(np.log(10))
 
     def drawn(self, w: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Noise for a step: classes, and units of each class that has targets."""
+        """Noise for a step: classes, and units of each class."""
         classes = rng.choice(CLASSES, NOISE, p=self.class_share)
-        units = []
-        for _, own in self.by_class(w):
-            sums = np.cumsum(self.unit_share[own])
-            units.append(own[np.minimum(np.searchsorted(sums, rng.random(NOISE_UNITS) * sums[-1]), len(own) - 1)])
-        return classes, units
-
-    def _contrast(self, h: np.ndarray, w: np.ndarray, noise: np.ndarray, q: str, b: str, share: np.ndarray, g: dict) -> tuple[np.ndarray, float]:
-        """The noise-contrastive objective of targets against shared noise, and its gradients."""
-        vectors, bias, k = self.p[q], self.p[b], len(noise)
-        true = np.einsum("ij,ij->i", h, vectors[w]) + bias[w] - np.log(k * share[w]).astype(np.float32)
-        false = h @ vectors[noise].T + bias[noise] - np.log(k * share[noise]).astype(np.float32)
-        up, down = 1 - _sigmoid(true), -_sigmoid(false)
-        np.add.at(g[q], w, up[:, None] * h)
-        np.add.at(g[b], w, up)
-        np.add.at(g[q], noise, down.T @ h)
-        np.add.at(g[b], noise, down.sum(axis=0))
-        return up[:, None] * vectors[w] + down @ vectors[noise], -float(np.logaddexp(0, -true).sum() + np.logaddexp(0, false).sum())
-
-    def gradient(self, two: np.ndarray, one: np.ndarray, w: np.ndarray, noise: tuple[np.ndarray, list[np.ndarray]]) -> tuple[dict[str, np.ndarray], float]:
-        """Of the objective for some positions and drawn noise, per position."""
-        g = {k: np.zeros_like(x) for k, x in self.p.items()}
-        r1, r2 = self.p["r"][one], self.p["r"][two]
-        h = r1 @ self.p["c1"] + r2 @ self.p["c2"]
-        gh, total = self._contrast(h, self.cls[w], noise[0], "qc", "bc", np.maximum(self.class_share, 1e-9), g)
-        for (at, _), some in zip(self.by_class(w), noise[1], strict=True):
-            own, value = self._contrast(h[at], w[at], some, "qu", "bu", self.unit_share, g)
-            gh[at] += own
+        return classes, [self.order[self.edge[k] + np.minimum(np.searchsorted(x, rng.random(NOISE_UNITS) * x[-1]), len(x) - 1)] for k, x in enumerate(self.unit_sums)]
+
+    def _contrast(self, h: np.ndarray, w: np.ndarray, noise: np.ndarray, vectors: np.ndarray, offset: np.ndarray, told: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The noise-contrastive objective of targets against shared noise (if ``told``), and its gradients:
+        by the contexts, and by the scores of targets and of noise.  offset: biases less the logarithms of
+        the expected noise."""
+        own, others = vectors[w], vectors[noise]
+        true = np.einsum("ij,ij->i", h, own) + offset[w]
+        false = h @ others.T
+        false += offset[noise]
+        value = -float(np.logaddexp(0, -true).sum() + np.logaddexp(0, false).sum()) if told else 0.0
+        up, down = _sigmoid(np.negative(true, out=true)), _sigmoid(false)
+        np.negative(down, out=down)
+        own *= up[:, None]
+        own += down @ others
+        return own, up, down, value
+
+    def gradient(self, two: np.ndarray, one: np.ndarray, w: np.ndarray, noise: tuple[np.ndarray, list[np.ndarray]], told: bool = True) -> tuple[dict[str, np.ndarray], float]:
+        """Of the objective for some positions and drawn noise, per position; and the objective, if ``told``."""
+        p, kind = self.p, self.p["r"].dtype
+        order, edge = self.by_class(w)
+        two, one, w = two[order], one[order], w[order]
+        c = self.cls[w]
+        class_offset = p["bc"] - np.log(NOISE * np.maximum(self.class_share, 1e-9)).astype(kind)
+        unit_offset = p["bu"] - np.log(NOISE_UNITS * self.unit_share).astype(kind)
+        r1, r2 = p["r"][one], p["r"][two]
+        h = r1 @ p["c1"]
+        h += r2 @ p["c2"]
+        gh, class_up, unit_up = np.empty_like(h), np.empty(len(w), kind), np.zeros(len(w), kind)
+        g = {"qc": np.zeros_like(p["qc"]), "bc": np.zeros_like(p["bc"])}
+        total, some, vectors, biases = 0.0, [], [], []
+        noise_vectors, noise_biases = np.zeros((len(noise[0]), WIDTH), kind), np.zeros(len(noise[0]), kind)
+        for a in range(0, len(w), ROWS_AT_ONCE):
+            at = slice(a, a + ROWS_AT_ONCE)
+            gh[at], class_up[at], down, value = self._contrast(h[at], c[at], noise[0], p["qc"], class_offset, told)
+            noise_vectors += down.T @ h[at]
+            noise_biases += down.sum(axis=0)
             total += value
-        np.add.at(g["r"], one, gh @ self.p["c1"].T)
-        np.add.at(g["r"], two, gh @ self.p["c2"].T)
+        for k in range(CLASSES):
+            if edge[k] == edge[k + 1]:
+                continue
+            at = slice(edge[k], edge[k + 1])
+            x, up = h[at], class_up[at]
+            g["qc"][k], g["bc"][k] = up @ x, up.sum()
+            if self.edge[k + 1] - self.edge[k] > 1:
+                own, unit_up[at], down, value = self._contrast(x, w[at], noise[1][k], p["qu"], unit_offset, told)
+                gh[at] += own
+                some.append(noise[1][k])
+                vectors.append(down.T @ x)
+                biases.append(down.sum(axis=0))
+                total += value
+        np.add.at(g["qc"], noise[0], noise_vectors)
+        np.add.at(g["bc"], noise[0], noise_biases)
+        at = np.concatenate([w, *some])
+        g["bu"] = _sums(at, np.concatenate([unit_up, *biases]), UNITS)
         g["c1"], g["c2"] = r1.T @ gh, r2.T @ gh
-        return {k: x / len(w) for k, x in g.items()}, total / len(w)
-
-    def fit(self, two: np.ndarray, one: np.ndarray, w: np.ndarray, rate: float, seed: int) -> None:
-        """Adam over batches of the positions, in a random order and again if they are few."""
+        h *= unit_up[:, None]
+        g["qu"] = _sums(at, np.concatenate([h, *vectors]), UNITS)
+        g["r"] = _sums(np.concatenate([one, two]), np.concatenate([gh @ p["c1"].T, gh @ p["c2"].T]), UNITS + 1)
+        return {k: g[k] / len(w) for k in self.SHAPES}, total / len(w)
+
+    def fit(self, blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float, seed: int) -> None:
+        """Adam over all positions of each block (two back, one back, unit) in a random order, and over those
+        of the first one again if they are few."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(x) for k, x in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        order, at = rng.permutation(len(w)), 0
-        for step in range(1, max(LEAST_STEPS, len(w) // BATCH) + 1):
-            if at and at + BATCH > len(order):
-                order, at = rng.permutation(len(w)), 0
-            k = order[at : at + BATCH]
-            at += BATCH
-            g, _ = self.gradient(two[k], one[k], w[k], self.drawn(w[k], rng))
-            for name, x in g.items():
-                m[name] = 0.9 * m[name] + 0.1 * x
-                v[name] = 0.99 * v[name] + 0.01 * x * x
-                self.p[name] += (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        step = 0
+        for two, one, w in blocks:
+            parts = max(1, len(w) // min(max(len(w) // LEAST_STEPS, BATCH), LARGE_BATCH))
+            taken = 0
+            while taken < parts or step < LEAST_STEPS:
+                if taken % parts == 0:
+                    order = np.array_split(rng.permutation(len(w)), parts)
+                k = order[taken % parts]
+                taken += 1
+                step += 1
+                g, _ = self.gradient(two[k], one[k], w[k], self.drawn(w[k], rng), told=False)
+                for name, x in g.items():
+                    m[name] *= 0.9
+                    m[name] += 0.1 * x
+                    v[name] *= 0.99
+                    v[name] += 0.01 * x * x
+                    self.p[name] += (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.SHAPES])
@@ -352,6 +423,7 @@ class Model:
 
 
 PARAMS = "part int, weight double, params binary"
+TEXTS_AT_ONCE = 500
 
 
 def _sum(rows: pd.DataFrame) -> pd.DataFrame:
@@ -359,8 +431,33 @@ def _sum(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": rows["part"].iloc[:1], "weight": [rows["weight"].sum()], "params": [total.tobytes()]})
 
 
+def _blocks(texts: Iterator[list[bytes]], k: int, given: np.ndarray, rng: np.random.Generator, seen: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions (two back, one back, unit) whose turn is round k, in blocks of some ``BLOCK``; if they are
+    fewer than ``ENOUGH``, others join them.  Counts of all positions are put into ``seen``."""
+    joined = lambda parts: [np.concatenate(x) for x in zip(*parts, strict=True)]
+    own, rest, n, spare, full = [], [], 0, 0, False
+    for some in texts:
+        two, one, w, first = _positions(some)
+        seen.append(len(w))
+        turn = _turns(first, len(w)) == k
+        for at, parts in ((turn, own), (~turn & (n < ENOUGH and spare < ENOUGH and not full), rest)):
+            if at.any():
+                unit = w[at]
+                parts.append((two[at], one[at], np.where(rng.random(len(unit)) < given[unit], UNSEEN, unit)))
+        n, spare = sum(len(x[2]) for x in own), sum(len(x[2]) for x in rest)
+        if n >= BLOCK:
+            yield joined(own)
+            own, rest, n, full = [], [], 0, True
+    if not full and n < ENOUGH and rest:
+        two, one, w = joined(rest)
+        at = rng.permutation(len(w))[: ENOUGH - n]
+        own.append((two[at], one[at], w[at]))
+    if own:
+        yield joined(own)
+
+
 def train(spelt: DataFrame, vocabulary: Vocabulary) -> Model:
-    """Average of models fitted to what the tasks draw, round after round."""
+    """Average of models fitted to all training positions of the tasks, round after round."""
     spark = spelt.sparkSession
     model = Model(vocabulary.share, vocabulary.cls)
     units = spelt.where("not held_out").select("units")
@@ -370,31 +467,16 @@ def train(spelt: DataFrame, vocabulary: Vocabulary) -> Model:
         def run(batches: Iterator[pa.RecordBatch], k=k, rate=rate, sent=sent) -> Iterator[pa.RecordBatch]:
             flat, share, cls, given = sent.value
             task = TaskContext.get().partitionId()
-            rng = np.random.default_rng((11, k, task))
-            parts, spare, seen, spared = [], [], 0, 0
-            for batch in batches:
-                for a in range(0, batch.num_rows, 2000):
-                    two, one, w, _ = _positions(batch.column(0).slice(a, 2000).to_pylist())
-                    seen += len(w)
-                    w = np.where(rng.random(len(w)) < given[w], UNSEEN, w)
-                    dice = rng.integers(0, DRAW, len(w))
-                    mine, rest = dice == 0, (dice > 0) & (spared < ENOUGH)
-                    parts.append((two[mine], one[mine], w[mine]))
-                    if rest.any():
-                        spare.append((two[rest], one[rest], w[rest]))
-                        spared += int(rest.sum())
-            if not seen:
-                return
-            drawn = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            if len(drawn[0]) < ENOUGH and spare:
-                more = [np.concatenate(x) for x in zip(*spare, strict=True)]
-                pick = rng.permutation(len(more[0]))[: ENOUGH - len(drawn[0])]
-                drawn = [np.concatenate([x, y[pick]]) for x, y in zip(drawn, more, strict=True)]
+            texts = (batch.column(0).slice(a, TEXTS_AT_ONCE).to_pylist() for batch in batches for a in range(0, batch.num_rows, TEXTS_AT_ONCE))
+            seen = []
             own = Model(share, cls)
             own.load(flat)
-            own.fit(*drawn, rate, task)
+            own.fit(_blocks(texts, k, given, np.random.default_rng((11, k, task)), seen), rate, task)
+            if not seen:
+                return
             yield pa.RecordBatch.from_arrays(
-                [pa.array([task % MERGED], pa.int32()), pa.array([float(seen)]), pa.array([(own.flat().astype(np.float64) * seen).tobytes()], pa.binary())], names=["part", "weight", "params"]
+                [pa.array([task % MERGED], pa.int32()), pa.array([float(sum(seen))]), pa.array([(own.flat().astype(np.float64) * sum(seen)).tobytes()], pa.binary())],
+                names=["part", "weight", "params"],
             )
 
         got = units.mapInArrow(run, PARAMS).groupBy("part").applyInPandas(_sum, PARAMS).collect()
@@ -439,7 +521,7 @@ def score(docs: DataFrame, buckets: int | None = None, limit: int = X.CHUNK_CHAR
     return spelt.mapInArrow(run, SCORED)
 
 
-SCORE_AT_ONCE = 100_000  # positions: bounds the memory of a step
+SCORE_AT_ONCE, ROWS_AT_ONCE = 200_000, 1024  # positions: bound the memory of a step, and what is in the cache at once
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
