@@ -132,7 +132,9 @@ def embedded(spark: SparkSession, df: DataFrame, table: str, types: dict[str, st
     any number of processes open it.  The shared folder must be a file system that all machines mount."""
     manager, driver = spark._jvm.java.sql.DriverManager, "org.apache.derby.jdbc.EmbeddedDriver"
     rows, shared = scratch(spark, "rows"), scratch(spark, "db")
-    df.write.options(escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(rows)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    fields = [quoted(df[f"`{c}`"]) if kind == "string" else df[f"`{c}`"].cast("string") for c, kind in df.dtypes]
+    df.select(F.concat_ws(",", *[F.coalesce(f, F.lit("")) for f in fields]).alias("value")).write.text(rows)  # quotes keep spaces, and "" from null
     with tempfile.TemporaryDirectory() as folder:
         url = f"jdbc:derby:{folder}/db"
         jdbc_writer(df.limit(0), "derby", f"{url};create=true", table, types, driver=driver).mode("overwrite").save()
