@@ -16,7 +16,8 @@ Only repeated suffixes stay active: a suffix whose first h lines stand once is d
 longer prefix of it can repeat.  Ranks are given to the distinct pairs, which are counted with
 map-side combining before anything is sorted, so a line that stands in a third of all documents is
 one row there; joins that bring ranks back to the suffixes are sort-merge joins, split by adaptive
-execution where one rank is hot.  Every round is written to the shared folder.
+execution where one rank is hot.  Every round, its pairs of ranks too, is written to the shared folder
+before it is read a second time, so that no join or count is run twice.
 
 Null and empty texts have no lines and stay as they are.  Rows with the same id and text count as
 one document; of copies with equal ids the order of a hash decides.  Null ids come last in the order.
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import written
+from tidemark.llm.tables import discard, written
 
 MIN_LINES = 3
 MIN_WORDS = 50  # of a repeated run of fewer lines
@@ -58,11 +59,15 @@ def _suffixes(docs: DataFrame) -> DataFrame:
 
 
 def _ranked(active: DataFrame, pair: list[str]) -> DataFrame:
-    """Active suffixes whose ``pair`` repeats, with its rank among all pairs and the first copy."""
+    """Suffixes of ``active`` (written) whose ``pair`` repeats, with its rank among all pairs and the first
+    copy.  The pairs are written before they are ordered: drawing the bounds of ranges would count them
+    once more.  ``active`` is deleted."""
     place = F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), *[F.col(k).alias(k) for k in KEY], F.col("__pos").alias("p"))
-    pairs = active.groupBy(*pair).agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias("__first")).where("__n > 1")
+    pairs = written(active.groupBy(*pair).agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias("__first")).where("__n > 1").drop("__n"))
     ranks = pairs.orderBy(*pair).select(*pair, F.monotonically_increasing_id().alias("__rank"), "__first")
-    return written(active.join(ranks, pair).drop(*pair).withColumnRenamed("__rank", "__r"))
+    out = written(active.join(ranks, pair).drop(*pair).withColumnRenamed("__rank", "__r"))
+    discard(active, pairs)
+    return out
 
 
 def _doubled(active: DataFrame, ahead: int) -> DataFrame:
@@ -70,7 +75,7 @@ def _doubled(active: DataFrame, ahead: int) -> DataFrame:
     all, so the characters of the second count from where the first ends."""
     later = active.select(*KEY, (F.col("__pos") - ahead).alias("__pos"), F.col("__r").alias("__r2"), F.col("__len").alias("__len2"))
     both = active.drop("__first").join(later, [*KEY, "__pos"]).withColumn("__len", F.col("__len") + F.col("__len2")).drop("__len2")
-    return _ranked(both, ["__r", "__r2"])
+    return _ranked(written(both), ["__r", "__r2"])
 
 
 def suffix_array(docs: DataFrame, min_lines: int = MIN_LINES) -> list[tuple[int, DataFrame]]:
