@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.sources.paths import delete, scratch
 
@@ -40,3 +41,12 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         for path in {m[1] for f in df.inputFiles()[:1] if (m := re.match(r"(.*/tidemark-table-[0-9a-f]{32})/", f))}:
             delete(df.sparkSession, path)
+
+
+#: Keys that a join may broadcast.
+FEW = 1_000_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """Keys that ``written`` wrote, for one side of a join: broadcast if there are at most ``FEW``."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
